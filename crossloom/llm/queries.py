@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media import op9_media_columns
 from .packing_bfd import op3_token_matrices
+from .packing_cg import op4_packing
 from .quality import op10_quality_classifier
 from .toxicity import op5_toxicity
 
@@ -15,6 +16,7 @@ from .toxicity import op5_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_matrices": op3_token_matrices,
+        "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op9_media_columns": op9_media_columns,
         "op10_quality_classifier": op10_quality_classifier,
