@@ -246,4 +246,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = tokens.SEPA
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -10,11 +10,13 @@ from .media import op9_media_columns
 from .packing_bfd import op3_token_matrices
 from .packing_cg import op4_packing
 from .quality import op10_quality_classifier
+from .simhash import op2_simhash
 from .toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": op2_simhash,
         "op3_token_matrices": op3_token_matrices,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
