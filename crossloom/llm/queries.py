@@ -10,16 +10,20 @@ from .media import op9_media_columns
 from .packing_bfd import op3_token_matrices
 from .packing_cg import op4_packing
 from .quality import op10_quality_classifier
+from .sharding import op1_sharding
 from .simhash import op2_simhash
 from .toxicity import op5_toxicity
+from .urls import op7_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sharding": op1_sharding,
         "op2_simhash": op2_simhash,
         "op3_token_matrices": op3_token_matrices,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
+        "op7_url_filters": op7_url_filters,
         "op9_media_columns": op9_media_columns,
         "op10_quality_classifier": op10_quality_classifier,
     }
