@@ -21,7 +21,7 @@ CACHE = 600_000
 
 _chunks = re.compile(r"\s*\S+|\s+").findall
 #: White space to Python's re but not to the tokenizer, and everything outside Latin scripts.
-_odd = re.compile("[\x1c-\x1fɐ-᷿ἀ-῿⁰-\U0010ffff]").search
+_odd = re.compile("[\x1c-\x1f\u0250-\u1dff\u1f00-\u1fff\u2070-\U0010ffff]").search
 
 
 class Encoder:
