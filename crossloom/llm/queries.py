@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op6_nearest_neighbours
 from .bpe import op8_bpe
 from .media import op9_media_columns
 from .packing_bfd import op3_token_matrices
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_matrices": op3_token_matrices,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_url_filters": op7_url_filters,
         "op8_bpe": op8_bpe,
         "op9_media_columns": op9_media_columns,
