@@ -49,10 +49,10 @@ def feature_matrix(sample: DataFrame, features: Callable[[str], list[float]]) ->
     return x, np.array([r["label"] for r in rows], np.float64), np.array([r["part"] for r in rows], np.int64)
 
 
-def score_all(docs: DataFrame, features: Callable[[str], list[float]], predict: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """docs with a column `score` appended (it replaces one of that name); one pass, no shuffle, no row lost."""
-    names = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*names).withColumn("score", F.lit(0.0)).schema
+def score_all(docs: DataFrame, features: Callable[[str], list[float]], predict: Callable[[np.ndarray], np.ndarray], out: str = "score") -> DataFrame:
+    """docs with a column `out` appended (it replaces one of that name); one pass, no shuffle, no row lost."""
+    names = [c for c in docs.columns if c != out]
+    schema = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn(out, F.lit(0.0)).schema
     where = names.index("text")
 
     def run(batches):
@@ -60,6 +60,6 @@ def score_all(docs: DataFrame, features: Callable[[str], list[float]], predict:
             if not batch.num_rows:
                 continue
             x = np.array([features(t or "") for t in batch.column(where).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(predict(x), 0, 1))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(predict(x), 0, 1))], names=[*batch.schema.names, out])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)

@@ -66,13 +66,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return boosting.fit_forest(x, y)
 
 
-def score(docs: DataFrame, model: boosting.Forest) -> DataFrame:
-    """All columns of docs and `score`: the probability of label 1.
+def score(docs: DataFrame, model: boosting.Forest, out: str = "score") -> DataFrame:
+    """All columns of docs and `out`: the probability of label 1.
 
     Null and empty texts are scored as empty documents; repeated rows get equal
-    scores; ids play no part; an existing column `score` is replaced.
+    scores; ids play no part; an existing column `out` is replaced.
     """
-    return labelled.score_all(docs, features, model.probability)
+    return labelled.score_all(docs, features, model.probability, out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:

@@ -154,13 +154,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = la
     return Model(lexicon, forest, level)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and `score`: the calibrated probability of label 1.
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """All columns of docs and `out`: the calibrated probability of label 1.
 
     Null and empty texts are scored as empty documents; repeated rows get equal
-    scores; ids play no part; an existing column `score` is replaced.
+    scores; ids play no part; an existing column `out` is replaced.
     """
-    return labelled.score_all(docs, model.features(), model.predict)
+    return labelled.score_all(docs, model.features(), model.predict, out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_FROM) -> DataFrame:
