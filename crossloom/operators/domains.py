@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import div
+from ..functions import clip, div
 from .joins import active_events
 
 SEVERITIES = ("info", "watch", "risk", "block")
@@ -91,7 +91,7 @@ def search(df: DataFrame, words: Sequence[str], text: str = "chunk_text", limit:
 def percent_intensity(text: Column) -> Column:
     """1 + the largest percentage / 3, in [1, 3]; no percentage: 1."""
     values = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)\s*%"), 1), lambda x: x.try_cast("double"))
-    return F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(3.0), 1 + F.array_max(values) / 3)), F.lit(1.0))
+    return F.coalesce(clip(1 + F.array_max(values) / 3, 1.0, 3.0), F.lit(1.0))
 
 
 def classify(text: Column, rules: Sequence[tuple[Sequence[str], str, str]], otherwise: tuple[str, str] = ("other", "info")) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.series import with_factors
 from ..operators import cross_section as xs
 from ..operators import evaluation as ev
-from ..sources.tables import brand_bars, table
+from ..sources.tables import brand_bars, supplier_bars, table
 
 BARS = """
 bars AS (
@@ -201,8 +201,21 @@ SELECT factor, round(m, 6) AS rank_ic_mean, round(ir, 6) AS rank_icir, observati
  CASE WHEN m >= 0.035 AND ir >= 0.25 AND ls > 0 THEN 'core_candidate' WHEN m >= 0.025 AND ls > 0 THEN 'candidate_review' WHEN m >= 0.025 THEN 'shadow_review' ELSE 'reject_review' END AS role FROM s WHERE observations >= 10"""
 
 
+def supplier_factors(spark, sf_dir):
+    """Many factors over many instruments in one pass: a single exchange and sort serves every window."""
+    formulas = MOMENTUM | EXTREMES | {"vol_20": VOLATILITY["vol_20"]}
+    panel = with_factors(supplier_bars(spark, sf_dir), formulas)
+    return rounded(panel.select(*KEYS, "ret_5", "ret_20", "price_position_20", "max_drawdown_20", "vol_20"), KEYS)
+
+
+SUPPLIER = f"""WITH bars AS (SELECT CAST(l_suppkey AS VARCHAR) AS instrument, CAST(date_trunc('month', l_shipdate) AS DATE) AS datetime, round(max(l_extendedprice / l_quantity), 8) AS high, round(min(l_extendedprice / l_quantity), 8) AS low, round(sum(l_extendedprice) / sum(l_quantity), 8) AS close FROM lineitem GROUP BY 1, 2),
+s AS (SELECT *, close / lag(close) OVER {W} - 1 AS r FROM bars)
+SELECT instrument, datetime, round(close / lag(close, 5) OVER {W} - 1, 6) AS ret_5, round(close / lag(close, 20) OVER {W} - 1, 6) AS ret_20, round((close - min(low) OVER {roll(20)}) / (max(high) OVER {roll(20)} - min(low) OVER {roll(20)} + 1e-12), 6) AS price_position_20, round(max(close) OVER {roll(20)} / close - 1, 6) AS max_drawdown_20, round(stddev_samp(r) OVER {roll(20)}, 6) AS vol_20 FROM s"""
+
+
 def queries() -> dict:
     return {
+        "supplier_factors": supplier_factors,
         "factor_momentum": _factor_query(MOMENTUM), "factor_volatility": _factor_query(VOLATILITY), "factor_volume": _factor_query(VOLUME), "factor_extremes": _factor_query(EXTREMES),
         "factor_correlation": _factor_query(CORRELATION), "factor_logic": _factor_query(LOGIC), "xs_purify": xs_purify, "xs_neutralize": xs_neutralize, "ev_daily_ic": ev_daily_ic,
         "ev_ic_summary": ev_ic_summary, "ev_quantiles": ev_quantiles, "ev_turnover": ev_turnover, "ev_evaluate": ev_evaluate, "ev_regime": ev_regime, "ev_segments": ev_segments, "ev_ranking": ev_ranking,
@@ -221,6 +234,7 @@ def oracle_sql() -> dict[str, str]:
     r6 = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
     regime_columns = ("market_return", "proxy", "fast_mean", "slow_mean", "trend_return")
     return {
+        "supplier_factors": SUPPLIER,
         "factor_momentum": _sql("s2 AS (SELECT * FROM bars)", {"ret_5": f"close / {lag('close', 5)} - 1", "ret_20": f"close / {lag('close', 20)} - 1", "ret_60": f"close / {lag('close', 60)} - 1", "reversal_5": f"{lag('close', 5)} / close - 1", "mom_skip_20_5": f"{lag('close', 5)} / {lag('close', 20)} - 1", "intraday_reversal": "1 - close / open"}),
         "factor_volatility": _sql(RET, {"vol_20": over("stddev_samp", "r", 20), "vol_adj_mom_20": f"(close / {lag('close', 20)} - 1) / nullif({over('stddev_samp', 'r', 20)}, 0)", "range_vol_20": over("avg", "(high - low) / close", 20), "return_variance_20": f"{over('stddev_samp', 'r', 20)} * {over('stddev_samp', 'r', 20)}", "intraday_volatility_skew_20": f"{over('stddev_samp', 'high / open', 20)} - {over('stddev_samp', 'open / low', 20)}"}, "s1"),
         "factor_volume": _sql(RET + f", s2 AS (SELECT *, {over('avg', 'volume', 5)} AS v5, {over('avg', 'volume', 10)} AS v10, {over('avg', 'volume', 20)} AS v20, {over('avg', 'abs(r) / (amount + 1)', 10)} AS il FROM s1)", {"turnover_20": f"v20 / {over('avg', 'volume', 60)}", "volume_mom_5": f"v5 / {lag('v5', 5)} - 1", "vosc_12_26": f"({over('avg', 'volume', 12)} - {over('avg', 'volume', 26)}) / ({over('avg', 'volume', 12)} + 0.000001)", "amihud_illiq_10": "1000000 * il", "price_volume_divergence_10": f"(close / {lag('close', 10)} - 1) - (v10 / {lag('v10', 10)} - 1)", "quiet_breakout_20": f"(close / {lag('close', 20)} - 1) - (v5 / v20 - 1)"}),

@@ -215,7 +215,7 @@ def _path(h: int) -> str:
     return f"SELECT instrument, datetime, bar, score_pct, rank_signal, {h} AS horizon, lead(datetime, 1) OVER {W} AS entry_date, lead(datetime, {h}) OVER {W} AS exit_date, lead(close, {h}) OVER {W} / lead(open, 1) OVER {W} - 1 AS ret, max(high) OVER {ahead} / lead(open, 1) OVER {W} - 1 AS mfe, min(low) OVER {ahead} / lead(open, 1) OVER {W} - 1 AS mae FROM sc"
 
 
-THRESHOLD = 0.44
+THRESHOLD = 0.025
 PATHS = f"pa AS (SELECT * FROM ({_path(3)} UNION ALL {_path(5)}) WHERE exit_date IS NOT NULL)"
 STATS = """count(*) AS trades, round(avg(ret), 6) AS mean_return, round(median(ret), 6) AS median_return, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate, round(coalesce(avg(ret) FILTER (ret > 0), 0), 6) AS avg_win, round(coalesce(avg(ret) FILTER (ret <= 0), 0), 6) AS avg_loss,
  round(avg(mfe), 6) AS mfe_mean, round(median(mfe), 6) AS mfe_median, round(avg(mae), 6) AS mae_mean, round(median(mae), 6) AS mae_median,
