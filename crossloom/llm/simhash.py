@@ -171,7 +171,7 @@ def hamming_links(codes: DataFrame, radius: int = 2, group: int = GROUP) -> Data
     `codes` has one column, `code`, distinct longs. Of radius + 1 blocks of
     bits, a near pair shares one; rows meet in the group of its pattern. A
     group of more than `group` codes is keyed by its remaining bits' blocks
-    instead, until 2^bits itself is no more than `group`.
+    instead, until 2^bits itself is no more than `group` (at least 4).
     """
     full = (1 << 64) - 1
     masks = _blocks(full, radius + 1)
@@ -195,13 +195,15 @@ def hamming_links(codes: DataFrame, radius: int = 2, group: int = GROUP) -> Data
         ready = rows.join(counts.where(F.col("n") <= group), ["mask", "key"]).select("mask", "key", "code")
         found = ready.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(join, "a long, b long")
         links = found if links is None else links.union(found)
-        if counts.where(F.col("n") > group).isEmpty():
+        crowded = {r["mask"] for r in counts.where(F.col("n") > group).select("mask").distinct().collect()}  # of the few masks in use
+        if not crowded:
             return links
         hot = rows.join(counts.where(F.col("n") > group).select("mask", "key"), ["mask", "key"])
-        deeper = {m: [m | x for x in _blocks(full & ~m, radius + 1)] for m in masks}
-        masks = [x for v in deeper.values() for x in v]
+        deeper = {m: [m | x for x in _blocks(full & ~m, radius + 1)] for m in masks if _signed(m) in crowded}
+        masks = list(dict.fromkeys(x for v in deeper.values() for x in v))
         table = F.create_map(*[F.lit(y) for m, v in deeper.items() for y in (_signed(m), [_signed(x) for x in v])])
-        rows = common.staged(hot.select("code", F.explode(table[F.col("mask")]).alias("mask")), "patterns")
+        # two ways lead to some masks; a code counts once in each
+        rows = common.staged(hot.select("code", F.explode(table[F.col("mask")]).alias("mask")).distinct(), "patterns")
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
