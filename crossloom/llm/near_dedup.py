@@ -58,7 +58,7 @@ def pattern_bits(width: int, count: int, seed: int) -> np.ndarray:
 
 
 def with_codes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs with CODES appended: the lanes of each text's fingerprint; one pass."""
+    """docs with CODES appended: the lanes of the fingerprint of each text's shingle set (repeats count once); one pass."""
     names = docs.columns
     schema = docs.withColumns({c: F.lit(0).cast("long") for c in CODES}).schema
     where = names.index("text")
@@ -67,7 +67,7 @@ def with_codes(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hashed = [shingle_hashes(t or "", words) for t in batch.column(where).to_pylist()]
+            hashed = [np.unique(shingle_hashes(t or "", words)) for t in batch.column(where).to_pylist()]
             lanes = [np.array([majority_bits(remix(h, k)) for h in hashed], np.uint64).view(np.int64) for k in range(LANES)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, lanes)], names=[*batch.schema.names, *CODES])
 
