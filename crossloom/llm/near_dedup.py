@@ -34,6 +34,8 @@ GROUP, DEEPER_WIDTH, LEVELS = 20_000, 16, 3
 PAIRS = 2_000_000
 
 CODES = [f"code_{k}" for k in range(LANES)]
+#: 128 bits that stand for a text's set of shingles.
+DIGEST = ["set_0", "set_1"]
 
 
 def flip_rate(similarity: float) -> float:
@@ -58,18 +60,21 @@ def pattern_bits(width: int, count: int, seed: int) -> np.ndarray:
 
 
 def with_codes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs with CODES appended: the lanes of the fingerprint of each text's shingle set (repeats count once); one pass."""
+    """docs with CODES and DIGEST appended: the fingerprint's lanes and a digest of each text's shingle set (repeats count once); one pass."""
+    schema = docs.withColumns({c: F.lit(0).cast("long") for c in CODES + DIGEST}).schema
     names = docs.columns
-    schema = docs.withColumns({c: F.lit(0).cast("long") for c in CODES}).schema
     where = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             hashed = [np.unique(shingle_hashes(t or "", words)) for t in batch.column(where).to_pylist()]
             lanes = [np.array([majority_bits(remix(h, k)) for h in hashed], np.uint64).view(np.int64) for k in range(LANES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, lanes)], names=[*batch.schema.names, *CODES])
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()) for h in hashed), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, [*lanes, *digests.T.copy()])], names=[*batch.schema.names, *CODES, *DIGEST])
 
     return docs.mapInArrow(run, schema)
 
@@ -172,7 +177,7 @@ def crowded(rows: DataFrame, total: int) -> DataFrame | None:
 
 
 def candidate_links(nodes: DataFrame, count: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of nodes whose fingerprints are near; nodes has node long and CODES, distinct."""
+    """(a, b) of nodes whose fingerprints are near; nodes has node long, distinct, and CODES."""
     limit = radius(similarity, 64 * LANES)
     width = min(40, max(10, math.ceil(math.log2(max(count, 1) / MEET + 1))))
 
@@ -234,7 +239,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     rows = plain.select(*[F.col(v).alias("text") if k == "text" else F.col(v) for k, v in at.items()])
     rows = common.staged(with_codes(rows, words).withColumn("row", F.monotonically_increasing_id()), "documents")
 
-    nodes = common.staged(rows.groupBy(*CODES).agg(F.min("row").alias("node"), F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row"))).alias("first")), "nodes")
+    nodes = common.staged(rows.groupBy(*DIGEST).agg(F.min("row").alias("node"), *[F.min(c).alias(c) for c in CODES], F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row"))).alias("first")), "nodes")
     links = common.staged(candidate_links(nodes.select("node", *CODES), nodes.count(), similarity), "candidates")
     linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     texts = rows.select(F.col("row").alias("node"), "text").join(linked, "node", "left_semi")

@@ -1,5 +1,7 @@
 """Near-duplicates of the pipeline: cases that a search by fingerprints alone gets wrong."""
 
+from pyspark.sql import functions as F
+
 from crossloom.llm import near_dedup
 
 
@@ -18,3 +20,11 @@ LINE = " all rights reserved by the owner "
 def test_copies_that_differ_in_the_repeats_of_a_line(spark):
     body = words(0, 200)
     assert kept(spark, [body + LINE, body + LINE * 20, body + LINE * 50, words(1000, 200) + LINE * 50]) == {0, 3}
+
+
+def test_equal_fingerprints_do_not_join_unlike_texts(spark, monkeypatch):
+    assert kept(spark, [LINE * 300 + words(0, 100), LINE * 300 + words(500, 100)]) == {0, 1}
+    # all fingerprints equal: nothing but the exact comparison tells texts apart
+    real = near_dedup.with_codes
+    monkeypatch.setattr(near_dedup, "with_codes", lambda *of: real(*of).withColumns({c: F.lit(7).cast("long") for c in near_dedup.CODES}))
+    assert kept(spark, [words(0, 50), words(0, 50), words(90, 50), words(0, 49)]) == {0, 2}
