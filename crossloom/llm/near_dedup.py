@@ -1,12 +1,10 @@
-"""Near-duplicates by similarity: SimHash of several lanes finds them, exact Jaccard similarity confirms them.
-
-For a similarity of 0.8, fingerprints differ in about 15 % of their bits, too many
-for one block to stay whole. So rows meet by masked patterns of `width` bits drawn
-from all lanes, with as many patterns as it takes for a pair at the limit to
-share one (width follows the logarithm of the rows, so that about MEET of them
-share a pattern by chance). The rows of patterns are dealt out once and never
-written: what they need is a function of the nodes' table. In a group, in Gray order, differences add up lane by lane and a pair goes as
-soon as they are too many. A task passes on a minimum spanning forest of what is left; its
+"""Near-duplicates by similarity: rows meet by shingles, SimHash orders the search, exact Jaccard similarity confirms links.
+
+Sets of a similarity of at least s share one of the first n - ceil(s n) + 1 of
+their n shingles, in whatever common order (prefix filter). So rows meet by these
+shingles and no pair is missed, whatever the number of rows. The order is rare
+shingles first, by the counts of a sample, so that few unlike rows meet. In a group,
+SimHash fingerprints in Gray order give a minimum spanning forest; its
 links are compared shingle by shingle, and confirmed links make components.
 """
 
@@ -25,12 +23,10 @@ from .components import components, local_stars
 from .simhash import gray_rank, majority_bits, remix, shingle_hashes, whole_groups
 
 WORDS, SIMILARITY, LANES = 5, 0.8, 2
-#: Share of pairs at the limit of similarity that may never meet.
-MISS = 0.001
-#: Rows that share a pattern by chance: more of them cost comparisons, fewer cost patterns and their shuffle.
-MEET = 128
-#: Rows of a pattern that one task compares; larger groups get further patterns.
-GROUP, DEEPER_WIDTH, LEVELS = 20_000, 16, 3
+#: Rows whose shingles are counted, the least count of a frequent shingle, and the most of these (an array in every task).
+SAMPLE, OFTEN, MOST = 20_000, 3, 1 << 18
+#: Rows of a group that are compared at once by their fingerprints.
+GROUP = 20_000
 PAIRS = 2_000_000
 
 CODES = [f"code_{k}" for k in range(LANES)]
@@ -38,27 +34,6 @@ CODES = [f"code_{k}" for k in range(LANES)]
 DIGEST = ["set_0", "set_1"]
 
 
-def flip_rate(similarity: float) -> float:
-    """The share of bits that differ between fingerprints of shingle sets of this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def radius(similarity: float, bits: int) -> int:
-    """Differing bits that a pair at the limit exceeds in one case of two hundred."""
-    p = flip_rate(similarity)
-    return math.ceil(bits * p + 2.6 * math.sqrt(bits * p * (1 - p)))
-
-
-def pattern_count(width: int, similarity: float, miss: float = MISS) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - (1 - flip_rate(similarity)) ** width))
-
-
-def pattern_bits(width: int, count: int, seed: int) -> np.ndarray:
-    """`count` patterns of `width` bit numbers each, drawn once and for all."""
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.choice(64 * LANES, width, replace=False) for _ in range(count)])
-
-
 def with_codes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with CODES and DIGEST appended: the fingerprint's lanes and a digest of each text's shingle set (repeats count once); one pass."""
     schema = docs.withColumns({c: F.lit(0).cast("long") for c in CODES + DIGEST}).schema
@@ -83,23 +58,72 @@ def codes_of(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     return np.stack([table.column(c).to_numpy() for c in CODES], axis=1).view(np.uint64)
 
 
-def keyed(rows: DataFrame, width: int, count: int, seed: int, key: str | None = None) -> DataFrame:
-    """A row for each of `count` patterns: key (hash of pattern number and bits, and of the old key), node, CODES."""
-    bits = pattern_bits(width, count, seed)
+def frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur often in a sample of rows, ascending, and their counts. They only set an order; any is right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sets = [np.unique(shingle_hashes(t or "", words)) for t in batch.column("text").to_pylist()]
+                shingles, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, rows.count()))) < SAMPLE).select("text")
+    counts = sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(MOST).toArrow()  # at most MOST rows of two numbers
+    shingles, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def prefixes(rows: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> DataFrame:
+    """key (a shingle), node, size and place for the first shingles of each row's set: its size and the shingle's place in it."""
+    shingles, counts = often
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.uint64(1) << np.arange(width, dtype=np.uint64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                codes = codes_of(part)
-                plain = np.unpackbits(codes.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
-                base = part.column(key).to_numpy().view(np.uint64) if key else np.zeros(len(codes), np.uint64)
-                keys = np.stack([remix(base ^ remix(plain[:, b] @ weight, k + 1), seed) for k, b in enumerate(bits)])
-                again = np.tile(np.arange(len(codes)), count)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column("node").take(pa.array(again)), *(part.column(c).take(pa.array(again)) for c in CODES)], names=["key", "node", *CODES])
+            keys, sizes, firsts = [np.zeros(0, np.uint64)], [], []
+            for t in batch.column("text").to_pylist():
+                own = np.unique(shingle_hashes(t or "", words))
+                n = len(own)
+                seen = np.zeros(n, np.int64)
+                if n and len(shingles):
+                    at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+                    seen = np.where(shingles[at] == own, counts[at], 0)
+                first = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+                keys.append(own[np.argsort(seen, kind="stable")[:first]])
+                sizes.append(n)
+                firsts.append(len(keys[-1]))
+            firsts = np.array(firsts, np.int64)
+            place = np.arange(firsts.sum()) - np.repeat(np.cumsum(firsts) - firsts, firsts)
+            node = np.repeat(batch.column("row").to_numpy(), firsts)
+            size = np.repeat(np.array(sizes, np.int32), firsts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(size), pa.array(place.astype(np.int32))], names=["key", "node", "size", "place"])
+
+    return rows.select("row", "text").mapInArrow(run, "key long, node long, size int, place int")
 
-    return rows.mapInArrow(run, "key long, node long, " + ", ".join(f"{c} long" for c in CODES))
+
+def by_key(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def group_ends(key: np.ndarray) -> np.ndarray:
+    """Where the run of equal keys that each row is in ends."""
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    return np.repeat(ends, np.diff(np.r_[0, ends]))
+
+
+def meetings(rows: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Rows of prefixes() with CODES, of nodes only, whose key occurs more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["key"]):
+            key = table.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            yield from table.filter(pa.array(np.r_[same, False] | np.r_[False, same])).combine_chunks().to_batches()
+
+    dealt = prefixes(rows, frequent(rows, words), words, similarity)
+    return by_key(dealt).mapInArrow(run, dealt.schema).join(nodes.select("node", *CODES), "node")
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, n: int) -> np.ndarray:
@@ -150,60 +174,18 @@ def group_forest(end: np.ndarray, codes: np.ndarray, limit: int) -> tuple[np.nda
     return a[keep], b[keep]
 
 
-def crowded(rows: DataFrame, total: int) -> DataFrame | None:
-    """The keys of more than GROUP rows, or None. `total` is about the number of rows.
-
-    Rows are first counted by a few bits of their key, an array in each task;
-    only keys in buckets that hold more than GROUP rows are counted one by one.
-    """
-    size = 1 << min(22, max(12, math.ceil(math.log2(8 * max(total, 1) / GROUP + 1))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
-        for batch in batches:
-            counts += np.bincount(batch.column("key").to_numpy() & (size - 1), minlength=size)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
-
-    bucket = F.col("key").bitwiseAND(F.lit(size - 1))
-    full = rows.select("key").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP)
-    full = common.staged(full.select("bucket"), "buckets")
-    if full.isEmpty():
-        return None
-    # at most 2^22 numbers
-    counts = rows.select("key").withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = common.staged(counts.where(F.col("n") > GROUP).select("key"), "patterns")
-    return None if hot.isEmpty() else hot
-
-
-def candidate_links(nodes: DataFrame, count: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of nodes whose fingerprints are near; nodes has node long, distinct, and CODES."""
-    limit = radius(similarity, 64 * LANES)
-    width = min(40, max(10, math.ceil(math.log2(max(count, 1) / MEET + 1))))
+def forest_links(met: DataFrame) -> DataFrame:
+    """(a, b), a < b: spanning forests of the groups, in which pairs with near fingerprints come first."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key"]):
             key, node, codes = table.column("key").to_numpy(), table.column("node").to_numpy(), codes_of(table)
             order = np.lexsort((node, gray_rank(codes[:, 0]), key))
             key, node, codes = key[order], node[order], codes[order]
-            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-            end = np.repeat(ends, np.diff(np.r_[0, ends]))
-            a, b = group_forest(end, codes, limit)
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
-
-    patterns = pattern_count(width, similarity)
-    rows, total, links = keyed(nodes, width, patterns, 1), count * patterns, None
-    for level in range(LEVELS + 1):
-        hot = crowded(rows, total) if level < LEVELS else None
-        ready = rows if hot is None else rows.join(hot, "key", "left_anti")
-        found = ready.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
-        links = found if links is None else links.union(found)
-        if hot is None:
-            break
-        crowd = common.staged(rows.join(hot, "key", "left_semi"), "patterns")
-        patterns = pattern_count(DEEPER_WIDTH, similarity)
-        rows, total = keyed(crowd, DEEPER_WIDTH, patterns, level + 2, "key"), crowd.count() * patterns
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            a, b = group_forest(group_ends(key), codes, 64 * LANES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+
+    return by_key(met.select("key", "node", *CODES)).mapInArrow(join, "a long, b long").distinct()
 
 
 def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -240,7 +222,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     rows = common.staged(with_codes(rows, words).withColumn("row", F.monotonically_increasing_id()), "documents")
 
     nodes = common.staged(rows.groupBy(*DIGEST).agg(F.min("row").alias("node"), *[F.min(c).alias(c) for c in CODES], F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row"))).alias("first")), "nodes")
-    links = common.staged(candidate_links(nodes.select("node", *CODES), nodes.count(), similarity), "candidates")
+    met = common.staged(meetings(rows, nodes, words, similarity), "meetings")
+    links = common.staged(forest_links(met), "candidates")
     linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     texts = rows.select(F.col("row").alias("node"), "text").join(linked, "node", "left_semi")
     roots = components(confirmed(links, texts, words, similarity))

@@ -28,3 +28,9 @@ def test_equal_fingerprints_do_not_join_unlike_texts(spark, monkeypatch):
     real = near_dedup.with_codes
     monkeypatch.setattr(near_dedup, "with_codes", lambda *of: real(*of).withColumns({c: F.lit(7).cast("long") for c in near_dedup.CODES}))
     assert kept(spark, [words(0, 50), words(0, 50), words(90, 50), words(0, 49)]) == {0, 2}
+
+
+def test_no_pair_of_few_words_at_the_limit_is_missed(spark):
+    """Sets of 5 and 4 shingles, similarity 0.8: fingerprints differ in more bits than those of long texts."""
+    texts = [words(100 * i, n) for i in range(150) for n in (9, 8)]
+    assert kept(spark, texts) == set(range(0, 300, 2))
