@@ -6,6 +6,8 @@ shingles and no pair is missed, whatever the number of rows. The order is rare
 shingles first, by the counts of a sample, so that few unlike rows meet. In a group,
 SimHash fingerprints in Gray order give a minimum spanning forest; its
 links are compared shingle by shingle, and confirmed links make components.
+Then all other pairs of different components that can be similar enough, by their sizes and
+the shared shingle's places, are compared too: the forest saves work, and decides nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .simhash import gray_rank, majority_bits, remix, shingle_hashes, whole_grou
 WORDS, SIMILARITY, LANES = 5, 0.8, 2
 #: Rows whose shingles are counted, the least count of a frequent shingle, and the most of these (an array in every task).
 SAMPLE, OFTEN, MOST = 20_000, 3, 1 << 18
-#: Rows of a group that are compared at once by their fingerprints.
+#: Rows of a group that one task compares; larger groups are compared block by block.
 GROUP = 20_000
 PAIRS = 2_000_000
 
@@ -182,12 +184,48 @@ def forest_links(met: DataFrame) -> DataFrame:
             key, node, codes = table.column("key").to_numpy(), table.column("node").to_numpy(), codes_of(table)
             order = np.lexsort((node, gray_rank(codes[:, 0]), key))
             key, node, codes = key[order], node[order], codes[order]
-            a, b = group_forest(group_ends(key), codes, 64 * LANES)
+            block_end = (np.arange(len(key)) // GROUP + 1) * GROUP
+            a, b = group_forest(np.minimum(group_ends(key), block_end), codes, 64 * LANES)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
     return by_key(met.select("key", "node", *CODES)).mapInArrow(join, "a long, b long").distinct()
 
 
+def remaining_links(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs of a group that differ in `root` and can have this similarity. met has meetings() and root.
+
+    A group of more than GROUP rows is dealt into blocks, and each two blocks meet in one task.
+    """
+    hot = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = met.join(F.broadcast(hot), "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "root", "size", "place", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["key"]):
+            key, node, root, size, place, side = (table.column(c).to_numpy() for c in ("key", "node", "root", "size", "place", "side"))
+            end = group_ends(key)
+            following = end - 1 - np.arange(len(key))
+            total = np.cumsum(following)
+            at = 0
+            while at < len(key):
+                before = total[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(total, before + PAIRS, side="right")))
+                i = np.repeat(np.arange(at, to), following[at:to])
+                j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - following[at:to] - before, following[at:to])
+                apart = (root[i] != root[j]) & ((side[i] < 0) | (side[i] != side[j]))
+                i, j = i[apart], j[apart]
+                # at their first common shingle, what both have left must be enough
+                left = np.minimum(size[i] - place[i], size[j] - place[j])
+                enough = left >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
+                pairs = np.unique(np.stack([np.minimum(node[i], node[j])[enough], np.maximum(node[i], node[j])[enough]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                at = to
+
+    return by_key(rows).mapInArrow(join, "a long, b long").distinct()
+
+
 def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links whose texts' shingle sets have at least this Jaccard similarity; texts has node and text."""
 
@@ -206,6 +244,12 @@ def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     return common.map_batches(pairs, "a long, b long, alike boolean", make).where("alike").select("a", "b")
 
 
+def texts_of(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and text of the rows that links name."""
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    return rows.select(F.col("row").alias("node"), "text").join(linked, "node", "left_semi")
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near-duplicates: of each group of linked rows the one with the smallest doc_id stays.
 
@@ -224,9 +268,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     nodes = common.staged(rows.groupBy(*DIGEST).agg(F.min("row").alias("node"), *[F.min(c).alias(c) for c in CODES], F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row"))).alias("first")), "nodes")
     met = common.staged(meetings(rows, nodes, words, similarity), "meetings")
     links = common.staged(forest_links(met), "candidates")
-    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    texts = rows.select(F.col("row").alias("node"), "text").join(linked, "node", "left_semi")
-    roots = components(confirmed(links, texts, words, similarity))
+    true = common.staged(confirmed(links, texts_of(links, rows), words, similarity), "confirmed")
+    roots = components(true)
+    met = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    others = common.staged(remaining_links(met, similarity).join(links, ["a", "b"], "left_anti"), "candidates")
+    roots = components(true.union(confirmed(others, texts_of(others, rows), words, similarity)))
     grouped = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     stays = rows.join(kept, "row", "left_semi")

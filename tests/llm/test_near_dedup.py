@@ -34,3 +34,26 @@ def test_no_pair_of_few_words_at_the_limit_is_missed(spark):
     """Sets of 5 and 4 shingles, similarity 0.8: fingerprints differ in more bits than those of long texts."""
     texts = [words(100 * i, n) for i in range(150) for n in (9, 8)]
     assert kept(spark, texts) == set(range(0, 300, 2))
+
+
+def test_links_that_a_forest_leaves_out_are_compared(spark, monkeypatch):
+    """In each group the forest is the path 0 - 1 - 2, and only 0 and 2 are alike."""
+    shared = words(0, 100)
+    texts = [f"{shared} {words(500, 8)}", f"{shared} {words(600, 22)}", f"{shared} {words(700, 8)}"]
+    real = near_dedup.with_codes
+    code = F.when(F.col("c0") == 0, 0).when(F.col("c0") == 1, 1).otherwise(3).cast("long")
+    monkeypatch.setattr(near_dedup, "with_codes", lambda *of: real(*of).withColumns({c: code for c in near_dedup.CODES}))
+    key = F.explode(F.array(*[F.lit(k).cast("long") for k in range(20)])).alias("key")
+
+    def meet_everywhere(rows, nodes, *of):
+        return nodes.select(key, "node", F.lit(104).alias("size"), F.lit(0).alias("place"), *near_dedup.CODES)
+
+    monkeypatch.setattr(near_dedup, "meetings", meet_everywhere)
+    assert kept(spark, texts) == {0, 1}
+
+
+def test_every_pair_of_a_large_group_meets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "GROUP", 7)
+    met = spark.range(40).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"), F.lit(10).alias("size"), F.lit(0).alias("place"), (F.col("id") % 20).alias("root"))
+    got = sorted((r["a"], r["b"]) for r in near_dedup.remaining_links(met, 0.8).collect())
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 20 != b % 20]
