@@ -9,6 +9,7 @@ pair of a lower rank than its own, as a merge's parts exist before it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks and words a task remembers; when full it starts again. Bounds memory, not work.
-CACHE = 600_000
+#: Bytes that a process's caches take at most, about; when full they start again. Chunks and words over LONG characters are not kept.
+CACHE_BYTES, LONG = 48 << 20, 64
+#: What a cached string costs besides its characters and ids (two objects and their place).
+ENTRY = 200
 WORD_END = "</w>"
 
 #: Fixed values of the tokenizer's file: its pre-tokenizer's pattern. Chunks hold no white space.
@@ -119,7 +122,7 @@ class PairIndex:
 
 
 class Codec:
-    """encode(texts) and decode(ids) as the tokenizer's file says; one per task."""
+    """encode(texts) and decode(ids) as the tokenizer's file says; one per process, by codec()."""
 
     def __init__(self, tokenizer: str = TOKENIZER):
         import public_tokenizers
@@ -138,6 +141,7 @@ class Codec:
         self.odd = re.compile("[\x1c-\x1f]").search
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def cut(self, text: str) -> list[str]:
         """Normalized text (NFC, each character lowered by itself) without its white space."""
@@ -146,10 +150,12 @@ class Codec:
         text = text.lower()
         return self.strict(text) if self.odd(text) else text.split()
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > CACHE or len(self.words) > CACHE:
+    def learn(self, chunks: set[str]) -> tuple[list[str], list[str]]:
+        """Encode the chunks not met yet; returns these and their new words."""
+        if self.held > CACHE_BYTES:
             self.chunks.clear()
             self.words.clear()
+            self.held = 0
         chunks = chunks.difference(self.chunks)
         parts = {c: [c] if c.isalpha() else self.words_of(c) for c in chunks}
         new = list({w for p in parts.values() for w in p}.difference(self.words))
@@ -157,6 +163,15 @@ class Codec:
         words = self.words
         for chunk, p in parts.items():
             self.chunks[chunk] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
+        return list(parts), new
+
+    def forget(self, new: list[str], cache: dict[str, bytes]) -> None:
+        """Drop long strings from a cache, and count the bytes of the others."""
+        for x in new:
+            if len(x) > LONG:
+                del cache[x]
+            else:
+                self.held += ENTRY + len(x) + len(cache[x])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
@@ -166,14 +181,7 @@ class Codec:
                 cuts.append([x for k, piece in enumerate(pieces) for x in ([self.special[piece]] if k % 2 else self.cut(piece))])
             else:
                 cuts.append(self.cut(text))
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-            self.words.clear()
-        need = set().union(*cuts)
-        need = {x for x in need if isinstance(x, str)}
-        self.learn(need)
-        if not need <= self.chunks.keys():  # the caches were emptied on the way
-            self.learn(need)
+        chunks, words = self.learn({x for x in set().union(*cuts) if isinstance(x, str)})
         get = self.chunks.__getitem__
         out = []
         for cut in cuts:
@@ -181,6 +189,8 @@ class Codec:
                 out.append(b"".join(map(get, cut)))
             except KeyError:
                 out.append(b"".join(get(x) if isinstance(x, str) else np.uint32(x).astype("<u4").tobytes() for x in cut))
+        self.forget(chunks, self.chunks)
+        self.forget(words, self.words)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -188,6 +198,12 @@ class Codec:
         return b" ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8")
 
 
+@functools.cache
+def codec(tokenizer: str = TOKENIZER) -> Codec:
+    """The process's one codec: reused workers keep one vocabulary and bounded caches, however many tasks they run."""
+    return Codec(tokenizer)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -199,12 +215,12 @@ def encode_decode(docs: DataFrame, tokenizer: str = TOKENIZER, with_ids: bool =
     """
 
     def make():
-        codec = Codec(tokenizer)
+        own = codec(tokenizer)
         sha = lambda b: hashlib.sha256(b).hexdigest()
 
         def step(c):
-            ids = codec.encode(c["text"])
-            texts = [codec.decode(x) for x in ids]
+            ids = own.encode(c["text"])
+            texts = [own.decode(x) for x in ids]
             out = {"doc_id": c["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": list(map(sha, ids)), "decoded_sha256": [sha(t.encode()) for t in texts]}
             return out | ({"ids": ids, "decoded": texts} if with_ids else {})
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,11 +69,28 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+#: Text bytes that a Python step handles at once; a longer text is handled alone, and whole.
+SLICE = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in order, cut so that a part's strings and binaries take about `most` bytes."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(held) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[dict[str, list]], dict[str, object]]]) -> DataFrame:
     """mapInArrow with a function from columns (lists) to columns; `make` runs once per task.
 
-    The result's columns are cast to `schema`; an Arrow batch holds 64 MB at
-    most (spark.sql.execution.arrow.maxBytesPerBatch), whatever the texts' length.
+    The result's columns are cast to `schema`. A step sees SLICE bytes of text or
+    one text, so a task's memory does not follow the batch size.
     """
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     fields = [(f.name, f.dataType) for f in out.fields]
@@ -82,8 +101,8 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
         types = {n: to_arrow_type(t) for n, t in fields}
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                cols = step({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
+            for part in slices(batch):
+                cols = step({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True)})
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], types[n]) for n, _ in fields], names=[n for n, _ in fields])
 
     return df.mapInArrow(run, out)

@@ -20,21 +20,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
 
     Labels are taken in the order of a hash of the id, so the sample is the
     same in every run. Null ids and null labels take no part; of repeated ids
-    one row is used.
+    the least label and the least text are used. Texts are whole, however long.
     """
     picked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~common.held_out(F.col("doc_id")))
         .withColumn("_h", F.xxhash64(F.lit("fit"), "doc_id"))
-        .orderBy("_h", "doc_id", "label")
+        .groupBy("doc_id", "_h")
+        .agg(F.min("label").alias("label"))
+        .orderBy("_h", "doc_id")
         .limit(rows)
-        .dropDuplicates(["doc_id"])
         .withColumn("part", F.pmod("_h", F.lit(100)).cast("int"))
         .drop("_h")
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
     # picked holds `rows` narrow rows at most, whatever the input
-    return common.staged(texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    least = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"), F.first("label").alias("label"), F.first("part").alias("part"))
+    return common.staged(least, "labelled")
 
 
 def feature_matrix(sample: DataFrame, features: Callable[[str], list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,9 +59,8 @@ def score_all(docs: DataFrame, features: Callable[[str], list[float]], predict:
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array([features(t or "") for t in batch.column(where).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(predict(x), 0, 1))], names=[*batch.schema.names, out])
+            for part in common.slices(batch):
+                x = np.array([features(t or "") for t in part.column(where).to_pylist()], np.float64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(predict(x), 0, 1))], names=[*part.schema.names, out])
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)

@@ -1,13 +1,13 @@
-"""Near-duplicates by similarity: rows meet by shingles, SimHash orders the search, exact Jaccard similarity confirms links.
+"""Near-duplicates by similarity: rows meet by shingles, a Gray-order SimHash index finds their near pairs, exact Jaccard similarity confirms links.
 
 Sets of a similarity of at least s share one of the first n - ceil(s n) + 1 of
 their n shingles, in whatever common order (prefix filter). So rows meet by these
 shingles and no pair is missed, whatever the number of rows. The order is rare
-shingles first, by the counts of a sample, so that few unlike rows meet. In a group,
-SimHash fingerprints in Gray order give a minimum spanning forest; its
-links are compared shingle by shingle, and confirmed links make components.
-Then all other pairs of different components that can be similar enough, by their sizes and
-the shared shingle's places, are compared too: the forest saves work, and decides nothing.
+shingles first, by the counts of a sample, so that few unlike rows meet. In a group
+the index of simhash.py, over fingerprints in Gray order, gives the near pairs, and of these a minimum
+spanning forest. Each row's nearest link is compared shingle by shingle, and confirmed links make components.
+Then every other pair of different components that can be similar enough, by their sizes and
+the shared shingle's places, is compared too: fingerprints find most links early and cheaply, and lose none.
 """
 
 from __future__ import annotations
@@ -22,55 +22,33 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components, local_stars
-from .simhash import gray_rank, majority_bits, remix, shingle_hashes, whole_groups
+from .simhash import PAIRS, gray_rank, index_pairs, majority_bits, shingle_hashes, whole_groups
 
-WORDS, SIMILARITY, LANES = 5, 0.8, 2
-#: Rows whose shingles are counted, the least count of a frequent shingle, and the most of these (an array in every task).
+WORDS, SIMILARITY = 5, 0.8
+#: Differing bits up to which the index looks: about three deviations above the mean of a pair at the limit.
+NEAR = 18
+#: Rows whose shingles are counted, the least count of a frequent shingle, and the most of these (an array in every task). They set the order only.
 SAMPLE, OFTEN, MOST = 20_000, 3, 1 << 18
 #: Rows of a group that one task compares; larger groups are compared block by block.
-GROUP = 20_000
-PAIRS = 2_000_000
+GROUP = 4_000
 
-CODES = [f"code_{k}" for k in range(LANES)]
+CODE = "code"
 #: 128 bits that stand for a text's set of shingles.
 DIGEST = ["set_0", "set_1"]
+MET = "key long, node long, code long, size int, place int"
 
 
-def with_codes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs with CODES and DIGEST appended: the fingerprint's lanes and a digest of each text's shingle set (repeats count once); one pass."""
-    schema = docs.withColumns({c: F.lit(0).cast("long") for c in CODES + DIGEST}).schema
-    names = docs.columns
-    where = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hashed = [np.unique(shingle_hashes(t or "", words)) for t in batch.column(where).to_pylist()]
-            lanes = [np.array([majority_bits(remix(h, k)) for h in hashed], np.uint64).view(np.int64) for k in range(LANES)]
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()) for h in hashed), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, [*lanes, *digests.T.copy()])], names=[*batch.schema.names, *CODES, *DIGEST])
-
-    return docs.mapInArrow(run, schema)
-
-
-def codes_of(table: pa.Table | pa.RecordBatch) -> np.ndarray:
-    return np.stack([table.column(c).to_numpy() for c in CODES], axis=1).view(np.uint64)
-
-
-def frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur often in a sample of rows, ascending, and their counts. They only set an order; any is right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                sets = [np.unique(shingle_hashes(t or "", words)) for t in batch.column("text").to_pylist()]
+            for part in common.slices(batch):
+                sets = [np.unique(shingle_hashes(t or "", words)) for t in part.column(0).to_pylist()]
                 shingles, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, rows.count()))) < SAMPLE).select("text")
+    sample = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, docs.count()))) < SAMPLE).select("text")
     counts = sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     found = counts.orderBy(F.desc("n"), "shingle").limit(MOST).toArrow()  # at most MOST rows of two numbers
     shingles, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
@@ -78,14 +56,19 @@ def frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], n[order]
 
 
-def prefixes(rows: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> DataFrame:
-    """key (a shingle), node, size and place for the first shingles of each row's set: its size and the shingle's place in it."""
+def with_sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with CODE (the fingerprint of the text's shingle set, so repeats count once), DIGEST, size and prefix (its first shingles in the common order); one pass."""
+    added = {CODE: "long"} | dict.fromkeys(DIGEST, "long") | {"size": "int", "prefix": "array<long>"}
+    schema = docs.withColumns({c: F.lit(None).cast(t) for c, t in added.items()}).schema
+    where = docs.columns.index("text")
     shingles, counts = often
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, firsts = [np.zeros(0, np.uint64)], [], []
-            for t in batch.column("text").to_pylist():
+        import xxhash
+
+        for part in (x for batch in batches for x in common.slices(batch)):
+            codes, digests, sizes, firsts = [], [], [], []
+            for t in part.column(where).to_pylist():
                 own = np.unique(shingle_hashes(t or "", words))
                 n = len(own)
                 seen = np.zeros(n, np.int64)
@@ -93,16 +76,17 @@ def prefixes(rows: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int,
                     at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
                     seen = np.where(shingles[at] == own, counts[at], 0)
                 first = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-                keys.append(own[np.argsort(seen, kind="stable")[:first]])
+                firsts.append(own[np.argsort(seen, kind="stable")[:first]].view(np.int64))
+                codes.append(majority_bits(own))
+                digests.append(xxhash.xxh3_128_digest(own.astype("<u8").tobytes()))
                 sizes.append(n)
-                firsts.append(len(keys[-1]))
-            firsts = np.array(firsts, np.int64)
-            place = np.arange(firsts.sum()) - np.repeat(np.cumsum(firsts) - firsts, firsts)
-            node = np.repeat(batch.column("row").to_numpy(), firsts)
-            size = np.repeat(np.array(sizes, np.int32), firsts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node), pa.array(size), pa.array(place.astype(np.int32))], names=["key", "node", "size", "place"])
+            ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
+            digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T.copy()
+            columns = [pa.array(np.array(codes, np.uint64).view(np.int64)), *map(pa.array, digest), pa.array(sizes, pa.int32()), prefix]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added])
 
-    return rows.select("row", "text").mapInArrow(run, "key long, node long, size int, place int")
+    return docs.mapInArrow(run, schema)
 
 
 def by_key(rows: DataFrame) -> DataFrame:
@@ -115,8 +99,8 @@ def group_ends(key: np.ndarray) -> np.ndarray:
     return np.repeat(ends, np.diff(np.r_[0, ends]))
 
 
-def meetings(rows: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Rows of prefixes() with CODES, of nodes only, whose key occurs more than once."""
+def meetings(nodes: DataFrame) -> DataFrame:
+    """MET: each node's prefix shingles (keys) with their places, where a key occurs more than once. nodes has node, code, size and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key"]):
@@ -124,8 +108,18 @@ def meetings(rows: DataFrame, nodes: DataFrame, words: int, similarity: float) -
             same = key[1:] == key[:-1]
             yield from table.filter(pa.array(np.r_[same, False] | np.r_[False, same])).combine_chunks().to_batches()
 
-    dealt = prefixes(rows, frequent(rows, words), words, similarity)
-    return by_key(dealt).mapInArrow(run, dealt.schema).join(nodes.select("node", *CODES), "node")
+    dealt = nodes.select("node", CODE, "size", F.posexplode("prefix").alias("place", "key")).select("key", "node", CODE, "size", "place")
+    return by_key(dealt).mapInArrow(run, MET)
+
+
+def enough(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the pairs (i, j) can be similar: at their first common shingle, what both have left must suffice. False only for pairs that aren't."""
+    left = np.minimum(size[i] - place[i], size[j] - place[j])
+    return left >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
+
+
+def pairs_batch(node: np.ndarray, i: np.ndarray, j: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), *map(pa.array, more.values())], names=["a", "b", *more])
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, n: int) -> np.ndarray:
@@ -149,105 +143,113 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, n: int) ->
         label = step[label]
 
 
-def group_forest(end: np.ndarray, codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (i, j) between rows of the same group within `limit` bits; end[i] is where row i's group ends."""
-    n = len(codes)
-    following = end - 1 - np.arange(n)
-    total = np.cumsum(following)
-    a, b, differ = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = 0
-    while at < n:
-        before = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, before + PAIRS, side="right")))
-        i = np.repeat(np.arange(at, to), following[at:to])
-        start = np.repeat(total[at:to] - following[at:to] - before, following[at:to])
-        j = i + 1 + np.arange(len(i)) - start
-        bits = np.zeros(len(i), np.int64)
-        for lane in range(codes.shape[1]):
-            bits = bits + np.bitwise_count(codes[i, lane] ^ codes[j, lane])
-            near = bits <= limit
-            i, j, bits = i[near], j[near], bits[near]
-        a, b, differ = np.r_[a, i], np.r_[b, j], np.r_[differ, bits]
-        if len(a) > PAIRS:
-            keep = spanning_forest(a, b, differ, n)
-            a, b, differ = a[keep], b[keep], differ[keep]
-        at = to
-    keep = spanning_forest(a, b, differ, n)
-    return a[keep], b[keep]
-
-
-def forest_links(met: DataFrame) -> DataFrame:
-    """(a, b), a < b: spanning forests of the groups, in which pairs with near fingerprints come first."""
+def near_links(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, bits), a < b: of the near pairs that the Gray-order index finds in the groups, a minimum spanning forest of `root`s per task."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key"]):
-            key, node, codes = table.column("key").to_numpy(), table.column("node").to_numpy(), codes_of(table)
-            order = np.lexsort((node, gray_rank(codes[:, 0]), key))
-            key, node, codes = key[order], node[order], codes[order]
-            block_end = (np.arange(len(key)) // GROUP + 1) * GROUP
-            a, b = group_forest(np.minimum(group_ends(key), block_end), codes, 64 * LANES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
-
-    return by_key(met.select("key", "node", *CODES)).mapInArrow(join, "a long, b long").distinct()
+            key, code = table.column("key").to_numpy(), table.column(CODE).to_numpy().view(np.uint64)
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            order = np.lexsort((gray_rank(code), key))
+            code = code[order]
+            node, root, size, place = (table.column(c).to_numpy()[order] for c in ("node", "root", "size", "place"))
+            roots, part = np.unique(root, return_inverse=True)
+            inside = np.arange(len(key)) - np.repeat(begin, np.diff(np.r_[begin, len(key)]))
+            block = np.cumsum(inside % GROUP == 0)
+            a, b, differ = (np.zeros(0, np.int64) for _ in range(3))
+            for i, j, bits in index_pairs(block, code, NEAR):
+                can = (part[i] != part[j]) & enough(size, place, i, j, similarity)
+                a, b, differ = np.r_[a, i[can]], np.r_[b, j[can]], np.r_[differ, bits[can]]
+                if len(a) > PAIRS:
+                    keep = spanning_forest(part[a], part[b], differ, len(roots))
+                    a, b, differ = a[keep], b[keep], differ[keep]
+            keep = spanning_forest(part[a], part[b], differ, len(roots))
+            yield pairs_batch(node, a[keep], b[keep], bits=differ[keep].astype(np.int32))
+
+    return by_key(met).mapInArrow(join, "a long, b long, bits int").distinct()
+
+
+def nearest_links(links: DataFrame) -> DataFrame:
+    """(a, b): of each node's links the one with the least bits, so at most one per node."""
+    ends = links.select(F.col("a").alias("node"), "bits", "a", "b").union(links.select("b", "bits", "a", "b"))
+    return ends.groupBy("node").agg(F.min(F.struct("bits", "a", "b")).alias("to")).select("to.a", "to.b").distinct()
 
 
 def remaining_links(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: all pairs of a group that differ in `root` and can have this similarity. met has meetings() and root.
+    """(a, b), a < b: all pairs of a group that differ in `root` and can have this similarity. met has MET and root.
 
-    A group of more than GROUP rows is dealt into blocks, and each two blocks meet in one task.
+    Groups of one root are done. A group of more than GROUP rows is dealt into
+    blocks, and each two blocks meet in one task.
     """
-    hot = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    rows = met.join(F.broadcast(hot), "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    size = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    parts = size.where("low < high").select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
+    rows = met.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "root", "size", "place", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key"]):
-            key, node, root, size, place, side = (table.column(c).to_numpy() for c in ("key", "node", "root", "size", "place", "side"))
-            end = group_ends(key)
-            following = end - 1 - np.arange(len(key))
+            order = np.lexsort((table.column("root").to_numpy(), table.column("key").to_numpy()))
+            key, node, root, size, place, side = (table.column(c).to_numpy()[order] for c in ("key", "node", "root", "size", "place", "side"))
+            number = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (root[1:] != root[:-1])])
+            start, end = group_ends(number), group_ends(key)  # of the other roots' rows
+            following = end - start
             total = np.cumsum(following)
             at = 0
             while at < len(key):
                 before = total[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(total, before + PAIRS, side="right")))
                 i = np.repeat(np.arange(at, to), following[at:to])
-                j = i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - following[at:to] - before, following[at:to])
-                apart = (root[i] != root[j]) & ((side[i] < 0) | (side[i] != side[j]))
-                i, j = i[apart], j[apart]
-                # at their first common shingle, what both have left must be enough
-                left = np.minimum(size[i] - place[i], size[j] - place[j])
-                enough = left >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
-                pairs = np.unique(np.stack([np.minimum(node[i], node[j])[enough], np.maximum(node[i], node[j])[enough]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                j = np.repeat(start[at:to], following[at:to]) + np.arange(len(i)) - np.repeat(total[at:to] - following[at:to] - before, following[at:to])
+                can = ((side[i] < 0) | (side[i] != side[j])) & enough(size, place, i, j, similarity)
+                yield pairs_batch(node, i[can], j[can])
                 at = to
 
     return by_key(rows).mapInArrow(join, "a long, b long").distinct()
 
 
-def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links whose texts' shingle sets have at least this Jaccard similarity; texts has node and text."""
+def confirmed(links: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose texts' shingle sets have at least this Jaccard similarity; rows has row and text."""
 
     def make():
         def step(c):
+            sets = {t: np.unique(shingle_hashes(t or "", words)) for t in {*c["text_a"], *c["text_b"]}}
             alike = []
-            for x, y in zip(c["text_a"], c["text_b"], strict=True):
-                s, t = np.unique(shingle_hashes(x or "", words)), np.unique(shingle_hashes(y or "", words))
+            for s, t in zip(map(sets.get, c["text_a"]), map(sets.get, c["text_b"]), strict=True):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 alike.append(both >= similarity * (len(s) + len(t) - both))
             return {"a": c["a"], "b": c["b"], "alike": alike}
 
         return step
 
-    pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return common.map_batches(pairs, "a long, b long, alike boolean", make).where("alike").select("a", "b")
+    ends = links.select(F.col("a").alias("row")).union(links.select("b")).distinct()
+    texts = rows.select("row", "text").join(ends, "row", "left_semi")
+    pairs = links.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    return common.staged(common.map_batches(pairs, "a long, b long, alike boolean", make).where("alike").select("a", "b"), "confirmed")
 
 
-def texts_of(links: DataFrame, rows: DataFrame) -> DataFrame:
-    """node and text of the rows that links name."""
-    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    return rows.select(F.col("row").alias("node"), "text").join(linked, "node", "left_semi")
+def linked(rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, roots): rows with equal shingle sets are one node, and (node, root) names the component of each linked node.
+
+    rows has row (a unique long), DIGEST, CODE, size, prefix and text.
+    """
+    nodes = common.staged(rows.groupBy(*DIGEST).agg(F.min("row").alias("node")), "nodes")
+    met = common.staged(meetings(rows.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")), "meetings")
+    true = None
+    tried: list[DataFrame] = []
+    for search in (lambda m: nearest_links(near_links(m, similarity)), lambda m: near_links(m, similarity).select("a", "b"), lambda m: remaining_links(m, similarity)):
+        if true is None:
+            links = search(met.withColumn("root", F.col("node")))
+        else:
+            links = search(met.join(components(true), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        for done in tried:
+            links = links.join(done, ["a", "b"], "left_anti")
+        tried.append(common.staged(links, "candidates"))
+        found = confirmed(tried[-1], rows, words, similarity)
+        true = found if true is None else true.union(found)
+    for df in (met, *tried):
+        common.unstage(df)
+    return nodes, components(true)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -259,21 +261,15 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     are those of docs, whatever their names; an empty table stays empty.
     """
     names = docs.columns
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    at = {c: f"c{i}" for i, c in enumerate(names)}
-    doc_id = at["doc_id"]
-    rows = plain.select(*[F.col(v).alias("text") if k == "text" else F.col(v) for k, v in at.items()])
-    rows = common.staged(with_codes(rows, words).withColumn("row", F.monotonically_increasing_id()), "documents")
-
-    nodes = common.staged(rows.groupBy(*DIGEST).agg(F.min("row").alias("node"), *[F.min(c).alias(c) for c in CODES], F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row"))).alias("first")), "nodes")
-    met = common.staged(meetings(rows, nodes, words, similarity), "meetings")
-    links = common.staged(forest_links(met), "candidates")
-    true = common.staged(confirmed(links, texts_of(links, rows), words, similarity), "confirmed")
-    roots = components(true)
-    met = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    others = common.staged(remaining_links(met, similarity).join(links, ["a", "b"], "left_anti"), "candidates")
-    roots = components(true.union(confirmed(others, texts_of(others, rows), words, similarity)))
-    grouped = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    plain = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(names)])
+    at = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(names)}
+    id_ = F.col(at["doc_id"])
+    sets = with_sets(plain, frequent(plain.select(at["doc_id"], "text"), words), words, similarity)
+    rows = common.staged(sets.withColumn("row", F.monotonically_increasing_id()), "documents")
+
+    nodes, roots = linked(rows, words, similarity)
+    grouped = nodes.join(roots, "node", "left").select(*DIGEST, F.coalesce("root", "node").alias("root"))
+    least = F.min(F.struct(id_.isNull().alias("none"), id_.alias("id"), F.col("row"))).alias("first")
+    kept = rows.groupBy(*DIGEST).agg(least).join(grouped, DIGEST).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     stays = rows.join(kept, "row", "left_semi")
-    return stays.select(*[F.col("text" if k == "text" else v).alias(k) for k, v in at.items()])
+    return stays.select(*[F.col(v).alias(k) for k, v in at.items()])

@@ -90,7 +90,7 @@ def token_matrices(docs: DataFrame, width: int = WIDTH, separator: int = tokens.
     def run(batches):
         import pyarrow as pa
 
-        encoder = tokens.Encoder()
+        encoder = tokens.encoder()
         if max(len(encoder.length), separator) > np.iinfo(dtype_).max + 1:
             raise ValueError(f"{dtype} can't hold every id")
         base, made = TaskContext.get().partitionId() << 33, 0
@@ -114,9 +114,9 @@ def token_matrices(docs: DataFrame, width: int = WIDTH, separator: int = tokens.
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()), strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
             held, size = [], 0
 
-        for batch in batches:
-            ids_of = encoder.ids(batch.column(1).to_pylist())
-            for doc_id, raw in zip(batch.column(0).to_pylist(), ids_of, strict=True):
+        for part in (x for batch in batches for x in common.slices(batch)):
+            ids_of = encoder.ids(part.column(1).to_pylist())
+            for doc_id, raw in zip(part.column(0).to_pylist(), ids_of, strict=True):
                 ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(separator)).astype(dtype_)
                 for start in range(0, len(ids), width_):
                     held.append((doc_id, start, ids[start : start + width_]))

@@ -25,7 +25,8 @@ CAPACITY = 1024
 STEP, SHARE = 16, 8
 #: Columns are priced until the use is within this share of the bound, or so many were tried.
 GAP, MOST_COLUMNS = 5e-4, 400
-SALTS = 64
+#: Pieces of one length that a task numbers, about; a common length is dealt over as many tasks as that takes.
+NUMBERED = 50_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -207,7 +208,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, separator: int = tokens.SEPAR
     width = 4 * capacity
 
     def make():
-        encoder, tail = tokens.Encoder(), np.array([separator], "<u4").tobytes()
+        encoder, tail = tokens.encoder(), np.array([separator], "<u4").tobytes()
 
         def step(c):
             out: dict[str, list] = {n: [] for n in names}
@@ -238,7 +239,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = tokens.SEPA
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = [(r.length, r.rank, r.rank + r.times, r.sequence, r.offset) for r in plan(histogram, capacity)]
     where = spark.createDataFrame(runs, "length long, _from long, _to long, _sequence long, _offset long")
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(1, -(-max(histogram.values(), default=0) // NUMBERED))))
     placed = common.ranked(pieces, ["length"], ["doc_id", "start"], salt).alias("p")
     # `where` has a few thousand rows at most: its size follows capacity, not the table
     found = placed.join(F.broadcast(where.alias("w")), (F.col("p.length") == F.col("w.length")) & (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to")))

@@ -2,9 +2,12 @@
 
 Fingerprints within a few bits share a whole block of bits, so rows meet by
 the masked pattern of a block. Inside such a group the index sorts
-fingerprints by Gray rank and factors common patterns into upper nodes; a join
-of the index with itself goes down pair by pair of nodes, adds up their
-differing bits and drops a pair of whole subtrees as soon as they are too many.
+fingerprints by Gray rank, so that neighbours differ in few bits, and builds a
+tree over runs of neighbours. A node holds the masked pattern that all its
+fingerprints share: the bits set in all of them and the bits set in none. A join
+of the index with itself goes down pair by pair of nodes; the differing bits of
+their patterns, which only grow on the way down, bound those of all pairs below, and a pair
+of whole groups goes as soon as they are too many.
 Groups that are too large for a task are keyed by further blocks, again
 without losing a pair.
 """
@@ -26,6 +29,8 @@ SEED = 42
 GROUP = 20_000
 #: Rows of whole groups that a task joins at once, and node pairs it looks at together.
 BATCH, PAIRS = 50_000, 2_000_000
+#: Neighbours in Gray order that a node of the index takes together.
+FANOUT = 8
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -87,50 +92,63 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def index_pairs(group: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of codes of the same group that differ in at most `radius` bits.
+def shared_patterns(group: np.ndarray, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The index, rows first: per level (first node below each, with an end mark; bits set in all its codes; bits set in none).
 
-    Rows are in order of group and Gray rank. Node k of a level is the k-th
-    distinct (group, leading bits); bytes are the levels.
+    Rows are in order of group and Gray rank; no node crosses a group, and on the last level each group is one node.
     """
     n = len(codes)
-    levels = []  # (first child of each node, with an end mark; the node's own byte)
-    new = np.r_[True, group[1:] != group[:-1]] if n else np.zeros(0, bool)
-    above = np.flatnonzero(new)
-    roots = len(above)
-    for shift in range(56, -1, -8):
-        head = codes >> np.uint64(shift)
-        new = new | np.r_[True, head[1:] != head[:-1]] if n else new
-        here = np.flatnonzero(new)
-        levels.append((np.append(np.searchsorted(here, above), len(here)), (head[here] & np.uint64(255)).astype(np.uint8)))
-        above = here
-    stack = [(0, np.arange(roots), np.arange(roots), np.zeros(roots, np.uint8))]
-    found_a, found_b = [], []
+    levels = [(np.arange(n + 1), codes, ~codes)]
+    while True:
+        _, ones, zeros = levels[-1]
+        new = np.r_[True, group[1:] != group[:-1]]
+        begin = np.flatnonzero(new)
+        if len(begin) == len(group):
+            return levels
+        place = np.arange(len(group)) - np.repeat(begin, np.diff(np.r_[begin, len(group)]))
+        first = np.flatnonzero(place % FANOUT == 0)
+        levels.append((np.append(first, len(group)), np.bitwise_and.reduceat(ones, first), np.bitwise_and.reduceat(zeros, first)))
+        group = group[first]
+
+
+def index_pairs(group: np.ndarray, codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts (i, j, differing bits) of all pairs of positions whose codes are of the same group and differ in at most `radius` bits.
+
+    Rows are in order of group and Gray rank. A part holds PAIRS pairs or the pairs of two
+    nodes at most, so a caller that folds parts as they come needs no more memory however dense a group is.
+    """
+    if not len(codes):
+        return
+    levels = shared_patterns(group, codes)
+    roots = np.arange(len(levels[-1][1]))
+    stack = [(len(levels) - 1, roots, roots)]
     while stack:
-        level, a, b, differ = stack.pop()
-        if level == len(levels):
+        level, a, b = stack.pop()
+        if level == 0:
             apart = a != b
-            found_a.append(above[a[apart]])
-            found_b.append(above[b[apart]])
+            a, b = a[apart], b[apart]
+            if len(a):
+                yield a, b, np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64)
             continue
-        first, byte = levels[level]
+        first = levels[level][0]
         na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
         size = na * nb
         total = np.cumsum(size)
         if len(a) > 1 and total[-1] > PAIRS:
             half = max(1, int(np.searchsorted(total, total[-1] // 2)))
-            stack += [(level, a[half:], b[half:], differ[half:]), (level, a[:half], b[:half], differ[:half])]
+            stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
             continue
         if not len(a):
             continue
         pair = np.repeat(np.arange(len(a)), size)
         at = np.arange(total[-1]) - np.repeat(total - size, size)
         x, y = first[a[pair]] + at // nb[pair], first[b[pair]] + at % nb[pair]
-        bits = differ[pair] + np.bitwise_count(byte[x] ^ byte[y])
-        near = (bits <= radius) & ((a != b)[pair] | (x <= y))
-        stack.append((level + 1, x[near], y[near], bits[near]))
-    none = np.zeros(0, np.int64)
-    return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
+        kept = (a != b)[pair] | (x <= y)
+        x, y = x[kept], y[kept]
+        _, ones, zeros = levels[level - 1]
+        differ = np.bitwise_count((ones[x] & zeros[y]) | (zeros[x] & ones[y]))
+        near = differ <= radius
+        stack.append((level - 1, x[near], y[near]))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = BATCH) -> Iterator[pa.Table]:
@@ -185,7 +203,9 @@ def hamming_links(codes: DataFrame, radius: int = 2, group: int = GROUP) -> Data
             order = np.lexsort((gray_rank(code), key, mask))
             mask, key, code = mask[order], key[order], code[order]
             number = np.cumsum(np.r_[0, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
-            a, b = local_stars(*index_pairs(number, code, radius), len(code))
+            a = b = np.zeros(0, np.int64)
+            for i, j, _ in index_pairs(number, code, radius):
+                a, b = local_stars(np.r_[a, i], np.r_[b, j], len(code))
             signed = code.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(signed[a]), pa.array(signed[b])], names=["a", "b"])
 
@@ -225,4 +245,5 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """near_components() of all documents, nulls, empty texts and repeats as it says."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

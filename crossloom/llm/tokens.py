@@ -1,13 +1,14 @@
 """Byte-level BPE ids of whole documents, as bytes, with a cache of the chunks already seen.
 
 A text is cut before white space that follows something else; such chunks
-encode independently, and most of them repeat. Each task encodes a new chunk
-once and joins the ids of the rest from its cache.
+encode independently, and most of them repeat. Each worker process encodes a new
+chunk once and joins the ids of the rest from its cache.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import re
 
 import numpy as np
@@ -16,8 +17,10 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 SEPARATOR = 0
-#: Chunks a task remembers; when full it starts again. Bounds memory, not work.
-CACHE = 600_000
+#: Bytes that a process's cache takes at most, about; when full it starts again. Chunks over LONG characters are not kept.
+CACHE_BYTES, LONG = 48 << 20, 64
+#: What a cached chunk costs besides its characters and ids (two objects and their place).
+ENTRY = 200
 
 _chunks = re.compile(r"\s*\S+|\s+").findall
 #: White space to Python's re but not to the tokenizer, and everything outside Latin scripts.
@@ -39,6 +42,7 @@ class Encoder:
         for piece, i in table.items():
             self.length[i] = len(piece)
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self.whole = None
 
     def exact(self, text: str) -> bytes:
@@ -63,8 +67,9 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         cut = [(i, _chunks(t)) for i, t in enumerate(texts) if t and not self.simple(i, t, out)]
         cache = self.cache
-        if len(cache) > CACHE:
+        if self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
         new = list(set().union(*(c for _, c in cut)).difference(cache))
         self.learn([x for x in new if x[0].isspace() and not x[-1].isspace()])
         for x in new:
@@ -73,6 +78,11 @@ class Encoder:
         get = cache.__getitem__
         for i, chunks in cut:
             out[i] = b"".join(map(get, chunks))
+        for x in new:
+            if len(x) > LONG:
+                del cache[x]
+            else:
+                self.held += ENTRY + len(x) + len(cache[x])
         return out
 
     def simple(self, i: int, text: str, out: list[bytes]) -> bool:
@@ -83,5 +93,11 @@ class Encoder:
         return False
 
 
+@functools.cache
+def encoder(tokenizer: str = TOKENIZER, ranks: str = RANKS) -> Encoder:
+    """The process's one encoder: reused workers keep one vocabulary and one bounded cache, however many tasks they run."""
+    return Encoder(tokenizer, ranks)
+
+
 def id_dtype() -> np.dtype:
     return np.dtype("<u4")

@@ -25,8 +25,7 @@ def test_copies_that_differ_in_the_repeats_of_a_line(spark):
 def test_equal_fingerprints_do_not_join_unlike_texts(spark, monkeypatch):
     assert kept(spark, [LINE * 300 + words(0, 100), LINE * 300 + words(500, 100)]) == {0, 1}
     # all fingerprints equal: nothing but the exact comparison tells texts apart
-    real = near_dedup.with_codes
-    monkeypatch.setattr(near_dedup, "with_codes", lambda *of: real(*of).withColumns({c: F.lit(7).cast("long") for c in near_dedup.CODES}))
+    monkeypatch.setattr(near_dedup, "majority_bits", lambda hashes: 7)
     assert kept(spark, [words(0, 50), words(0, 50), words(90, 50), words(0, 49)]) == {0, 2}
 
 
@@ -36,24 +35,36 @@ def test_no_pair_of_few_words_at_the_limit_is_missed(spark):
     assert kept(spark, texts) == set(range(0, 300, 2))
 
 
+def test_pairs_that_the_index_does_not_find_are_compared(spark, monkeypatch):
+    """No pair counts as near: sizes and places alone must lead to every pair."""
+    monkeypatch.setattr(near_dedup, "NEAR", -1)
+    shared = words(0, 100)
+    assert kept(spark, [f"{shared} {words(500, 8)}", f"{shared} {words(600, 45)}", f"{shared} {words(700, 8)}", shared]) == {0, 1}
+
+
 def test_links_that_a_forest_leaves_out_are_compared(spark, monkeypatch):
-    """In each group the forest is the path 0 - 1 - 2, and only 0 and 2 are alike."""
+    """The only link that the index gives fails; 0 and 2 are alike all the same."""
     shared = words(0, 100)
-    texts = [f"{shared} {words(500, 8)}", f"{shared} {words(600, 22)}", f"{shared} {words(700, 8)}"]
-    real = near_dedup.with_codes
-    code = F.when(F.col("c0") == 0, 0).when(F.col("c0") == 1, 1).otherwise(3).cast("long")
-    monkeypatch.setattr(near_dedup, "with_codes", lambda *of: real(*of).withColumns({c: code for c in near_dedup.CODES}))
-    key = F.explode(F.array(*[F.lit(k).cast("long") for k in range(20)])).alias("key")
+    monkeypatch.setattr(near_dedup, "nearest_links", lambda links: links.sparkSession.createDataFrame([(0, 1), (1, 2)], "a long, b long"))
+    docs = spark.createDataFrame([(0, f"{shared} {words(500, 8)}"), (1, f"{shared} {words(600, 45)}"), (2, f"{shared} {words(700, 8)}")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in near_dedup.keep_one(docs).collect()} == {0, 1}
+
+
+def test_blocks_and_crowds(spark, monkeypatch):
+    """A family larger than a block, with members that are alike only in a chain."""
+    monkeypatch.setattr(near_dedup, "GROUP", 5)
+    texts = [words(0, 200) + f" x{i} " + words(200, 100) for i in range(30)] + [words(40 * i, 300) for i in range(1, 5)]
+    assert kept(spark, texts) == {0, *range(30, 34)} - ({30} if jaccard(texts[0], texts[30]) >= 0.8 else set())
 
-    def meet_everywhere(rows, nodes, *of):
-        return nodes.select(key, "node", F.lit(104).alias("size"), F.lit(0).alias("place"), *near_dedup.CODES)
 
-    monkeypatch.setattr(near_dedup, "meetings", meet_everywhere)
-    assert kept(spark, texts) == {0, 1}
+def jaccard(x, y):
+    a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x.split(), y.split()))
+    return len(a & b) / len(a | b)
 
 
 def test_every_pair_of_a_large_group_meets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "GROUP", 7)
     met = spark.range(40).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"), F.lit(10).alias("size"), F.lit(0).alias("place"), (F.col("id") % 20).alias("root"))
+    monkeypatch.setattr(near_dedup, "PAIRS", 50)
     got = sorted((r["a"], r["b"]) for r in near_dedup.remaining_links(met, 0.8).collect())
     assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 20 != b % 20]
