@@ -14,22 +14,32 @@ from pyspark.sql import types as T
 
 #: Used only where the session names no checkpoint folder (tests, notebooks).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Spark's setting by which a finished query's shuffle files are deleted at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{LOCAL_CHECKPOINTS}"
+    """The folder that driver and executors share, as the cluster names it. Without one, only a local session has a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    return named or f"file://{LOCAL_CHECKPOINTS}"
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     The result no longer depends on df's lineage: a lost executor costs a file
-    read, not the plan. Columns keep their types and order.
+    read, not the plan. Columns keep their types and order. The job's shuffle files go with it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

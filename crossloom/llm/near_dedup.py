@@ -32,6 +32,9 @@ SAMPLE, OFTEN, MOST = 20_000, 3, 1 << 18
 #: Rows of a group that one task compares; larger groups are compared block by block.
 GROUP = 4_000
 
+#: Shingles per bucket of a set's histogram, at most and about; buckets are a power of two, BUCKETS at least.
+PER_BUCKET, BUCKETS = 16, 64
+
 CODE = "code"
 #: 128 bits that stand for a text's set of shingles.
 DIGEST = ["set_0", "set_1"]
@@ -56,9 +59,16 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], n[order]
 
 
+def histogram(own: np.ndarray) -> bytes:
+    """How many of a set's shingles fall in each bucket, by their last bits; 255 stands for that or more."""
+    buckets = max(BUCKETS, 1 << max(0, len(own) // PER_BUCKET).bit_length())
+    counts = np.bincount((own & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def with_sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with CODE (the fingerprint of the text's shingle set, so repeats count once), DIGEST, size and prefix (its first shingles in the common order); one pass."""
-    added = {CODE: "long"} | dict.fromkeys(DIGEST, "long") | {"size": "int", "prefix": "array<long>"}
+    """docs with CODE (the fingerprint of the text's shingle set, so repeats count once), DIGEST, size and prefix (its first shingles in the common order) and buckets (its histogram); one pass."""
+    added = {CODE: "long"} | dict.fromkeys(DIGEST, "long") | {"size": "int", "prefix": "array<long>", "buckets": "binary"}
     schema = docs.withColumns({c: F.lit(None).cast(t) for c, t in added.items()}).schema
     where = docs.columns.index("text")
     shingles, counts = often
@@ -67,7 +77,7 @@ def with_sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int
         import xxhash
 
         for part in (x for batch in batches for x in common.slices(batch)):
-            codes, digests, sizes, firsts = [], [], [], []
+            codes, digests, sizes, firsts, buckets = [], [], [], [], []
             for t in part.column(where).to_pylist():
                 own = np.unique(shingle_hashes(t or "", words))
                 n = len(own)
@@ -80,10 +90,11 @@ def with_sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int
                 codes.append(majority_bits(own))
                 digests.append(xxhash.xxh3_128_digest(own.astype("<u8").tobytes()))
                 sizes.append(n)
+                buckets.append(histogram(own))
             ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
             digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T.copy()
-            columns = [pa.array(np.array(codes, np.uint64).view(np.int64)), *map(pa.array, digest), pa.array(sizes, pa.int32()), prefix]
+            columns = [pa.array(np.array(codes, np.uint64).view(np.int64)), *map(pa.array, digest), pa.array(sizes, pa.int32()), prefix, pa.array(buckets, pa.binary())]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
@@ -208,8 +219,28 @@ def remaining_links(met: DataFrame, similarity: float) -> DataFrame:
     return by_key(rows).mapInArrow(join, "a long, b long").distinct()
 
 
+def possible(links: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) whose histograms allow the similarity: the sum of the buckets' lesser counts bounds what two sets share. It loses no link."""
+
+    def make():
+        def step(c):
+            kept = []
+            for x, y, n, m in zip(c["buckets_a"], c["buckets_b"], c["size_a"], c["size_b"], strict=True):
+                s, t = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+                full = max(s.max(), t.max()) == 255
+                least = min(len(s), len(t))
+                s, t = s.reshape(-1, least).sum(0), t.reshape(-1, least).sum(0)
+                kept.append(bool(full or np.minimum(s, t).sum() >= similarity / (1 + similarity) * (n + m) - 1e-6))
+            return {"a": c["a"], "b": c["b"], "kept": kept}
+
+        return step
+
+    side = lambda x: rows.select(F.col("row").alias(x), F.col("buckets").alias(f"buckets_{x}"), F.col("size").alias(f"size_{x}"))
+    return common.map_batches(links.join(side("b"), "b").join(side("a"), "a"), "a long, b long, kept boolean", make).where("kept").select("a", "b")
+
+
 def confirmed(links: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) whose texts' shingle sets have at least this Jaccard similarity; rows has row and text."""
+    """Links (a, b) whose texts' shingle sets have at least this Jaccard similarity; rows has row, text, size and buckets."""
 
     def make():
         def step(c):
@@ -222,19 +253,19 @@ def confirmed(links: DataFrame, rows: DataFrame, words: int, similarity: float)
 
         return step
 
-    ends = links.select(F.col("a").alias("row")).union(links.select("b")).distinct()
-    texts = rows.select("row", "text").join(ends, "row", "left_semi")
+    links = common.staged(possible(links, rows, similarity), "possible")
+    ends = common.staged(links.select(F.col("a").alias("row")).union(links.select("b")).distinct(), "ends")
+    texts = common.staged(rows.select("row", "text").join(ends, "row", "left_semi"), "texts")
     pairs = links.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-    return common.staged(common.map_batches(pairs, "a long, b long, alike boolean", make).where("alike").select("a", "b"), "confirmed")
-
+    found = common.staged(common.map_batches(pairs, "a long, b long, alike boolean", make).where("alike").select("a", "b"), "confirmed")
+    for df in (links, ends, texts):
+        common.unstage(df)
+    return found
 
-def linked(rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(nodes, roots): rows with equal shingle sets are one node, and (node, root) names the component of each linked node.
 
-    rows has row (a unique long), DIGEST, CODE, size, prefix and text.
-    """
-    nodes = common.staged(rows.groupBy(*DIGEST).agg(F.min("row").alias("node")), "nodes")
-    met = common.staged(meetings(rows.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")), "meetings")
+def linked(nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root): the component of each linked row. nodes has row (a unique long), text and what with_sets() adds; no two sets are equal."""
+    met = common.staged(meetings(nodes.withColumnRenamed("row", "node")), "meetings")
     true = None
     tried: list[DataFrame] = []
     for search in (lambda m: nearest_links(near_links(m, similarity)), lambda m: near_links(m, similarity).select("a", "b"), lambda m: remaining_links(m, similarity)):
@@ -245,11 +276,11 @@ def linked(rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame, D
         for done in tried:
             links = links.join(done, ["a", "b"], "left_anti")
         tried.append(common.staged(links, "candidates"))
-        found = confirmed(tried[-1], rows, words, similarity)
+        found = confirmed(tried[-1], nodes, words, similarity)
         true = found if true is None else true.union(found)
     for df in (met, *tried):
         common.unstage(df)
-    return nodes, components(true)
+    return components(true)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -267,9 +298,16 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     sets = with_sets(plain, frequent(plain.select(at["doc_id"], "text"), words), words, similarity)
     rows = common.staged(sets.withColumn("row", F.monotonically_increasing_id()), "documents")
 
-    nodes, roots = linked(rows, words, similarity)
-    grouped = nodes.join(roots, "node", "left").select(*DIGEST, F.coalesce("root", "node").alias("root"))
-    least = F.min(F.struct(id_.isNull().alias("none"), id_.alias("id"), F.col("row"))).alias("first")
-    kept = rows.groupBy(*DIGEST).agg(least).join(grouped, DIGEST).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    stays = rows.join(kept, "row", "left_semi")
+    # only rows that have a copy or a link take part in what follows; all others stay as they are
+    several = common.staged(rows.groupBy(*DIGEST).agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies")
+    copies = common.staged(rows.select("row", *DIGEST).join(several, DIGEST).where("row <> node").select("row", "node"), "copies")
+    roots = linked(rows.join(copies.select("row"), "row", "left_anti"), words, similarity)
+    member = copies.union(several.select(F.col("node").alias("row"), "node")).union(roots.select("node", "node")).distinct()
+    member = common.staged(member.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root")), "members")
+    ids = rows.select("row", id_.isNull().alias("none"), id_.alias("id")).join(member, "row")
+    first = ids.groupBy("root").agg(F.min(F.struct("none", "id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    gone = common.staged(member.select("row").join(first, "row", "left_anti"), "duplicates")
+    for df in (several, copies, member):
+        common.unstage(df)
+    stays = rows.join(gone, "row", "left_anti")
     return stays.select(*[F.col(v).alias(k) for k, v in at.items()])
