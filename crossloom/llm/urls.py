@@ -5,8 +5,6 @@ Everything is DataFrame expressions and Spark ML; no row leaves the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -21,9 +19,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIT_URLS = 20_000
 BLOCK_FROM = 0.5
 
-#: Words of the default labelled URLs: hosts joined from two of the first are unwanted, from one of the second not.
-UNWANTED = "buy meds poker prize slots cash viagra loan bonus replica lottery crypto hot deal pharma rich click best".split()
-WANTED = "river garden library museum science weather history kitchen journal market school travel music health forest science bridge studio harbor letters".split()
+#: Words of the default labelled URLs' hosts, dealt to both labels alike.
+WORDS = "river garden library museum science weather history kitchen journal market school travel music health forest bridge studio harbor letters prize bonus deal click ticket".split()
+#: Traits of a default URL and how often they occur with label 0 and 1. None decides alone; together they tell most URLs.
+TRAITS = {"hyphens": (0.25, 0.55), "digits": (0.12, 0.45), "deep": (0.25, 0.6), "parameters": (0.2, 0.6), "token": (0.12, 0.5), "wordy": (0.2, 0.45), "suffix": (0.2, 0.6)}
+#: Suffixes by the last trait, and the share of labels that are turned round.
+USUAL, UNUSUAL, NOISE = ("com", "org", "net", "example.com", "example.org"), ("info", "top", "biz", "xyz", "example.net"), 0.03
+DEFAULT_URLS = 12_000
 
 
 def host_of(url: Column) -> Column:
@@ -66,7 +68,8 @@ def lexical_features(df: DataFrame, suffix_rates: dict[str, float], prior: float
     counts = F.transform(F.array_distinct(letters), lambda c: size(host) - size(F.replace(host, c)))
     entropy = F.aggregate(counts, F.lit(0.0), lambda acc, n: acc - n / size(host) * F.log2(n / size(host)))
     suffix = F.substring_index(host, ".", -1)
-    rates = reduce(lambda otherwise, kv: F.when(suffix == kv[0], F.lit(kv[1])).otherwise(otherwise), sorted(suffix_rates.items()), F.lit(prior))
+    known = F.create_map(*[F.lit(x) for kv in sorted(suffix_rates.items()) for x in kv]) if suffix_rates else F.create_map(F.lit(""), F.lit(prior))
+    rates = F.coalesce(F.try_element_at(known, suffix), F.lit(prior))
     return df.withColumns(
         {
             "url_length": size("_url"),
@@ -88,23 +91,30 @@ def lexical_features(df: DataFrame, suffix_rates: dict[str, float], prior: float
     ).drop("_url", "_host", "_path")
 
 
-def default_labelled_urls(spark: SparkSession) -> DataFrame:
-    """url and label (1: unwanted), made by a rule from the two word lists; about 4,200 rows.
+def default_labelled_urls(spark: SparkSession, rows: int = DEFAULT_URLS) -> DataFrame:
+    """url, label (1: unwanted) and family (three URLs share one, and its host), made by rule from hashes of a number.
 
-    Unwanted hosts join two words by a hyphen, some with digits; wanted ones
-    are a word or two run together. Schemes, subdomains, paths and parameters are
-    dealt to both alike, so that they tell nothing.
+    Each trait is dealt by its own chance given the label, independently of the
+    others, so both labels have hyphens, digits, depths, parameters, random
+    tokens, long hosts and every suffix. These labels are synthetic: they show that the
+    trees learn from several features, not how unwanted pages of the web look.
     """
-    words = lambda w: F.array(*[F.lit(x) for x in w])
-    one = spark.range(1)
-    bad = one.select(F.explode(words(UNWANTED)).alias("a")).select("a", F.explode(words(UNWANTED)).alias("b")).where("a <> b")
-    bad = bad.select(F.concat("a", F.lit("-"), "b", F.when(F.xxhash64("a", "b") % 3 == 0, F.pmod(F.xxhash64("b", "a"), F.lit(90)).cast("string")).otherwise("")).alias("host"), F.lit(1).alias("label"))
-    good = one.select(F.explode(words(WANTED)).alias("a")).select("a", F.explode(words(["", *WANTED])).alias("b")).where("a <> b")
-    good = good.select(F.concat("a", "b").alias("host"), F.lit(0).alias("label"))
-    hosts = bad.union(good).select("host", "label", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
-    pick = lambda salt, *of: F.element_at(words(of), (F.pmod(F.xxhash64("host", "k", F.lit(salt)), F.lit(len(of))) + 1).cast("int"))
-    number = F.pmod(F.xxhash64("host", "k"), F.lit(1000)).cast("string")
-    return hosts.select(F.concat(pick("s", "http://", "https://"), pick("d", "", "www.", "m.", "blog."), "host", pick("t", ".example.com", ".example.net", ".example.org", ".com", ".net"), pick("l", "/en/", "/fr/", "/de/", "/es/", "/"), number, pick("q", "", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed")).alias("url"), "label")
+    family = F.floor(F.col("id") / 3)
+    chance = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), of), F.lit(10_000)) / 10_000
+    pick = lambda salt, of, words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64(F.lit(salt), of), F.lit(len(words))) + 1).cast("int"))
+    df = spark.range(rows).withColumn("family", family).withColumn("kind", F.pmod(F.xxhash64(F.lit("label"), "family"), F.lit(2)).cast("int"))
+    of_host = {"hyphens", "digits", "wordy", "suffix"}
+    for name, (good, bad) in TRAITS.items():
+        df = df.withColumn(name, chance(name, F.col("family") if name in of_host else F.col("id")) < F.when(F.col("kind") == 1, bad).otherwise(good))
+    dash = F.when(F.col("hyphens"), "-").otherwise("")
+    host = F.concat(pick("a", "family", WORDS), dash, pick("b", "family", WORDS), F.when(F.col("wordy"), F.concat(dash, pick("c", "family", WORDS))).otherwise(""), F.when(F.col("digits"), F.pmod(F.xxhash64("family"), F.lit(990)).cast("string")).otherwise(""))
+    suffix = F.when(F.col("suffix"), pick("u", "family", UNUSUAL)).otherwise(pick("s", "family", USUAL))
+    folders = F.when(F.col("deep"), F.concat(pick("d", "id", WORDS), F.lit("/"), pick("e", "id", WORDS), F.lit("/"), pick("f", "id", WORDS), F.lit("/"))).otherwise("")
+    page = F.when(F.col("token"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)).cast("string"))
+    query = F.when(F.col("parameters"), F.concat(F.lit("?ref="), pick("q", "id", WORDS), F.lit("&id="), F.pmod(F.xxhash64(F.lit("n"), "id"), F.lit(9999)).cast("string"))).otherwise(pick("t", "id", ("", "/", ".html", "#top", "?page=2")))
+    url = F.concat(pick("h", "id", ("http://", "https://")), pick("w", "family", ("", "www.", "m.", "blog.")), host, F.lit("."), suffix, pick("l", "id", ("/", "/en/", "/fr/", "/de/", "/es/")), folders, page, query)
+    label = F.when(chance("noise", F.col("id")) < NOISE, 1 - F.col("kind")).otherwise(F.col("kind"))
+    return df.select(url.alias("url"), label.alias("label"), "family")
 
 
 class UrlModel:
@@ -114,20 +124,26 @@ class UrlModel:
         self.trees, self.suffix_rates, self.prior = trees, suffix_rates, prior
 
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
-        """df with the trees' probability of label 1. df has `url`, and no column of FEATURES or of Spark ML's outputs."""
-        scored = self.trees.transform(lexical_features(df, self.suffix_rates, self.prior))
-        return scored.withColumn(out, vector_to_array("probability").getItem(1)).drop(*FEATURES, "_features", "rawPrediction", "probability", "prediction")
+        """df (with `url`) and the trees' probability of label 1; other columns stay, whatever their names, but one named `out`."""
+        kept = [c for c in df.columns if c != out]
+        slim = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col("url"))
+        scored = self.trees.transform(lexical_features(slim, self.suffix_rates, self.prior))
+        return scored.select("_row.*", vector_to_array("probability").getItem(1).alias(out))
+
+    def importances(self) -> dict[str, float]:
+        """Each feature's share of the gain."""
+        return dict(zip(FEATURES, self.trees.stages[-1].featureImportances.toArray().tolist(), strict=True))
 
 
 def fit(labelled: DataFrame, rows: int = FIT_URLS) -> UrlModel:
     """Gradient-boosted trees from at most `rows` labelled URLs (url, label 0 or 1), taken by the hash of the URL."""
     sample = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("double").alias("label")).orderBy(F.xxhash64("url"), "url").limit(rows)
     suffix = F.substring_index(host_of(F.col("url")), ".", -1)
-    seen = sample.groupBy(suffix.alias("suffix")).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "suffix").limit(200).collect()
+    seen = sample.groupBy(suffix.alias("suffix")).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).orderBy("suffix").collect()  # of a bounded sample
     bad, n = sum(r["bad"] for r in seen), sum(r["n"] for r in seen)
     prior = (bad + 1) / (n + 2)
     rates = {r["suffix"]: (r["bad"] + 20 * prior) / (r["n"] + 20) for r in seen}
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=1)
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.3, seed=1)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
     fitted = trees.fit(assembler.transform(lexical_features(sample, rates, prior)))
     return UrlModel(PipelineModel([assembler, fitted]), rates, prior)
@@ -150,5 +166,6 @@ def filter_urls(pages: DataFrame, model: UrlModel, rules=RULES, block_from: floa
 
 
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:
+    """filter_urls() of all pages, by a model of the default labelled URLs; malformed and null urls as it says."""
     model = fit(default_labelled_urls(spark))
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), model).drop("score")
