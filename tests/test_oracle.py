@@ -4,11 +4,12 @@ import math
 
 import pytest
 
-from crossloom.plans import books, facts, factors
+from crossloom.plans import books, desk, facts, factors, fundamentals, masters, patterns, research
 
 from .conftest import SF
 
-QUERIES = {n: (q, m.oracle_sql()[n]) for m in (factors, facts, books) for n, q in m.queries().items() if n in m.oracle_sql()}
+MODULES = (factors, facts, books, research, patterns, fundamentals, desk, masters)
+QUERIES = {n: (q, m.oracle_sql()[n]) for m in MODULES for n, q in m.queries().items() if n in m.oracle_sql()}
 
 
 def plain(v):
@@ -30,5 +31,5 @@ def test_rows_equal_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    for m in (factors, facts, books):
+    for m in MODULES:
         assert set(m.queries()) == set(m.oracle_sql())
