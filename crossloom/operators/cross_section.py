@@ -110,8 +110,8 @@ def size_proxy(df: DataFrame, out: str = "size_proxy") -> DataFrame:
 
 
 def attach_group(df: DataFrame, groups: DataFrame, column: str = "industry", key: str = "instrument", order: str | None = None) -> DataFrame:
-    """The group of each instrument; of several rows the last by `order` (the column itself if not given)."""
-    one = groups.groupBy(key).agg(F.max_by(column, order or column).alias(column))
+    """The group of each instrument; of several rows the first by `order` (the column itself if not given)."""
+    one = groups.groupBy(key).agg(F.min_by(column, order or column).alias(column))
     return df.join(one, key, "left")
 
 

@@ -220,7 +220,7 @@ def first_failure(ladder: Sequence[tuple[Column, str]]) -> Column:
     return out
 
 
-def apply_fills(positions: DataFrame, filled: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+def apply_fills(positions: DataFrame, filled: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     """Weights after filled and partial deltas; those within tolerance of 0 are gone."""
     delta = filled.where(F.col("status").isin("filled", "partial")).select("instrument", F.col("fill_delta_weight").alias("current_weight"))
     new = positions.select("instrument", "current_weight").unionByName(delta).groupBy("instrument").agg(F.sum("current_weight").alias("current_weight"))
@@ -237,8 +237,8 @@ def reconcile(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-6) -
 
 
 def turnover(target: DataFrame, current: DataFrame) -> DataFrame:
-    """Half the sum of absolute weight changes over the union of names."""
-    return weight_changes(target, current).agg((F.coalesce(F.sum(F.abs("delta_weight")), F.lit(0.0)) / 2).alias("turnover"))
+    """The sum of absolute weight changes over the union of names."""
+    return weight_changes(target, current).agg(F.coalesce(F.sum(F.abs("delta_weight")), F.lit(0.0)).alias("turnover"))
 
 
 def risk_checks(portfolio: DataFrame, most: float = 0.08, positions: int = 10, industry: str | None = None, most_industry: float = 0.35) -> DataFrame:
@@ -288,10 +288,12 @@ def exposure(portfolio: DataFrame, prefix: str = "family_", weight: str = "targe
 
 
 def style_exposure(portfolio: DataFrame, columns: Sequence[str], weight: str = "target_weight") -> DataFrame:
-    """Weighted mean of each column over the rows that have it, and the weight that has it."""
+    """Weighted mean of each column over the rows that have it, per absolute weight, and the absolute weight that has it (without any: of all rows)."""
     long = portfolio.select(F.col(weight).alias("_w"), F.inline(F.array(*[F.struct(F.lit(c).alias("style"), F.col(c).cast("double").alias("v")) for c in columns])))
     has = F.col("v").isNotNull()
-    return long.groupBy("style").agg(div(F.sum(F.when(has, F.col("_w") * F.col("v"))), F.sum(F.when(has, F.col("_w")))).alias("exposure"), F.coalesce(F.sum(F.when(has, F.col("_w"))), F.lit(0.0)).alias("covered_weight"))
+    covered = F.coalesce(F.sum(F.when(has & F.col("_w").isNotNull(), F.abs("_w"))), F.lit(0.0))
+    base = F.when(covered != 0, covered).otherwise(F.sum(F.abs("_w")))
+    return long.groupBy("style").agg(div(F.coalesce(F.sum(F.when(has, F.col("_w") * F.col("v"))), F.lit(0.0)), base).alias("exposure"), covered.alias("covered_weight"))
 
 
 def theme_candidates(members: DataFrame, signal: DataFrame, components: Sequence[str], k: int = 10, penalty: float = 0.2) -> DataFrame:

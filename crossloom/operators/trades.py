@@ -96,15 +96,18 @@ def two_stage_trades(df: DataFrame, setup: tuple[float, float], horizons: Sequen
     return greedy(parts.withColumn("bucket", F.lit(bucket_label(*setup))), ["horizon", "bucket", "instrument"]).drop("_hi", "_lo", "_cp", "_cs")
 
 
-def summarize(trades: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counts, return statistics, win rate, mean win and loss (0 if none), payoff (null where there is no loss but a win), excursions."""
+def summarize(trades: DataFrame, by: Sequence[str], no_loss_infinite: bool = False) -> DataFrame:
+    """Counts, return statistics, win rate, mean win and loss (0 if none), payoff, excursions.
+
+    payoff without losses: infinite if there is a win, else 0; with no_loss_infinite always infinite.
+    """
     r = F.col("return")
     win, loss = F.avg(F.when(r > 0, r)), F.avg(F.when(r <= 0, r))
     out = trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("trades"), F.avg(r).alias("mean_return"), F.median(r).alias("median_return"), F.avg((r > 0).cast("double")).alias("win_rate"),
         F.coalesce(win, F.lit(0.0)).alias("avg_win"), F.coalesce(loss, F.lit(0.0)).alias("avg_loss"), F.avg("mfe").alias("mfe_mean"), F.median("mfe").alias("mfe_median"), F.avg("mae").alias("mae_mean"), F.median("mae").alias("mae_median"),
     )
-    payoff = F.when(F.col("avg_loss") != 0, div(F.col("avg_win"), F.abs("avg_loss"))).when(F.col("avg_win") > 0, None).otherwise(0.0)
+    payoff = F.when(F.col("avg_loss") != 0, div(F.col("avg_win"), F.abs("avg_loss"))).when(F.lit(no_loss_infinite) | (F.col("avg_win") > 0), float("inf")).otherwise(0.0)
     expectancy = F.col("win_rate") * F.col("avg_win") + (1 - F.col("win_rate")) * F.col("avg_loss")
     return out.withColumn("payoff", payoff).withColumn("expectancy", expectancy)
 
@@ -121,7 +124,7 @@ def bucket_evaluation(df: DataFrame, signal: str, horizons: Sequence[int], pairs
     b = buckets(df.sparkSession, pairs)
     hit = (F.col("score_pct") >= F.col("low")) & ((F.col("score_pct") < F.col("high")) | (F.col("closed") & (F.col("score_pct") <= F.col("high"))))
     low_high = parts.withColumnsRenamed({"low": "_low", "high": "_high"})
-    found = summarize(low_high.join(F.broadcast(b), hit), ["horizon", "bucket"])
+    found = summarize(low_high.join(F.broadcast(b), hit), ["horizon", "bucket"], no_loss_infinite=True)
     grid = df.sparkSession.createDataFrame([(h, bucket_label(*p)) for h in horizons for p in pairs], "horizon int, bucket string")
     return grid.join(found, ["horizon", "bucket"], "left").withColumn("trades", F.coalesce("trades", F.lit(0)))
 

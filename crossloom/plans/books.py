@@ -26,7 +26,7 @@ def exposures(spark, sf_dir) -> DataFrame:
     df = with_factors(brand_bars(spark, sf_dir), FORMULAS)
     df = df.withColumn("amount_20d", F.avg("amount").over(Window.partitionBy("instrument").orderBy("datetime").rowsBetween(-19, 0)))
     df = df.withColumn("tradable", (F.month("datetime") + F.length("instrument")) % 5 != 0)
-    return df.where("mom is not null and datetime >= '1996-01-01'").withColumnRenamed("datetime", "date").join(brand_groups(spark, sf_dir).select("instrument", "industry"), "instrument")
+    return df.where("mom is not null").withColumnRenamed("datetime", "date").join(brand_groups(spark, sf_dir).select("instrument", "industry"), "instrument")
 
 
 def signal(spark, sf_dir) -> DataFrame:
@@ -35,7 +35,7 @@ def signal(spark, sf_dir) -> DataFrame:
 
 EXPOSURES = f"""{BARS}, {GROUPS}, r AS (SELECT *, close / lag(close) OVER {W} - 1 AS r FROM bars),
 x0 AS (SELECT instrument, datetime AS date, close, amount, close / lag(close, 5) OVER {W} - 1 AS mom, stddev_samp(r) OVER {roll(10)} AS calm, close / avg(close) OVER {roll(10)} - 1 AS swing, volume / avg(volume) OVER {roll(5)} AS idle, avg(amount) OVER {roll(20)} AS amount_20d, (month(datetime) + length(instrument)) % 5 <> 0 AS tradable FROM r),
-x AS (SELECT x0.*, industry FROM x0 JOIN g USING (instrument) WHERE mom IS NOT NULL AND date >= DATE '1996-01-01')"""
+x AS (SELECT x0.*, industry FROM x0 JOIN g USING (instrument) WHERE mom IS NOT NULL)"""
 
 
 def _z(c: str, sign: str, weight: float) -> str:
@@ -170,7 +170,7 @@ def positions_after(spark, sf_dir):
     return rounded(sg.apply_fills(current(spark, sf_dir), made_fills(spark, sf_dir)), [])
 
 
-AFTER = f"""{FILLS}, af AS (SELECT instrument, sum(w) AS current_weight FROM (SELECT instrument, target_weight AS w FROM tc UNION ALL SELECT instrument, CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * fill_value / {EQUITY} FROM fills WHERE status <> 'rejected') GROUP BY 1 HAVING abs(sum(w)) > 1e-6)"""
+AFTER = f"""{FILLS}, af AS (SELECT instrument, sum(w) AS current_weight FROM (SELECT instrument, target_weight AS w FROM tc UNION ALL SELECT instrument, CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * fill_value / {EQUITY} FROM fills WHERE status <> 'rejected') GROUP BY 1 HAVING abs(sum(w)) > 1e-8)"""
 
 
 def positions_reconcile(spark, sf_dir):
@@ -229,7 +229,7 @@ def attribution_style(spark, sf_dir):
 
 
 STYLE = f"""WITH {TWO}, u AS (SELECT 'mom' AS style, target_weight AS w, mom AS v FROM tn UNION ALL SELECT 'calm', target_weight, calm FROM tn UNION ALL SELECT 'patchy', target_weight, CASE WHEN length(instrument) = 8 THEN mom END FROM tn)
-SELECT style, round(sum(w * v) / nullif(sum(w) FILTER (v IS NOT NULL), 0), 6) AS exposure, round(coalesce(sum(w) FILTER (v IS NOT NULL), 0), 6) AS covered_weight FROM u GROUP BY 1"""
+SELECT style, round(sum(w * v) / nullif(sum(abs(w)) FILTER (v IS NOT NULL), 0), 6) AS exposure, round(coalesce(sum(abs(w)) FILTER (v IS NOT NULL), 0), 6) AS covered_weight FROM u GROUP BY 1"""
 
 
 def theme_candidates(spark, sf_dir):
@@ -307,7 +307,7 @@ def oracle_sql() -> dict[str, str]:
         "portfolio_target": f"WITH {PORTFOLIO} SELECT date, instrument, rank, round(target_weight, 6) AS target_weight FROM pf",
         "portfolio_dropout": DROPOUT,
         "portfolio_changes": f"WITH {CHANGES} SELECT instrument, {r('target_weight', 'current_weight', 'delta_weight')}, CASE WHEN current_weight = 0 AND target_weight <> 0 THEN 'added' WHEN target_weight = 0 AND current_weight <> 0 THEN 'removed' WHEN abs(delta_weight) > 1e-9 THEN 'scaled' ELSE 'unchanged' END AS change FROM ch",
-        "portfolio_turnover": f"WITH {CHANGES} SELECT round(sum(abs(delta_weight)) / 2, 6) AS turnover FROM ch",
+        "portfolio_turnover": f"WITH {CHANGES} SELECT round(sum(abs(delta_weight)), 6) AS turnover FROM ch",
         "portfolio_risk": RISK,
         "orders_suggested": f"WITH {ORDERS} SELECT instrument, side, round(delta_weight, 6) AS requested_delta_weight, round(price, 6) AS price, order_shares, round(order_value, 6) AS order_value, round(dw, 6) AS delta_weight, 'suggested' AS status FROM od",
         "fills_simulated": f"WITH {FILLS} SELECT fill_id, instrument, side, {r('fill_value', 'fill_shares', 'execution_price', 'transaction_cost')}, round(CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * fill_value / {EQUITY}, 6) AS fill_delta_weight, round(CASE WHEN side = 'BUY' THEN -1 ELSE 1 END * fill_value - transaction_cost, 6) AS net_cash_effect, status, reject_reason FROM fills",

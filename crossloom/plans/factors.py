@@ -42,22 +42,27 @@ KEYS = ["instrument", "datetime"]
 #: Formulas of the registry's kind; the constants and windows are fixed values.
 MOMENTUM = {"ret_5": "$close / Ref($close, 5) - 1", "ret_20": "$close / Ref($close, 20) - 1", "ret_60": "$close / Ref($close, 60) - 1", "reversal_5": "Ref($close, 5) / $close - 1", "mom_skip_20_5": "Ref($close, 5) / Ref($close, 20) - 1", "intraday_reversal": "1 - $close / $open"}
 VOLATILITY = {"vol_20": "Std($close / Ref($close, 1) - 1, 20)", "vol_adj_mom_20": "($close / Ref($close, 20) - 1) / Std($close / Ref($close, 1) - 1, 20)", "range_vol_20": "Mean(($high - $low) / $close, 20)", "return_variance_20": "Std($close / Ref($close, 1) - 1, 20) * Std($close / Ref($close, 1) - 1, 20)", "intraday_volatility_skew_20": "Std($high / $open, 20) - Std($open / $low, 20)"}
-VOLUME = {"turnover_20": "Mean($volume, 20) / Mean($volume, 60)", "volume_mom_5": "Mean($volume, 5) / Ref(Mean($volume, 5), 5) - 1", "vosc_12_26": "(Mean($volume, 12) - Mean($volume, 26)) / (Mean($volume, 12) + 0.000001)", "amihud_illiq_10": "1000000 * Mean(Abs($close / Ref($close, 1) - 1) / ($amount + 1), 10)", "price_volume_divergence_10": "($close / Ref($close, 10) - 1) - (Mean($volume, 10) / Ref(Mean($volume, 10), 10) - 1)", "quiet_breakout_20": "($close / Ref($close, 20) - 1) - (Mean($volume, 5) / Mean($volume, 20) - 1)"}
+VOLUME = {"turnover_20": "Mean($volume, 20) / Mean($volume, 60)", "volume_mom_5": "Mean($volume, 5) / Ref(Mean($volume, 5), 5) - 1", "vosc_12_26": "(Mean($volume, 12) - Mean($volume, 26)) / (Mean($volume, 12) + 0.000001)", "amihud_illiq_10": "Mean(Abs($close / Ref($close, 1) - 1) / ($amount + 1), 10)", "price_volume_divergence_10": "($close / Ref($close, 10) - 1) - (Mean($volume, 10) / Ref(Mean($volume, 10), 10) - 1)", "quiet_breakout_20": "($close / Ref($close, 20) - 1) - (Mean($volume, 5) / Mean($volume, 20) - 1)"}
 EXTREMES = {"price_position_20": "($close - Min($low, 20)) / (Max($high, 20) - Min($low, 20) + 1e-12)", "max_drawdown_20": "Max($close, 20) / $close - 1", "boll_position_20": "($close - Mean($close, 20)) / (2 * Std($close, 20) + 0.000001)", "gap_risk_20": "Mean(Abs($open / Ref($close, 1) - 1), 20)", "selling_pressure_20_60": "Mean(($open - $close) / $open, 20) + Mean(($open - $close) / $open, 60)"}
 CORRELATION = {"price_volume_divergence": "0-Corr($close/Mean($close,20),$volume/Mean($volume,20),20)", "high_amount_divergence": "0-Corr($high/Mean($high,20),$amount/Mean($amount,20),20)", "pv_corr_10": "Corr($close / Ref($close, 1) - 1, $volume / Ref($volume, 1) - 1, 10)", "quiet_range_divergence": "0 - Corr($close / Mean($close, 20), $high / $low - 1, 20)"}
 LOGIC = {"arbr_26": "(Sum($high - $open, 26) / (Sum($open - $low, 26) + 0.000001)) - (Sum(Greater($high - Ref($close, 1), 0), 26) / (Sum(Greater(Ref($close, 1) - $low, 0), 26) + 0.000001))", "breadth_proxy_20": "Mean(Greater($close / Ref($close, 1) - 1, 0), 20) - Mean(Less($close / Ref($close, 1) - 1, 0), 20)", "downside_vol_20": "Std(Less($close / Ref($close, 1) - 1, 0) * ($close / Ref($close, 1) - 1), 20)", "up_day": "If(And(Gt($close, Ref($close, 1)), Ge($volume, Mean($volume, 5))), 1, 0)", "quiet_day": "If(And(Lt($close, Mean($close, 5)), Le($volume, Ref($volume, 1))), 1, 0)", "recent_up": "Max(Ref(If(And(Gt($close, Mean($close, 21)), Gt(Mean($close, 5), Mean($close, 13))), 1, 0), 3), 10)"}
 
 
+#: Factors of a very small scale, rounded to twelve digits.
+FINE = ["amihud_illiq_10"]
+
+
 def _factor_query(formulas: dict[str, str]):
     def query(spark, sf_dir):
         panel = with_factors(brand_bars(spark, sf_dir), formulas)
-        return rounded(panel.select(*KEYS, *formulas), KEYS)
+        fine = [F.round(n, 12).alias(n) if n in FINE else n for n in formulas]
+        return rounded(panel.select(*KEYS, *fine), [*KEYS, *FINE])
 
     return query
 
 
 def _sql(staged: str, final: dict[str, str], source: str = "s2") -> str:
-    return f"WITH {BARS}, {staged} SELECT instrument, datetime, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in final.items()) + f" FROM {source}"
+    return f"WITH {BARS}, {staged} SELECT instrument, datetime, " + ", ".join(f"round({e}, {12 if n in FINE else 6}) AS {n}" for n, e in final.items()) + f" FROM {source}"
 
 
 RET = f"s1 AS (SELECT *, close / lag(close, 1) OVER {W} - 1 AS r, lag(close, 1) OVER {W} AS pc FROM bars)"
@@ -237,7 +242,7 @@ def oracle_sql() -> dict[str, str]:
         "supplier_factors": SUPPLIER,
         "factor_momentum": _sql("s2 AS (SELECT * FROM bars)", {"ret_5": f"close / {lag('close', 5)} - 1", "ret_20": f"close / {lag('close', 20)} - 1", "ret_60": f"close / {lag('close', 60)} - 1", "reversal_5": f"{lag('close', 5)} / close - 1", "mom_skip_20_5": f"{lag('close', 5)} / {lag('close', 20)} - 1", "intraday_reversal": "1 - close / open"}),
         "factor_volatility": _sql(RET, {"vol_20": over("stddev_samp", "r", 20), "vol_adj_mom_20": f"(close / {lag('close', 20)} - 1) / nullif({over('stddev_samp', 'r', 20)}, 0)", "range_vol_20": over("avg", "(high - low) / close", 20), "return_variance_20": f"{over('stddev_samp', 'r', 20)} * {over('stddev_samp', 'r', 20)}", "intraday_volatility_skew_20": f"{over('stddev_samp', 'high / open', 20)} - {over('stddev_samp', 'open / low', 20)}"}, "s1"),
-        "factor_volume": _sql(RET + f", s2 AS (SELECT *, {over('avg', 'volume', 5)} AS v5, {over('avg', 'volume', 10)} AS v10, {over('avg', 'volume', 20)} AS v20, {over('avg', 'abs(r) / (amount + 1)', 10)} AS il FROM s1)", {"turnover_20": f"v20 / {over('avg', 'volume', 60)}", "volume_mom_5": f"v5 / {lag('v5', 5)} - 1", "vosc_12_26": f"({over('avg', 'volume', 12)} - {over('avg', 'volume', 26)}) / ({over('avg', 'volume', 12)} + 0.000001)", "amihud_illiq_10": "1000000 * il", "price_volume_divergence_10": f"(close / {lag('close', 10)} - 1) - (v10 / {lag('v10', 10)} - 1)", "quiet_breakout_20": f"(close / {lag('close', 20)} - 1) - (v5 / v20 - 1)"}),
+        "factor_volume": _sql(RET + f", s2 AS (SELECT *, {over('avg', 'volume', 5)} AS v5, {over('avg', 'volume', 10)} AS v10, {over('avg', 'volume', 20)} AS v20, {over('avg', 'abs(r) / (amount + 1)', 10)} AS il FROM s1)", {"turnover_20": f"v20 / {over('avg', 'volume', 60)}", "volume_mom_5": f"v5 / {lag('v5', 5)} - 1", "vosc_12_26": f"({over('avg', 'volume', 12)} - {over('avg', 'volume', 26)}) / ({over('avg', 'volume', 12)} + 0.000001)", "amihud_illiq_10": "il", "price_volume_divergence_10": f"(close / {lag('close', 10)} - 1) - (v10 / {lag('v10', 10)} - 1)", "quiet_breakout_20": f"(close / {lag('close', 20)} - 1) - (v5 / v20 - 1)"}),
         "factor_extremes": _sql(RET, {"price_position_20": f"(close - {over('min', 'low', 20)}) / ({over('max', 'high', 20)} - {over('min', 'low', 20)} + 1e-12)", "max_drawdown_20": f"{over('max', 'close', 20)} / close - 1", "boll_position_20": f"(close - {over('avg', 'close', 20)}) / (2 * {over('stddev_samp', 'close', 20)} + 0.000001)", "gap_risk_20": over("avg", "abs(open / pc - 1)", 20), "selling_pressure_20_60": f"{over('avg', '(open - close) / open', 20)} + {over('avg', '(open - close) / open', 60)}"}, "s1"),
         "factor_correlation": _sql(RET + f", s2 AS (SELECT *, close / {over('avg', 'close', 20)} AS c1, high / {over('avg', 'high', 20)} AS h1, volume / {over('avg', 'volume', 20)} AS v1, amount / {over('avg', 'amount', 20)} AS a1, volume / {lag('volume', 1)} - 1 AS vr, high / low - 1 AS hl FROM s1)", {"price_volume_divergence": "0 - " + _corr("c1", "v1", 20), "high_amount_divergence": "0 - " + _corr("h1", "a1", 20), "pv_corr_10": _corr("r", "vr", 10), "quiet_range_divergence": "0 - " + _corr("c1", "hl", 20)}),
         "factor_logic": _sql(RET + f", s2 AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - pc, 0) END AS g1, CASE WHEN pc IS NOT NULL THEN greatest(pc - low, 0) END AS g2, CASE WHEN r IS NOT NULL THEN greatest(r, 0) END AS up, CASE WHEN r IS NOT NULL THEN least(r, 0) END AS dn, CASE WHEN coalesce(close > {over('avg', 'close', 21)}, false) AND coalesce({over('avg', 'close', 5)} > {over('avg', 'close', 13)}, false) THEN 1e0 ELSE 0e0 END AS f, {over('avg', 'volume', 5)} AS v5, {over('avg', 'close', 5)} AS m5, lag(volume) OVER {W} AS pv FROM s1), s3 AS (SELECT *, lag(f, 3) OVER {W} AS f3 FROM s2)", {"arbr_26": f"({over('sum', 'high - open', 26)} / ({over('sum', 'open - low', 26)} + 0.000001)) - ({over('sum', 'g1', 26)} / ({over('sum', 'g2', 26)} + 0.000001))", "breadth_proxy_20": f"{over('avg', 'up', 20)} - {over('avg', 'dn', 20)}", "downside_vol_20": over("stddev_samp", "dn * r", 20), "up_day": "CASE WHEN coalesce(close > pc, false) AND coalesce(volume >= v5, false) THEN 1e0 ELSE 0e0 END", "quiet_day": "CASE WHEN coalesce(close < m5, false) AND coalesce(volume <= pv, false) THEN 1e0 ELSE 0e0 END", "recent_up": over("max", "f3", 10)}, "s3"),

@@ -219,7 +219,7 @@ THRESHOLD = 0.025
 PATHS = f"pa AS (SELECT * FROM ({_path(3)} UNION ALL {_path(5)}) WHERE exit_date IS NOT NULL)"
 STATS = """count(*) AS trades, round(avg(ret), 6) AS mean_return, round(median(ret), 6) AS median_return, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate, round(coalesce(avg(ret) FILTER (ret > 0), 0), 6) AS avg_win, round(coalesce(avg(ret) FILTER (ret <= 0), 0), 6) AS avg_loss,
  round(avg(mfe), 6) AS mfe_mean, round(median(mfe), 6) AS mfe_median, round(avg(mae), 6) AS mae_mean, round(median(mae), 6) AS mae_median,
- round(CASE WHEN coalesce(avg(ret) FILTER (ret <= 0), 0) <> 0 THEN coalesce(avg(ret) FILTER (ret > 0), 0) / abs(avg(ret) FILTER (ret <= 0)) WHEN coalesce(avg(ret) FILTER (ret > 0), 0) > 0 THEN NULL ELSE 0 END, 6) AS payoff,
+ round(CASE WHEN coalesce(avg(ret) FILTER (ret <= 0), 0) <> 0 THEN coalesce(avg(ret) FILTER (ret > 0), 0) / abs(avg(ret) FILTER (ret <= 0)) WHEN coalesce(avg(ret) FILTER (ret > 0), 0) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END, 6) AS payoff,
  round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) * coalesce(avg(ret) FILTER (ret > 0), 0) + (1 - avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END)) * coalesce(avg(ret) FILTER (ret <= 0), 0), 6) AS expectancy"""
 TRADE_COLUMNS = ["instrument", "horizon", "datetime", "entry_date", "exit_date", "return", "mfe", "mae"]
 
@@ -283,7 +283,7 @@ def _eval(h: int) -> str:
 
 
 EVAL = f"""WITH {SHARE}, e AS (SELECT * FROM ({_eval(3)} UNION ALL {_eval(5)}) WHERE ret IS NOT NULL), {BUCKET_TABLE},
-s AS (SELECT horizon, bucket, {STATS} FROM e JOIN bk ON {IN_BUCKET} GROUP BY 1, 2)
+s AS (SELECT horizon, bucket, {STATS.replace("WHEN coalesce(avg(ret) FILTER (ret > 0), 0) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0", "ELSE CAST('inf' AS DOUBLE)")} FROM e JOIN bk ON {IN_BUCKET} GROUP BY 1, 2)
 SELECT CAST(h AS BIGINT) AS horizon, bk.bucket, coalesce(trades, 0) AS trades, mean_return, median_return, win_rate, avg_win, avg_loss, mfe_mean, mfe_median, mae_mean, mae_median, payoff, expectancy FROM (SELECT unnest([3, 5, 200]) AS h) CROSS JOIN bk LEFT JOIN s ON s.horizon = h AND s.bucket = bk.bucket"""
 
 

@@ -106,14 +106,24 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: str | N
 
 
 def upsert_to(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
-    """Merge rows into a Parquet table, the last of a key wins; written beside it, then put in its place."""
+    """Merge rows into a Parquet table, the last of a key wins.
+
+    The merged table is written beside the old one, which steps aside and goes only when the new one is in its place:
+    at any moment one whole table is there, and a run that finds only the one set aside puts it back.
+    """
     from ..operators.upserts import keep_last
 
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    aside = f"{path.rstrip('/')}.old"
+    if not exists(spark, path) and exists(spark, aside):
+        fs.rename(p(aside), p(path))
     merged = keep_last(spark.read.parquet(path), new, keys) if exists(spark, path) else new
     beside = f"{path.rstrip('/')}.next"
     merged.write.mode("overwrite").parquet(beside)
-    p = spark._jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(p(path), True)
+    fs.delete(p(aside), True)
+    if exists(spark, path) and not fs.rename(p(path), p(aside)):
+        raise OSError(f"could not set {path} aside")
     if not fs.rename(p(beside), p(path)):
         raise OSError(f"could not put {beside} in the place of {path}")
+    fs.delete(p(aside), True)

@@ -218,3 +218,34 @@ def test_readers_and_upsert(spark, tmp_path):
     tables.upsert_to(spark, rows, out, ["k"])
     tables.upsert_to(spark, spark.createDataFrame([(2, "c")], "k int, v string"), out, ["k"])
     assert [tuple(r) for r in spark.read.parquet(out).orderBy("k").collect()] == [(1, "a"), (2, "c")]
+
+
+def test_streams(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from crossloom.streaming import counted_windows, upsert_stream
+
+    rows = [(1, "a", "2024-01-01 00:05:00"), (1, "a", "2024-01-01 00:05:00"), (2, "b", "2024-01-01 00:50:00"), (3, "a", "2024-01-01 01:10:00")]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(str(tmp_path / "in"))
+    wanted = {("2024-01-01 00:00:00", "a", 1), ("2024-01-01 00:00:00", "b", 1), ("2024-01-01 01:00:00", "a", 1)}
+    assert {(str(r["start"]), r["event_type"], r["n"]) for r in counted_windows(df, "1 hour", "1 day").collect()} == wanted
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = counted_windows(stream, "1 hour", "1 day").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(str(r["start"]), r["event_type"], r["n"]) for r in spark.table("counted").collect()} == wanted
+    for _ in range(2):
+        upsert_stream(stream, str(tmp_path / "out"), ["event_type"], str(tmp_path / f"c{_}")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_industry_of_first_row_and_unpaid_losses(spark):
+    from crossloom.operators import cross_section, trades
+
+    groups = spark.createDataFrame([("a", "x", 2), ("a", "z", 1), ("b", "y", 1)], "instrument string, industry string, n int")
+    panel = spark.createDataFrame([("a",), ("b",), ("c",)], "instrument string")
+    assert {r["instrument"]: r["industry"] for r in cross_section.attach_group(panel, groups, order="n").collect()} == {"a": "z", "b": "y", "c": None}
+    made = spark.createDataFrame([("w", 0.5, 0.1, -0.1), ("z", 0.0, 0.1, -0.1), ("l", -0.5, 0.1, -0.1), ("l", 0.25, 0.1, -0.1)], "k string, return double, mfe double, mae double")
+    got = {r["k"]: r["payoff"] for r in trades.summarize(made, ["k"]).collect()}
+    assert got == {"w": float("inf"), "z": 0.0, "l": 0.5}
+    assert {r["k"]: r["payoff"] for r in trades.summarize(made, ["k"], True).collect()}["z"] == float("inf")
