@@ -25,8 +25,8 @@ NEIGHBOURS, REVERSE = 20, 20
 #: Pivots (a sample of this many vectors at most, by hash), the cells that a vector enters, the rows of a cell that meet.
 PIVOTS, ENTERED, CELL = 4096, 4, 1000
 ROUNDS = 2
-#: Nodes a query keeps, and expands in a round; and rounds at most.
-BEAM, EXPAND, SEARCH_ROUNDS = 400, 96, 60
+#: Nodes a query keeps, and expands in a round. Rounds go on until no beam has a node that is not expanded.
+BEAM, EXPAND = 400, 96
 
 EDGES = "node long, nbr long, score float"
 
@@ -139,11 +139,12 @@ BEAMS = "q long, id long, score double, state int"
 MET, DONE, NEXT = 0, 1, 2
 
 
-def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, beam: int = BEAM, expand: int = EXPAND, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """(q, id, score): the best nodes found for each node in `queries` (column q), itself left out; scores are cosines.
 
     Each round costs joins on node ids; a query's rows (vector, beam, new
-    nodes) meet in one group that beam and expand bound.
+    nodes) meet in one group that beam and expand bound. A round expands new nodes only, and
+    beams only improve, so the search ends by itself.
     """
     links = common.staged(both_ways(graph, REVERSE).groupBy("node").agg(F.collect_list("nbr").alias("nbrs")), "links")
     asked = common.staged(queries.join(vectors, queries["q"] == vectors["node"]).select("q", "vector"), "asked")
@@ -172,7 +173,7 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, beam: int =
     question = asked.select("q", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("state"), "vector")
     empty = vectors.schema["vector"].dataType
     beams = None
-    for _ in range(rounds):
+    while True:
         at = asked.select("q", F.col("q").alias("id")) if beams is None else beams.where(F.col("state") == NEXT).select("q", "id")
         reached = at.join(links, at["id"] == links["node"]).select("q", F.explode("nbrs").alias("id")).distinct()
         reached = reached.join(vectors, reached["id"] == vectors["node"])
@@ -198,7 +199,9 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     vectors, the k + 1 smallest ids stand for all in a result, which is exact.
     Other columns are not read. A table with one usable row gives no rows.
     """
-    rows = usable(table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vector").where("vec_id is not null")
+    # a table of doubles keeps them for the exact score; the search itself works on floats
+    kind = "double" if table.schema[vector_col].dataType.simpleString() == "array<double>" else "float"
+    rows = usable(table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vector").where("vec_id is not null")
     size = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if size is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -228,5 +231,6 @@ def nearest(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
 
 
 def op6_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
+    """nearest() in the embeddings, for the ids divisible by 50; unusable vectors and repeats as it says."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(table, F.col("vec_id") % 50 == 0)

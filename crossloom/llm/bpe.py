@@ -231,4 +231,5 @@ def encode_decode(docs: DataFrame, tokenizer: str = TOKENIZER, with_ids: bool =
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
+    """encode_decode() of all documents, nulls, empty texts and repeats as it says."""
     return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"))

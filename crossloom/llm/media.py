@@ -57,7 +57,13 @@ def peaks(samples: bytes) -> np.ndarray:
     found = np.empty((frames, PEAKS), np.int32)
     for i in range(0, frames, BLOCK):
         power = np.abs(np.fft.rfft(views[i : i + BLOCK] * WINDOW, axis=1))[:, 1:].astype(np.float32)
-        found[i : i + BLOCK] = np.sort(np.argpartition(-power, PEAKS, axis=1)[:, :PEAKS], axis=1) + 1
+        # equal strengths: the lower bin, as a stable choice of one maximum after another takes it
+        rows = np.arange(len(power))
+        best = np.empty((len(power), PEAKS), np.int64)
+        for k in range(PEAKS):
+            best[:, k] = power.argmax(axis=1)
+            power[rows, best[:, k]] = -1
+        found[i : i + BLOCK] = np.sort(best, axis=1) + 1
     return found
 
 
@@ -105,8 +111,8 @@ def media_table(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Contract columns; `feature` digests the whole landmark arrays."""
+    """The table of all documents; `feature` digests the whole landmark arrays, which follow as columns of their own."""
     table = media_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     coded = F.concat_ws(",", F.col("landmark_times").cast("array<string>")), F.concat_ws(",", F.col("landmark_pairs").cast("array<string>"))
     feature = F.concat_ws(":", F.col("n_frames").cast("string"), F.size("landmark_pairs").cast("string"), F.sha2(F.concat_ws("|", *coded), 256))
-    return table.withColumn("feature", feature).drop("landmark_times", "landmark_pairs", "n_frames")
+    return table.withColumn("feature", feature)

@@ -247,5 +247,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = tokens.SEPA
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
+    """pack() of all documents, nulls, empty texts and repeats as it says."""
     packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

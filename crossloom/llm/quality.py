@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 def score(docs: DataFrame, model: boosting.Forest, out: str = "score") -> DataFrame:
     """All columns of docs and `out`: the probability of label 1.
 
-    Null and empty texts are scored as empty documents; repeated rows get equal
+    Null and empty texts are scored as empty documents, texts of any length whole; repeated rows get equal
     scores; ids play no part; an existing column `out` is replaced.
     """
     return labelled.score_all(docs, features, model.probability, out)
@@ -83,4 +83,5 @@ def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """classify() of all documents and labels; nulls, empty texts and repeats as score() says."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -230,6 +230,44 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(few.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_pipeline_stages_on_awkward_rows(spark, awkward, empty):
+    """Every stage takes nulls, empty and very long texts, repeats, ties and clashing names, and an empty table."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, awkward, SF)
+        if name != "packing":
+            assert out.columns == awkward.columns
+            left = [r.asDict() for r in out.collect()]
+            rows = [r.asDict() for r in awkward.collect()]
+            assert all(r in rows for r in left) and len(left) <= len(rows)
+            # equal texts share one fate in the classifying stages
+            if name in ("toxicity", "quality"):
+                texts = {r["text"] or "" for r in left}
+                assert len(left) == sum((r["text"] or "") in texts for r in rows)
+        else:
+            pieces = out.collect()
+            assert sum(r["length"] for r in pieces) == sum(r["doc_tokens"] for r in pieces if r["start"] == 0)
+            assert sum(r["start"] == 0 for r in pieces) == awkward.count()
+        assert stage(spark, empty, SF).count() == 0
+
+
+def test_search_with_a_small_beam(spark):
+    """Recall on the whole table of embeddings, with a beam far smaller than the table, against brute force; doubles keep their precision."""
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = table.where("embedding is not null").collect()
+    x, ids = np.array([r["embedding"] for r in rows]), np.array([r["vec_id"] for r in rows])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann.nearest(table, F.col("vec_id") % 50 == 0, beam=40, expand=10).collect()
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[q]
+        score[q] = -2
+        fifth = np.sort(score)[-5]
+        mine = [r for r in got if r["query_id"] == ids[q]]
+        assert all(abs(r["score"] - score[np.flatnonzero(ids == r["vec_id"])[0]]) < 1e-12 for r in mine)
+        hits, total = hits + sum(r["score"] >= fifth - 1e-12 for r in mine), total + 5
+    assert hits / total >= 0.9
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "simhash_near_dedup", "packing"]
