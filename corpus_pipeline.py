@@ -1,7 +1,10 @@
 """From raw documents to packed sequences: toxicity, quality, near-duplicates, packing.
 
 Each stage takes what the one before kept, as a table, and returns a
-DataFrame; all but the last keep the columns of documents.
+DataFrame; all but the last keep the columns of documents, whatever extra ones there are.
+Null texts count as empty ones and are judged like any document; texts are judged whole, however
+long; repeated rows get equal scores, and copies of one another (with equal ids too) leave one row
+behind the near-duplicate stage; an empty table stays empty through every stage.
 """
 
 from __future__ import annotations
