@@ -143,9 +143,10 @@ def fit(labelled: DataFrame, rows: int = FIT_URLS) -> UrlModel:
     bad, n = sum(r["bad"] for r in seen), sum(r["n"] for r in seen)
     prior = (bad + 1) / (n + 2)
     rates = {r["suffix"]: (r["bad"] + 20 * prior) / (r["n"] + 20) for r in seen}
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.3, seed=1)
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=12, maxDepth=4, stepSize=0.3, seed=1)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-    fitted = trees.fit(assembler.transform(lexical_features(sample, rates, prior)))
+    # a bounded sample: one part, so that a round of boosting is one small task on any cluster
+    fitted = trees.fit(assembler.transform(lexical_features(sample, rates, prior)).select("_features", "label").coalesce(1))
     return UrlModel(PipelineModel([assembler, fitted]), rates, prior)
 
 
