@@ -3,9 +3,10 @@
 Sets of a similarity of at least s share one of the first n - ceil(s n) + 1 of
 their n shingles, in whatever common order (prefix filter). So rows meet by these
 shingles and no pair is missed, whatever the number of rows. The order is rare
-shingles first, by the counts of a sample, so that few unlike rows meet. In a group
-the index of simhash.py, over fingerprints in Gray order, gives the near pairs, and of these a minimum
-spanning forest. Each row's nearest link is compared shingle by shingle, and confirmed links make components.
+shingles first, by the counts of a sample, so that few unlike rows meet. Groups stand in Gray order
+of their fingerprints. First each row is compared with its nearest neighbour before it in that order, shingle by shingle:
+one link a row, which makes most of a family one component however large it is. Then, in groups that
+still hold several components, the index of simhash.py gives the near pairs, and of these a minimum spanning forest is compared.
 Then every other pair of different components that can be similar enough, by their sizes and
 the shared shingle's places, is compared too: fingerprints find most links early and cheaply, and lose none.
 """
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,20 +30,23 @@ WORDS, SIMILARITY = 5, 0.8
 NEAR = 18
 #: Rows whose shingles are counted, the least count of a frequent shingle, and the most of these (an array in every task). They set the order only.
 SAMPLE, OFTEN, MOST = 20_000, 3, 1 << 18
-#: Rows of a group that one task compares; larger groups are compared block by block.
+#: Rows of a group that meet at once; larger groups are dealt into parts of about so many, and compared block by block.
 GROUP = 4_000
 
 #: Shingles per bucket of a set's histogram, at most and about; buckets are a power of two, BUCKETS at least.
 PER_BUCKET, BUCKETS = 16, 64
 
-CODE = "code"
+#: The Gray rank of the fingerprint.
+GRAY = "gray"
 #: 128 bits that stand for a text's set of shingles.
 DIGEST = ["set_0", "set_1"]
-MET = "key long, node long, code long, size int, place int"
 
 
-def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur often in a sample of rows, ascending, and their counts. They only set an order; any is right."""
+def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Shingles that occur often in a sample of rows, ascending, their counts, and how many rows one of the sample stands for.
+
+    They only set an order and how groups are dealt; any are right.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,12 +55,13 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 shingles, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, docs.count()))) < SAMPLE).select("text")
+    rows = docs.count()
+    sample = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, rows))) < SAMPLE).select("text")
     counts = sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     found = counts.orderBy(F.desc("n"), "shingle").limit(MOST).toArrow()  # at most MOST rows of two numbers
     shingles, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(shingles)
-    return shingles[order], n[order]
+    return shingles[order], n[order], max(1.0, rows / SAMPLE)
 
 
 def histogram(own: np.ndarray) -> bytes:
@@ -66,18 +71,18 @@ def histogram(own: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def with_sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with CODE (the fingerprint of the text's shingle set, so repeats count once), DIGEST, size and prefix (its first shingles in the common order) and buckets (its histogram); one pass."""
-    added = {CODE: "long"} | dict.fromkeys(DIGEST, "long") | {"size": "int", "prefix": "array<long>", "buckets": "binary"}
+def with_sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray, float], words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with GRAY (from the fingerprint of the text's shingle set, so repeats count once), DIGEST, size, prefix (its first shingles in the common order), parts (over how many parts each one's group is dealt, by the sample) and buckets (its histogram); one pass."""
+    added = {GRAY: "long"} | dict.fromkeys(DIGEST, "long") | {"size": "int", "prefix": "array<long>", "parts": "array<int>", "buckets": "binary"}
     schema = docs.withColumns({c: F.lit(None).cast(t) for c, t in added.items()}).schema
     where = docs.columns.index("text")
-    shingles, counts = often
+    shingles, counts, scale = often
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for part in (x for batch in batches for x in common.slices(batch)):
-            codes, digests, sizes, firsts, buckets = [], [], [], [], []
+            codes, digests, sizes, firsts, parts, buckets = [], [], [], [], [], []
             for t in part.column(where).to_pylist():
                 own = np.unique(shingle_hashes(t or "", words))
                 n = len(own)
@@ -86,15 +91,17 @@ def with_sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int
                     at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
                     seen = np.where(shingles[at] == own, counts[at], 0)
                 first = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-                firsts.append(own[np.argsort(seen, kind="stable")[:first]].view(np.int64))
+                order = np.argsort(seen, kind="stable")[:first]
+                firsts.append(own[order].view(np.int64))
+                parts.append(np.maximum(1, np.ceil(seen[order] * scale / GROUP)).astype(np.int32))
                 codes.append(majority_bits(own))
                 digests.append(xxhash.xxh3_128_digest(own.astype("<u8").tobytes()))
                 sizes.append(n)
                 buckets.append(histogram(own))
             ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
+            prefix, dealt = (pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in (firsts, parts))
             digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T.copy()
-            columns = [pa.array(np.array(codes, np.uint64).view(np.int64)), *map(pa.array, digest), pa.array(sizes, pa.int32()), prefix, pa.array(buckets, pa.binary())]
+            columns = [pa.array(gray_rank(np.array(codes, np.uint64)).view(np.int64)), *map(pa.array, digest), pa.array(sizes, pa.int32()), prefix, dealt, pa.array(buckets, pa.binary())]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
@@ -110,17 +117,25 @@ def group_ends(key: np.ndarray) -> np.ndarray:
     return np.repeat(ends, np.diff(np.r_[0, ends]))
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """MET: each node's prefix shingles (keys) with their places, where a key occurs more than once. nodes has node, code, size and prefix."""
+def meetings(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Each node's prefix shingles (keys) with their places, where a key occurs more than once. nodes has node, GRAY, size, prefix and parts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key"]):
-            key = table.column("key").to_numpy()
-            same = key[1:] == key[:-1]
-            yield from table.filter(pa.array(np.r_[same, False] | np.r_[False, same])).combine_chunks().to_batches()
-
-    dealt = nodes.select("node", CODE, "size", F.posexplode("prefix").alias("place", "key")).select("key", "node", CODE, "size", "place")
-    return by_key(dealt).mapInArrow(run, MET)
+    `part` tells runs of at most GROUP rows of a key in Gray order apart; a key that the sample
+    calls frequent is dealt over several tasks first. `before` is the row's neighbour in that order and `bits`
+    what their fingerprints differ in, if the two can be similar enough and near.
+    """
+    rows = nodes.select("node", GRAY, "size", "parts", F.posexplode("prefix").alias("place", "key"))
+    rows = rows.withColumn("parts", F.element_at("parts", F.col("place") + 1)).withColumn("deal", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    order = Window.partitionBy("key", "deal").orderBy(GRAY, "node")
+    code = F.col(GRAY).bitwiseXOR(F.shiftrightunsigned(F.col(GRAY), 1))
+    last = {c: F.lag(c).over(order) for c in ("node", "size", "place")}
+    rows = rows.withColumn("code", code).withColumns({f"last_{c}": v for c, v in last.items()} | {"last_code": F.lag("code").over(order), "next": F.lead("node").over(order), "at": F.row_number().over(order) - 1})
+    met = rows.where("last_node is not null or next is not null or parts > 1")
+    met = met.withColumn("bits", F.bit_count(F.col("code").bitwiseXOR(F.col("last_code"))))
+    left = F.least(F.col("size") - F.col("place"), F.col("last_size") - F.col("last_place"))
+    can = (F.col("bits") <= NEAR) & (left >= similarity / (1 + similarity) * (F.col("size") + F.col("last_size")) - 1e-6)
+    part = F.col("deal").cast("long") * (1 << 32) + F.floor(F.col("at") / GROUP)
+    return met.select("key", part.alias("part"), "node", GRAY, "size", "place", F.when(can, F.col("last_node")).alias("before"), "bits")
 
 
 def enough(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -154,48 +169,58 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, n: int) ->
         label = step[label]
 
 
+def nearest_links(met: DataFrame) -> DataFrame:
+    """(a, b): of each node's neighbours before it in Gray order the one with the least bits. No pairs are made: a link per node at most, and a tree over each group."""
+    nearest = met.where("before is not null").groupBy("node").agg(F.min(F.struct("bits", "before")).alias("to"))
+    return nearest.select(F.least("node", "to.before").alias("a"), F.greatest("node", "to.before").alias("b")).distinct()
+
+
 def near_links(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, bits), a < b: of the near pairs that the Gray-order index finds in the groups, a minimum spanning forest of `root`s per task."""
+    """(a, b), a < b: of the near pairs that the Gray-order index finds in the parts of groups, a minimum spanning forest of `root`s per task.
+
+    Parts of one root are done.
+    """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key"]):
-            key, code = table.column("key").to_numpy(), table.column(CODE).to_numpy().view(np.uint64)
-            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            order = np.lexsort((gray_rank(code), key))
-            code = code[order]
-            node, root, size, place = (table.column(c).to_numpy()[order] for c in ("node", "root", "size", "place"))
-            roots, part = np.unique(root, return_inverse=True)
-            inside = np.arange(len(key)) - np.repeat(begin, np.diff(np.r_[begin, len(key)]))
-            block = np.cumsum(inside % GROUP == 0)
+        for table in whole_groups(batches, ["key", "part"]):
+            key, part, root = (table.column(c).to_numpy() for c in ("key", "part", "root"))
+            begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            several = np.minimum.reduceat(root, begin) < np.maximum.reduceat(root, begin)
+            length = np.diff(np.r_[begin, len(key)])
+            open_ = np.flatnonzero(np.repeat(several, length))
+            number = np.repeat(np.arange(len(begin)), length)[open_]
+            node, rank, size, place = (table.column(c).to_numpy()[open_] for c in ("node", GRAY, "size", "place"))
+            code = rank.view(np.uint64) ^ (rank.view(np.uint64) >> np.uint64(1))
+            roots, own = np.unique(root[open_], return_inverse=True)
             a, b, differ = (np.zeros(0, np.int64) for _ in range(3))
-            for i, j, bits in index_pairs(block, code, NEAR):
-                can = (part[i] != part[j]) & enough(size, place, i, j, similarity)
+            for i, j, bits in index_pairs(number, code, NEAR):
+                can = (own[i] != own[j]) & enough(size, place, i, j, similarity)
                 a, b, differ = np.r_[a, i[can]], np.r_[b, j[can]], np.r_[differ, bits[can]]
                 if len(a) > PAIRS:
-                    keep = spanning_forest(part[a], part[b], differ, len(roots))
+                    keep = spanning_forest(own[a], own[b], differ, len(roots))
                     a, b, differ = a[keep], b[keep], differ[keep]
-            keep = spanning_forest(part[a], part[b], differ, len(roots))
-            yield pairs_batch(node, a[keep], b[keep], bits=differ[keep].astype(np.int32))
-
-    return by_key(met).mapInArrow(join, "a long, b long, bits int").distinct()
-
+            keep = spanning_forest(own[a], own[b], differ, len(roots))
+            yield pairs_batch(node, a[keep], b[keep])
 
-def nearest_links(links: DataFrame) -> DataFrame:
-    """(a, b): of each node's links the one with the least bits, so at most one per node."""
-    ends = links.select(F.col("a").alias("node"), "bits", "a", "b").union(links.select("b", "bits", "a", "b"))
-    return ends.groupBy("node").agg(F.min(F.struct("bits", "a", "b")).alias("to")).select("to.a", "to.b").distinct()
+    rows = met.select("key", "part", "node", GRAY, "size", "place", "root").repartition("key", "part").sortWithinPartitions("key", "part", GRAY)
+    return rows.mapInArrow(join, "a long, b long").distinct()
 
 
 def remaining_links(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: all pairs of a group that differ in `root` and can have this similarity. met has MET and root.
+    """(a, b), a < b: all pairs of a group that differ in `root` and can have this similarity. met has key, node, size, place and root.
 
-    Groups of one root are done. A group of more than GROUP rows is dealt into
-    blocks, and each two blocks meet in one task.
+    Groups of one root are done. The rows of a group's most common root and its other rows are dealt
+    into blocks of GROUP rows; the former meet the blocks of the latter, and these each other, in a task for two blocks.
+    So a large family with a few strangers costs its rows, not its pairs.
     """
-    size = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    parts = size.where("low < high").select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    rows = met.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    counts = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    size = counts.groupBy("key").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "root")).alias("most")).where("rows > most.n")
+    blocks = lambda n: F.ceil(n / GROUP).cast("int")
+    parts = size.select("key", F.col("most.root").alias("common"), blocks(F.col("most.n")).alias("first"), blocks(F.col("rows") - F.col("most.n")).alias("others"))
+    rows = met.join(parts, "key").withColumn("usual", F.col("root") == F.col("common"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("usual"), deal(F.col("first"))).otherwise(F.col("first") + deal(F.col("others"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("usual"), F.col("first")).otherwise(0), F.col("first") + F.col("others") - 1)))
     rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "root", "size", "place", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +290,10 @@ def confirmed(links: DataFrame, rows: DataFrame, words: int, similarity: float)
 
 def linked(nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root): the component of each linked row. nodes has row (a unique long), text and what with_sets() adds; no two sets are equal."""
-    met = common.staged(meetings(nodes.withColumnRenamed("row", "node")), "meetings")
+    met = common.staged(meetings(nodes.withColumnRenamed("row", "node"), similarity), "meetings")
     true = None
     tried: list[DataFrame] = []
-    for search in (lambda m: nearest_links(near_links(m, similarity)), lambda m: near_links(m, similarity).select("a", "b"), lambda m: remaining_links(m, similarity)):
+    for search in (nearest_links, lambda m: near_links(m, similarity), lambda m: remaining_links(m, similarity)):
         if true is None:
             links = search(met.withColumn("root", F.col("node")))
         else:
