@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op6_nearest_neighbours
 from .bpe import op8_bpe
+from .divergence import SQL as DIVERGENCE_SQL
+from .divergence import op13_source_divergence
 from .media import op9_media_columns
 from .packing_bfd import op3_token_matrices
 from .packing_cg import op4_packing
@@ -30,8 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_media_columns": op9_media_columns,
         "op10_quality_classifier": op10_quality_classifier,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_source_divergence": DIVERGENCE_SQL}
