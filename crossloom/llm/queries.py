@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op6_nearest_neighbours
 from .bpe import op8_bpe
+from .class_lm import op12_class_language_model
 from .divergence import SQL as DIVERGENCE_SQL
 from .divergence import op13_source_divergence
 from .media import op9_media_columns
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_media_columns": op9_media_columns,
         "op10_quality_classifier": op10_quality_classifier,
+        "op12_class_language_model": op12_class_language_model,
         "op13_source_divergence": op13_source_divergence,
     }
 
