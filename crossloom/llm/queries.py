@@ -18,6 +18,7 @@ from .quality import op10_quality_classifier
 from .sharding import op1_sharding
 from .simhash import op2_simhash
 from .toxicity import op5_toxicity
+from .turns import op11_conversation_repair
 from .urls import op7_url_filters
 
 
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_media_columns": op9_media_columns,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_class_language_model": op12_class_language_model,
         "op13_source_divergence": op13_source_divergence,
     }
