@@ -65,15 +65,17 @@ ROWS = [(i, f"the {a} saw a {b} and THE {b} x ran to {a} {i % 3}\x0bone{i}") fo
 ROWS += [(7, ROWS[7][1]), (None, "the dog"), (None, None), (100, ""), (101, None), (102, " \t\n "), (103, "word " * 30_000), (104, "never seen words here")]
 
 
-@pytest.mark.parametrize("block", [200, class_lm.BLOCK])
-def test_scores_by_definition(spark, monkeypatch, block):
-    monkeypatch.setattr(class_lm, "BLOCK", block)
+@pytest.mark.parametrize(("block", "held", "spread"), [(200, 50, 3), (class_lm.BLOCK, class_lm.HELD, class_lm.SPREAD)])
+def test_scores_by_definition(spark, monkeypatch, block, held, spread):
+    """Small blocks and handed-on parts, and words that share places, change nothing in what is counted."""
+    for name, value in (("BLOCK", block), ("HELD", held), ("SPREAD", spread)):
+        monkeypatch.setattr(class_lm, name, value)
     df = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "1 AS block", "2 AS h", "3 AS n", "'x' AS class").repartition(3)
     model = class_lm.Model(class_lm.Corpus(df))
-    names = {r.h: r.word.decode() for r in model.corpus.vocabulary.selectExpr("word", "xxhash64(word) AS h").collect()}
-    classes = {names[r.h]: r["class"] for r in model.classes.collect()}
     n = Counter(w for i, t in ROWS if learned(i) for w in tokens(t))
-    assert set(classes) == {w for w, c in n.items() if c >= class_lm.LEAST and w}
+    classes = {w: int(model.classes[zlib.crc32(w.encode()) & ((1 << class_lm.SPREAD) - 1)]) for w, c in n.items() if c >= class_lm.LEAST and w}
+    assert len(classes) > 5
+    assert len(set(classes.values())) > 1
     expected, sums = by_definition(ROWS, classes)
     got = model.score().collect()
     assert model.score().columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
