@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import div, first_rank, group_count, z_population
@@ -39,17 +37,18 @@ def rank_standardize(df: DataFrame, c: str, out: str | None = None, date: str =
 def neutralize(df: DataFrame, c: str, exposures: Sequence[str] = (), group: str | None = None, out: str = "signal_neutral", date: str = "datetime") -> DataFrame:
     """Residual of a per-date regression on exposures and group dummies, with an intercept.
 
-    One exposure and a group have closed forms: demeaned values (within date and
-    group) and one slope per date. More exposures go to least squares per date. Dates
+    Values and exposures are taken less their means within date and group, which covers the intercept and the dummies. One
+    exposure then has a closed form; several give the normal equations, whose sums are aggregates of each date, and a
+    fold over their pivots solves them. Exposures that depend on others change nothing. Dates
     with fewer than two complete rows, and incomplete rows, give null.
     """
     if not exposures and group is None:
         return df.withColumn(out, F.col(c))
-    if len(exposures) > 1:
-        return _least_squares(df, c, list(exposures), group, out, date)
     ok = F.col(c).isNotNull()
     for x in (*exposures, *([group] if group else [])):
         ok = ok & F.col(x).isNotNull()
+    if len(exposures) > 1:
+        return _several(df, c, list(exposures), group, out, date, ok)
     cell = Window.partitionBy(date, *([group] if group else []))
     whole = Window.partitionBy(date)
     mean = lambda x: F.avg(F.when(ok, F.col(x))).over(cell)
@@ -62,26 +61,47 @@ def neutralize(df: DataFrame, c: str, exposures: Sequence[str] = (), group: str
     return df.withColumn(out, F.when(F.col("_n") >= 2, rest)).drop("_y", "_n", "_x", "_xx", "_xy")
 
 
-def _least_squares(df: DataFrame, c: str, exposures: list[str], group: str | None, out: str, date: str) -> DataFrame:
-    """A date's cross-section is one group: as many rows as there are instruments."""
-    schema = df.withColumn(out, F.lit(0.0)).schema
-
-    def residual(frame: pd.DataFrame) -> pd.DataFrame:
-        used = [c, *exposures, *([group] if group else [])]
-        ok = frame[used].notna().all(axis=1).to_numpy()
-        values = np.full(len(frame), np.nan)
-        if ok.sum() >= 2:
-            part = frame[ok]
-            design = [np.ones(len(part)), *(part[x].to_numpy(float) for x in exposures)]
-            if group:
-                design += list(pd.get_dummies(part[group], drop_first=True).to_numpy(float).T)
-            x, y = np.stack(design, axis=1), part[c].to_numpy(float)
-            values[ok] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        frame = frame.copy()
-        frame[out] = values
-        return frame
-
-    return df.groupBy(date).applyInPandas(residual, schema).withColumn(out, F.nanvl(F.col(out), F.lit(None)))
+#: A pivot this small beside its exposure's own sum of squares means that the exposure depends on those before it.
+DEPENDENT = 1e-10
+
+
+def solved(matrix: Column, n: int) -> Column:
+    """The solution of n normal equations, given as the array of rows (n coefficients, then the right side): one elimination step a pivot. Unknowns without a pivot are 0."""
+    width = n + 1
+    at = lambda m, i, j: F.get(m, i * width + j)
+    diagonal = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at(matrix, i, i))
+
+    def step(m, k):
+        pivot = at(m, k, k)
+        usable = pivot > DEPENDENT * F.get(diagonal, k)
+
+        def cell(v, place):
+            i, j = F.floor(place / width).cast("int"), place % width
+            return F.when(~usable | (i == k), v).otherwise(v - at(m, i, k) * at(m, k, j) / pivot)
+
+        return F.when(usable, F.transform(m, cell)).otherwise(F.transform(m, lambda v, place: F.when((F.floor(place / width) == k) | (place % width == k), 0.0).otherwise(v)))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), matrix, step)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(at(done, k, k) > 0, at(done, k, n) / at(done, k, k)).otherwise(0.0))
+
+
+def _several(df: DataFrame, c: str, exposures: list[str], group: str | None, out: str, date: str, ok: Column) -> DataFrame:
+    """Means by cell, then sums of products by date, are partial aggregates; only their few numbers meet the rows again."""
+    keys = [date, *([group] if group else [])]
+    n, width = len(exposures), len(exposures) + 1
+    means = df.where(ok).groupBy(*keys).agg(*[F.avg(F.col(x).cast("double")).alias(f"_m{i}") for i, x in enumerate([*exposures, c])]).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_m{i}" for i in range(width)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    df = df.join(means, same & ok, "left").withColumns({f"_x{i}": F.when(ok, F.col(x) - F.col(f"_m{i}")) for i, x in enumerate([*exposures, c])}).drop(*[f"_k{i}" for i in range(len(keys))], *[f"_m{i}" for i in range(width)])
+    products = {(i, j): F.coalesce(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")), F.lit(0.0)).alias(f"_p{i}_{j}") for i in range(n) for j in range(i, width)}
+    sums = df.groupBy(F.col(date).alias("_date")).agg(F.count(f"_x{n}").alias("_n"), *products.values())
+    matrix = F.array(*[F.col(f"_p{min(i, j)}_{max(i, j)}") for i in range(n) for j in range(width)])
+    slopes = sums.select("_date", "_n", solved(matrix, n).alias("_b"))
+    rest = F.col(f"_x{n}")
+    for i in range(n):
+        rest = rest - F.get("_b", F.lit(i)) * F.col(f"_x{i}")
+    return df.join(slopes, F.col(date) == F.col("_date"), "left").withColumn(out, F.when(F.col("_n") >= 2, rest)).drop("_date", "_n", "_b", *[f"_x{i}" for i in range(width)])
 
 
 def purify(df: DataFrame, c: str, steps: Sequence[str] = ("mad", "zscore"), out: str | None = None, exposures: Sequence[str] = (), group: str | None = None, n: float = 3.0, date: str = "datetime") -> DataFrame:

@@ -8,15 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip, div
-from .desk import symbol
 from .joins import latest_per_key
 
 #: Units of money in announcements, and words that tell a source's tier.
-MONEY = r"(\d+(?:\.\d+)?)\s*(亿元|亿|万元|万|million|billion)"
-UNITS = {"亿元": 1e8, "亿": 1e8, "万元": 1e4, "万": 1e4, "million": 1e6, "billion": 1e9}
+MONEY = r"([0-9]+(?:\.[0-9]+)?)\s*(亿元|亿|万元|万)"
+UNITS = {"亿元": 1e8, "亿": 1e8, "万元": 1e4, "万": 1e4}
 OFFICIAL, AGGREGATOR = ("cninfo", "sse.com", "szse.cn", "exchange"), ("eastmoney", "sina", "akshare", "aggregator")
 
 
+def listed_symbol(code: Column) -> Column:
+    """SH before codes that begin with 5, 6 or 9, SZ before all others, by the code's digits filled up to six; other lengths raise an error. The rule of masters and histories."""
+    digits = F.regexp_replace(F.coalesce(code.cast("string"), F.lit("")), "[^0-9]", "")
+    pure = F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
+    text = F.concat(F.when(F.substring(pure, 1, 1).isin("5", "6", "9"), "SH").otherwise("SZ"), pure)
+    return F.when(F.length(pure) == 6, text).otherwise(F.raise_error(F.concat(F.lit("no code of six digits: "), F.coalesce(code.cast("string"), F.lit("null")))))
+
+
+def board(code: Column) -> Column:
+    """The board by the first digits of a code filled up to six."""
+    digits = F.regexp_replace(F.coalesce(code.cast("string"), F.lit("")), "[^0-9]", "")
+    pure = F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
+    return F.when(pure.rlike("^68[89]"), "STAR").when(pure.rlike("^30[01]"), "ChiNext").when(pure.rlike("^(8|4|920)"), "BSE").otherwise("main")
+
+
+def special_treatment(name: Column) -> Column:
+    """Whether a name carries ST anywhere, in any case, or the sign of delisting."""
+    upper = F.upper(F.coalesce(name, F.lit("")))
+    return F.contains(upper, F.lit("ST")) | F.contains(upper, F.lit("退"))
+
+
 def blank(c: Column | str) -> Column:
     """Null for a text of white space only."""
     c = F.trim(F.col(c) if isinstance(c, str) else c)
@@ -37,16 +57,16 @@ def price_history(daily: DataFrame, factors: DataFrame | None = None, basics: Da
     df = df.withColumn("factor", F.coalesce("adj_factor", F.lit(1.0))).drop("adj_factor")
     if basics is not None:
         df = df.join(basics.select(*keys, *extra), keys, "left")
-    return df.withColumn("instrument", symbol(F.col("code")))
+    return df.withColumn("instrument", listed_symbol(F.col("code")))
 
 
 def snapshot(raw: DataFrame, order: str, as_of: Column) -> DataFrame:
-    """instrument, name, exchange, board, is_st, industry and valid_from of each security; the last row of an instrument by `order`."""
-    df = raw.withColumn("instrument", symbol(F.col("code"))).where("instrument <> ''")
+    """instrument, name, exchange, board, is_st, industry and valid_from of each security; the last row of an instrument by `order`. Rows with a blank code are left out."""
+    df = raw.where(blank(F.col("code").cast("string")).isNotNull()).withColumn("instrument", listed_symbol(F.col("code")))
     df = latest_per_key(df, ["instrument"], order)
-    code = F.substring("instrument", 3, 3)
-    board = F.when(code.isin("688", "689"), "star").when(code.isin("300", "301"), "chinext").when(F.startswith("instrument", F.lit("BJ")), "bse").otherwise("main")
-    return df.select("instrument", F.coalesce(blank("name"), F.lit("")).alias("name"), F.substring("instrument", 1, 2).alias("exchange"), board.alias("board"), F.upper(F.coalesce("name", F.lit(""))).rlike(r"^\*?ST").alias("is_st"), blank("industry").alias("industry"), as_of.alias("as_of"))
+    exchange = F.when(F.startswith("instrument", F.lit("SH")), "SSE").otherwise("SZSE")
+    name = F.coalesce(blank("name"), F.lit(""))
+    return df.select("instrument", name.alias("name"), exchange.alias("exchange"), board(F.col("code")).alias("board"), special_treatment(name).alias("is_st"), blank("industry").alias("industry"), as_of.alias("as_of"))
 
 
 def enrich_industries(master: DataFrame, other: DataFrame) -> DataFrame:
@@ -81,7 +101,7 @@ def name_history(master: DataFrame, changes: DataFrame) -> DataFrame:
     """One row per interval of a name with its ST mark; a security without changes has its current name from listing on."""
     df = master.join(changes.select("instrument", F.col("name").alias("_name"), "start", "end"), "instrument", "left")
     name = F.coalesce("_name", "name")
-    return df.select("instrument", name.alias("name"), F.coalesce("start", "listed").alias("valid_from"), F.col("end").alias("valid_to"), F.upper(name).rlike(r"^\*?ST").alias("is_st"))
+    return df.select("instrument", name.alias("name"), F.coalesce("start", "listed").alias("valid_from"), F.col("end").alias("valid_to"), special_treatment(F.replace(name, F.lit(" "))).alias("is_st"))
 
 
 def capital_events(events: DataFrame, kinds: Sequence[str]) -> DataFrame:

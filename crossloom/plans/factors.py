@@ -124,6 +124,30 @@ SELECT instrument, datetime, round(size_proxy, 6) AS size_proxy, industry,
 HORIZONS = (1, 5)
 
 
+def xs_neutralize_several(spark, sf_dir):
+    """Residuals on size, turnover and amount, the last of which is twice the second, without and with industries."""
+    df = xs.size_proxy(xs.attach_group(signal_panel(spark, sf_dir), brand_groups(spark, sf_dir)))
+    df = df.withColumns({"turn": F.log1p(F.col("volume")), "double_turn": 2 * F.log1p(F.col("volume"))})
+    df = xs.neutralize(df, "signal", ["size_proxy", "turn", "double_turn"], None, "plain_neutral")
+    df = xs.neutralize(df, "signal", ["size_proxy", "turn", "double_turn"], "industry", "group_neutral")
+    return rounded(df.select(*KEYS, "plain_neutral", "group_neutral"), KEYS)
+
+
+def _two(cell: str, n: str) -> str:
+    p = f"(PARTITION BY {cell})"
+    d = "(PARTITION BY datetime)"
+    return f"""d{n} AS (SELECT *, CASE WHEN ok THEN signal - avg(CASE WHEN ok THEN signal END) OVER {p} END AS y{n}, CASE WHEN ok THEN size_proxy - avg(CASE WHEN ok THEN size_proxy END) OVER {p} END AS a{n}, CASE WHEN ok THEN turn - avg(CASE WHEN ok THEN turn END) OVER {p} END AS b{n} FROM s),
+e{n} AS (SELECT *, sum(a{n} * a{n}) OVER {d} AS aa, sum(a{n} * b{n}) OVER {d} AS ab, sum(b{n} * b{n}) OVER {d} AS bb, sum(a{n} * y{n}) OVER {d} AS ay, sum(b{n} * y{n}) OVER {d} AS byy, count(y{n}) OVER {d} AS n FROM d{n}),
+f{n} AS (SELECT instrument, datetime, CASE WHEN n >= 2 THEN y{n} - CASE WHEN aa * bb - ab * ab > 1e-10 * aa * bb THEN (ay * bb - byy * ab) / (aa * bb - ab * ab) * a{n} + (byy * aa - ay * ab) / (aa * bb - ab * ab) * b{n} WHEN aa > 0 THEN ay / aa * a{n} ELSE 0 END END AS r FROM e{n})"""
+
+
+XS_SEVERAL = f"""WITH {BARS}, {SIG},
+g AS (SELECT p_brand AS instrument, max(p_type) || CASE WHEN length(p_brand) > 7 THEN '_b' ELSE '_a' END AS industry FROM part GROUP BY p_brand),
+s AS (SELECT sig.*, g.industry, ln(1 + abs(close) * abs(volume)) AS size_proxy, ln(1 + volume) AS turn, signal IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL AS ok FROM sig LEFT JOIN g USING (instrument)),
+{_two("datetime", "1")}, {_two("datetime, industry", "2")}
+SELECT instrument, datetime, round(f1.r, 6) AS plain_neutral, round(f2.r, 6) AS group_neutral FROM f1 JOIN f2 USING (instrument, datetime)"""
+
+
 def daily(spark, sf_dir) -> DataFrame:
     rows = ev.long_horizons(signal_panel(spark, sf_dir).where("signal is not null"), HORIZONS)
     return ev.daily_ic(rows, "signal")
@@ -222,7 +246,7 @@ def queries() -> dict:
     return {
         "supplier_factors": supplier_factors,
         "factor_momentum": _factor_query(MOMENTUM), "factor_volatility": _factor_query(VOLATILITY), "factor_volume": _factor_query(VOLUME), "factor_extremes": _factor_query(EXTREMES),
-        "factor_correlation": _factor_query(CORRELATION), "factor_logic": _factor_query(LOGIC), "xs_purify": xs_purify, "xs_neutralize": xs_neutralize, "ev_daily_ic": ev_daily_ic,
+        "factor_correlation": _factor_query(CORRELATION), "factor_logic": _factor_query(LOGIC), "xs_purify": xs_purify, "xs_neutralize": xs_neutralize, "xs_neutralize_several": xs_neutralize_several, "ev_daily_ic": ev_daily_ic,
         "ev_ic_summary": ev_ic_summary, "ev_quantiles": ev_quantiles, "ev_turnover": ev_turnover, "ev_evaluate": ev_evaluate, "ev_regime": ev_regime, "ev_segments": ev_segments, "ev_ranking": ev_ranking,
     }
 
@@ -248,6 +272,7 @@ def oracle_sql() -> dict[str, str]:
         "factor_logic": _sql(RET + f", s2 AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - pc, 0) END AS g1, CASE WHEN pc IS NOT NULL THEN greatest(pc - low, 0) END AS g2, CASE WHEN r IS NOT NULL THEN greatest(r, 0) END AS up, CASE WHEN r IS NOT NULL THEN least(r, 0) END AS dn, CASE WHEN coalesce(close > {over('avg', 'close', 21)}, false) AND coalesce({over('avg', 'close', 5)} > {over('avg', 'close', 13)}, false) THEN 1e0 ELSE 0e0 END AS f, {over('avg', 'volume', 5)} AS v5, {over('avg', 'close', 5)} AS m5, lag(volume) OVER {W} AS pv FROM s1), s3 AS (SELECT *, lag(f, 3) OVER {W} AS f3 FROM s2)", {"arbr_26": f"({over('sum', 'high - open', 26)} / ({over('sum', 'open - low', 26)} + 0.000001)) - ({over('sum', 'g1', 26)} / ({over('sum', 'g2', 26)} + 0.000001))", "breadth_proxy_20": f"{over('avg', 'up', 20)} - {over('avg', 'dn', 20)}", "downside_vol_20": over("stddev_samp", "dn * r", 20), "up_day": "CASE WHEN coalesce(close > pc, false) AND coalesce(volume >= v5, false) THEN 1e0 ELSE 0e0 END", "quiet_day": "CASE WHEN coalesce(close < m5, false) AND coalesce(volume <= pv, false) THEN 1e0 ELSE 0e0 END", "recent_up": over("max", "f3", 10)}, "s3"),
         "xs_purify": XS_PURIFY,
         "xs_neutralize": XS_NEUTRALIZE,
+        "xs_neutralize_several": XS_SEVERAL,
         "ev_daily_ic": f"WITH {LONG} SELECT horizon, datetime, round(ic, 6) AS ic, round(rank_ic, 6) AS rank_ic, n FROM d",
         "ev_ic_summary": f"WITH {LONG} SELECT horizon, {r6(('ic_mean', 'ic_std', 'icir', 'rank_ic_mean', 'rank_ic_std', 'rank_icir'))}, observations FROM ({SUMMARY})",
         "ev_quantiles": f"WITH {LONG}, {QUANTS} SELECT CAST(horizon AS BIGINT) AS horizon, {r6(('q1', 'q2', 'q3', 'q4', 'q5'))}, round(q5 - q1, 6) AS long_short FROM qs",

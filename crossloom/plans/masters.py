@@ -15,9 +15,10 @@ CODE = "lpad(CAST({} % 700 AS VARCHAR), 3, '0')"
 
 
 def raw_days(spark, sf_dir) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_suppkey <= 10")
-    k = F.col("l_orderkey")
-    return lines.select(F.concat(F.when(F.col("l_suppkey") % 2 == 0, "600").otherwise("000"), F.lpad(F.col("l_suppkey").cast("string"), 3, "0")).alias("code"), F.to_date("l_shipdate").alias("date"), F.concat_ws("/", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey")], F.format_string("%020.4f", F.col("l_extendedprice").cast("double"))).alias("order"), F.when(k % 11 != 0, F.col("l_extendedprice").cast("double")).alias("close"), F.when(k % 5 != 0, F.col("l_quantity").cast("double")).otherwise(0.0).alias("volume"), (F.col("l_extendedprice") / 10).cast("double").alias("amount"))
+    lines, k = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    code = F.concat(F.element_at(F.array(*[F.lit(x) for x in "6095"]), (F.col("l_suppkey") % 4 + 1).cast("int")), F.lpad((F.col("l_suppkey") % 100_000).cast("string"), 5, "0"))
+    order = F.concat_ws("/", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey")], F.format_string("%020.4f", F.col("l_extendedprice").cast("double")))
+    return lines.select(code.alias("code"), F.to_date("l_shipdate").alias("date"), order.alias("order"), F.when(k % 11 != 0, F.col("l_extendedprice").cast("double")).alias("close"), F.when(k % 5 != 0, F.col("l_quantity").cast("double")).otherwise(0.0).alias("volume"), (F.col("l_extendedprice") / 10).cast("double").alias("amount"))
 
 
 def master_prices(spark, sf_dir):
@@ -28,15 +29,19 @@ def master_prices(spark, sf_dir):
     return rounded(ms.price_history(days, factors, basics, ["pb"]), ["date"], 9)
 
 
-PRICES = """WITH d AS (SELECT CASE WHEN l_suppkey % 2 = 0 THEN '600' ELSE '000' END || lpad(CAST(l_suppkey AS VARCHAR), 3, '0') AS code, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_orderkey % 11 <> 0 THEN l_extendedprice END AS close, CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity ELSE 0 END * 100 AS volume, l_extendedprice / 10 * 1000 AS amount, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_suppkey <= 10),
+PRICES = """WITH d AS (SELECT ['6', '0', '9', '5'][l_suppkey % 4 + 1] || lpad(CAST(l_suppkey % 100000 AS VARCHAR), 5, '0') AS code, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_orderkey % 11 <> 0 THEN l_extendedprice END AS close, CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity ELSE 0 END * 100 AS volume, l_extendedprice / 10 * 1000 AS amount, l_orderkey, l_linenumber, l_partkey FROM lineitem),
 o AS (SELECT * FROM d WHERE close IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code, date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, close DESC) = 1)
-SELECT code, date, round(CAST(close AS DOUBLE), 9) AS close, round(CAST(volume AS DOUBLE), 9) AS volume, round(CAST(amount AS DOUBLE), 9) AS amount, round(coalesce(CAST(amount AS DOUBLE) / nullif(volume, 0), close), 9) AS vwap, round(CASE WHEN day(date) % 2 = 0 THEN day(date) / 10 ELSE 1 END, 9) AS factor, CASE WHEN month(date) <= 6 THEN CAST(month(date) AS DOUBLE) END AS pb, CASE WHEN code[1] = '6' THEN 'SH' ELSE 'SZ' END || code AS instrument FROM o"""
+SELECT code, date, round(CAST(close AS DOUBLE), 9) AS close, round(CAST(volume AS DOUBLE), 9) AS volume, round(CAST(amount AS DOUBLE), 9) AS amount, round(coalesce(CAST(amount AS DOUBLE) / nullif(volume, 0), close), 9) AS vwap, round(CASE WHEN day(date) % 2 = 0 THEN day(date) / 10 ELSE 1 END, 9) AS factor, CASE WHEN month(date) <= 6 THEN CAST(month(date) AS DOUBLE) END AS pb, CASE WHEN code[1] = '0' THEN 'SZ' ELSE 'SH' END || code AS instrument FROM o"""
+
+
+HEADS = ("600", "688", "300", "830", "920", "000", "301", "430")
 
 
 def raw_master(spark, sf_dir) -> DataFrame:
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    head = F.element_at(F.array(*[F.lit(x) for x in ("600", "688", "300", "830", "000")]), (k % 5 + 1).cast("int"))
-    return s.select(F.concat(head, F.lpad((k % 60).cast("string"), 3, "0")).alias("code"), F.when(k % 7 == 0, F.concat(F.lit("*ST "), "s_name")).otherwise(F.col("s_name")).alias("name"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("i"), (k % 9).cast("string"))).alias("industry"), "s_suppkey")
+    head = F.element_at(F.array(*[F.lit(x) for x in HEADS]), (k % len(HEADS) + 1).cast("int"))
+    name = F.when(k % 7 == 0, F.concat(F.lit("*ST "), "s_name")).when(k % 11 == 0, F.concat(F.lit(" "), "s_name", F.lit("退"))).when(k % 13 == 0, F.concat("s_name", F.lit(" est"))).otherwise(F.col("s_name"))
+    return s.select(F.concat(head, F.lpad((k % 60).cast("string"), 3, "0")).alias("code"), name.alias("name"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("i"), (k % 9).cast("string"))).alias("industry"), "s_suppkey")
 
 
 def master(spark, sf_dir) -> DataFrame:
@@ -49,18 +54,18 @@ def master_snapshot(spark, sf_dir):
     return rounded(master(spark, sf_dir), ["as_of"])
 
 
-MASTER = """r AS (SELECT ['600', '688', '300', '830', '000'][s_suppkey % 5 + 1] || lpad(CAST(s_suppkey % 60 AS VARCHAR), 3, '0') AS code, CASE WHEN s_suppkey % 7 = 0 THEN '*ST ' || s_name ELSE s_name END AS name, CASE WHEN s_suppkey % 3 <> 0 THEN 'i' || (s_suppkey % 9) END AS ind, s_suppkey FROM supplier),
-t AS (SELECT CASE code[1] WHEN '6' THEN 'SH' WHEN '3' THEN 'SZ' WHEN '0' THEN 'SZ' ELSE 'BJ' END || code AS instrument, * FROM r),
+MASTER = f"""r AS (SELECT {list(HEADS)}[s_suppkey % {len(HEADS)} + 1] || lpad(CAST(s_suppkey % 60 AS VARCHAR), 3, '0') AS code, CASE WHEN s_suppkey % 7 = 0 THEN '*ST ' || s_name WHEN s_suppkey % 11 = 0 THEN s_name || '退' WHEN s_suppkey % 13 = 0 THEN s_name || ' est' ELSE s_name END AS name, CASE WHEN s_suppkey % 3 <> 0 THEN 'i' || (s_suppkey % 9) END AS ind, s_suppkey FROM supplier),
+t AS (SELECT CASE WHEN code[1] IN ('5', '6', '9') THEN 'SH' ELSE 'SZ' END || code AS instrument, upper(name) LIKE '%ST%' OR name LIKE '%退%' AS is_st, * FROM r),
 u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY s_suppkey DESC) = 1),
-ma AS (SELECT instrument, name, instrument[1:2] AS exchange, CASE WHEN code[1:3] = '688' THEN 'star' WHEN code[1:3] = '300' THEN 'chinext' WHEN instrument LIKE 'BJ%' THEN 'bse' ELSE 'main' END AS board, name LIKE '*ST%' AS is_st, DATE '1999-01-01' AS as_of, CASE WHEN ind IS NOT NULL THEN 'master' WHEN length(name) % 2 = 0 OR name LIKE '*ST%' THEN 'other' ELSE '' END AS industry_source, coalesce(ind, CASE WHEN length(name) % 2 = 0 OR name LIKE '*ST%' THEN 'late' END, '') AS industry, s_suppkey FROM u)"""
+ma AS (SELECT instrument, name, CASE WHEN instrument LIKE 'SH%' THEN 'SSE' ELSE 'SZSE' END AS exchange, CASE WHEN code[1:3] IN ('688', '689') THEN 'STAR' WHEN code[1:3] IN ('300', '301') THEN 'ChiNext' WHEN code[1] IN ('8', '4') OR code[1:3] = '920' THEN 'BSE' ELSE 'main' END AS board, is_st, DATE '1999-01-01' AS as_of, CASE WHEN ind IS NOT NULL THEN 'master' WHEN length(name) % 2 = 0 OR is_st THEN 'other' ELSE '' END AS industry_source, coalesce(ind, CASE WHEN length(name) % 2 = 0 OR is_st THEN 'late' END, '') AS industry, s_suppkey FROM u)"""
 
 
 def master_history(spark, sf_dir):
     """Versions by outside history, listing or first trade, beside the intervals of names."""
     base = master(spark, sf_dir).withColumn("listed", F.when(F.col("board") != "main", F.lit("1995-02-01").cast("date")))
     out = base.where("is_st").select("instrument", F.concat("name", F.lit("!")).alias("name"), F.lit("1996-01-01").cast("date").alias("valid_from"), F.lit("1997-01-01").cast("date").alias("valid_to"))
-    prices = base.where("board = 'main' and exchange = 'SH'").select("instrument", F.lit("1994-05-05").cast("date").alias("date"))
-    changes = base.where("board = 'star'").select("instrument", F.concat(F.lit("st "), "name").alias("name"), F.lit("1998-01-01").cast("date").alias("start"), F.lit(None).cast("date").alias("end"))
+    prices = base.where("board = 'main' and exchange = 'SSE'").select("instrument", F.lit("1994-05-05").cast("date").alias("date"))
+    changes = base.where("board = 'STAR'").select("instrument", F.concat(F.lit("st "), "name").alias("name"), F.lit("1998-01-01").cast("date").alias("start"), F.lit(None).cast("date").alias("end"))
     made = ms.history(base, prices, out).select("instrument", "name", "valid_from", "valid_to", "origin")
     names = ms.name_history(base, changes).select("instrument", "name", "valid_from", "valid_to", F.when(F.col("is_st"), "name_st").otherwise("name").alias("origin"))
     return rounded(made.unionByName(names), ["valid_from", "valid_to"])
@@ -68,8 +73,8 @@ def master_history(spark, sf_dir):
 
 HISTORY = f"""WITH {MASTER}, l AS (SELECT *, CASE WHEN board <> 'main' THEN DATE '1995-02-01' END AS listed FROM ma)
 SELECT instrument, name || '!' AS name, DATE '1996-01-01' AS valid_from, DATE '1997-01-01' AS valid_to, 'history' AS origin FROM l WHERE is_st
-UNION ALL SELECT instrument, name, coalesce(listed, CASE WHEN exchange = 'SH' THEN DATE '1994-05-05' END), NULL, 'snapshot' FROM l WHERE NOT is_st
-UNION ALL SELECT instrument, CASE WHEN board = 'star' THEN 'st ' || name ELSE name END, CASE WHEN board = 'star' THEN DATE '1998-01-01' ELSE listed END, NULL, CASE WHEN board = 'star' OR is_st THEN 'name_st' ELSE 'name' END FROM l"""
+UNION ALL SELECT instrument, name, coalesce(listed, CASE WHEN exchange = 'SSE' THEN DATE '1994-05-05' END), NULL, 'snapshot' FROM l WHERE NOT is_st
+UNION ALL SELECT instrument, CASE WHEN board = 'STAR' THEN 'st ' || name ELSE name END, CASE WHEN board = 'STAR' THEN DATE '1998-01-01' ELSE listed END, NULL, CASE WHEN board = 'STAR' OR is_st THEN 'name_st' ELSE 'name' END FROM l"""
 
 
 def master_industries(spark, sf_dir):
@@ -207,7 +212,7 @@ def oracle_sql() -> dict[str, str]:
         "event_library": f"WITH {EVENT} SELECT 'event_type' AS kind, event_type AS value, count(*) AS events, count(DISTINCT instrument) AS instruments, max(event_date) AS latest FROM ev GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*), count(DISTINCT instrument), max(event_date) FROM ev GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*), count(DISTINCT instrument), max(event_date) FROM ev",
         "text_evidence": f"{chunked} SELECT 'all' AS tier, {stats} FROM c UNION ALL SELECT {tier}, {stats} FROM c GROUP BY 1",
         "text_found": f"{chunked}, x AS (SELECT CAST(doc_id % 50 AS VARCHAR) AS instrument, DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS event_date, CAST(doc_id AS VARCHAR) AS event_id, chunk_id, lower(substring(t, chunk_id * 500 + 1, 500)) AS s FROM c WHERE doc_id % 50 % 3 = 0) SELECT instrument, event_date, event_id, chunk_id FROM x WHERE event_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND contains(s, 'the') ORDER BY event_date DESC, instrument DESC, chunk_id LIMIT 200",
-        "text_intensity": "WITH a AS (SELECT o_orderkey % 5 AS unit, o_orderkey % 977 * [1e4, 1e8, 1e6, 1e9, 0][o_orderkey % 5 + 1] AS v, o_orderkey % 13 + 0.5 AS p FROM orders), m AS (SELECT unit, greatest(v, 125000) AS v, p FROM a) SELECT unit, round(sum(round(greatest(1, least(3, 1 + log10(v / 1e7))), 8)), 3) AS money, round(sum(round(greatest(1e0, least(3e0, 1 + p / 3)), 8)), 3) AS percent FROM m GROUP BY 1",
+        "text_intensity": "WITH a AS (SELECT o_orderkey % 5 AS unit, o_orderkey % 977 * [1e4, 1e8, 0, 0, 0][o_orderkey % 5 + 1] AS v, o_orderkey % 13 + 0.5 AS p FROM orders), m AS (SELECT unit, greatest(v, 125000) AS v, p FROM a) SELECT unit, round(sum(round(greatest(1, least(3, 1 + log10(v / 1e7))), 8)), 3) AS money, round(sum(round(greatest(1e0, least(3e0, 1 + p / 3)), 8)), 3) AS percent FROM m GROUP BY 1",
         "read_evidence": EVIDENCE,
         "read_health": f"WITH {MASTER} SELECT count(*) AS securities, round(avg(CASE WHEN industry <> '' THEN 1e0 ELSE 0e0 END), 6) AS industry_coverage, 1e0 AS name_coverage, round(avg(CASE WHEN instrument IN (SELECT 'SH600' || lpad(CAST(user_id AS VARCHAR), 3, '0') FROM events) THEN 1e0 ELSE 0e0 END), 6) AS event_coverage FROM ma",
         "research_queue": f"WITH {LEDGER} SELECT run, status, m AS primary_metric, row_number() OVER (ORDER BY time DESC NULLS LAST, run) AS place, count(*) OVER (PARTITION BY status) AS status_size FROM lg",
