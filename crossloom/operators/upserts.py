@@ -34,3 +34,8 @@ def collapse_versions(snapshots: DataFrame, keys: list[str], at: str, values: li
         same = same & F.col(v).eqNullSafe(F.lag(v).over(w))
     starts = snapshots.withColumn("_same", same & (F.row_number().over(w) > 1)).where("not _same")
     return starts.select(*keys, *values, F.col(at).alias("valid_from"), F.date_sub(F.lead(at).over(w), 1).alias("valid_to"))
+
+
+def merge_domains(store, changes: dict[str, tuple[DataFrame, list[str]]], derived: dict[str, tuple[DataFrame, list[str]]] | None = None) -> int:
+    """Merge fetched rows into the stored domains by key and add derived domains, as one version: readers see all of them or none."""
+    return store.upsert({**changes, **(derived or {})})
