@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,77 +24,133 @@ def in_bucket(share: Column, low: float, high: float) -> Column:
     return (share >= low) & ((share <= high) if high >= 1 else (share < high))
 
 
-def buckets(spark, pairs: Sequence[tuple[float, float]] = BUCKETS) -> DataFrame:
-    return spark.createDataFrame([(bucket_label(a, b), a, b, b >= 1) for a, b in pairs], "bucket string, low double, high double, closed boolean")
+def score_share(df: DataFrame, signal: str, direction: int = 1, date: str = "datetime", by: Sequence[str] = ()) -> DataFrame:
+    """rank_signal, its percentile in the date (ties by instrument), and each row's number in its series; apart for each value of `by`."""
+    df = df.where(F.col(signal).isNotNull() & F.col("close").isNotNull()).withColumn("rank_signal", F.col(signal) * direction)
+    df = df.withColumn("score_pct", first_rank(F.col("rank_signal"), "instrument", *by, date) / group_count(F.col("rank_signal"), *by, date))
+    return df.withColumn("bar", F.row_number().over(_series(by, date)))
 
 
-def score_share(df: DataFrame, signal: str, direction: int = 1, date: str = "datetime") -> DataFrame:
-    """rank_signal, its percentile in the date (ties by instrument), and each row's number in its series."""
-    df = df.where(F.col(signal).isNotNull() & F.col("close").isNotNull()).withColumn("rank_signal", F.col(signal) * direction)
-    df = df.withColumn("score_pct", first_rank(F.col("rank_signal"), "instrument", date) / group_count(F.col("rank_signal"), date))
-    return df.withColumn("bar", F.row_number().over(series(at=date)))
+def _series(by: Sequence[str], date: str):
+    return Window.partitionBy(*by, "instrument").orderBy(date) if by else series(at=date)
 
 
-def forward_path(df: DataFrame, horizon: int, entry: str = "open", date: str = "datetime") -> DataFrame:
-    """Entry at the next bar, exit at the close `horizon` bars after the signal, best and worst price between; nulls beyond the data."""
-    w = series(at=date)
-    ahead = w.rowsBetween(1, horizon)
-    whole = F.count(F.lit(1)).over(ahead) == horizon
-    df = df.withColumns({"entry_date": F.lead(date, 1).over(w), "entry_price": F.lead(entry, 1).over(w), "exit_date": F.lead(date, horizon).over(w), "exit_price": F.lead("close", horizon).over(w), "_hi": F.when(whole, F.max("high").over(ahead)), "_lo": F.when(whole, F.min("low").over(ahead))})
-    df = df.withColumns({"horizon": F.lit(horizon), "return": div(F.col("exit_price"), F.col("entry_price")) - 1, "mfe": div(F.col("_hi"), F.col("entry_price")) - 1, "mae": div(F.col("_lo"), F.col("entry_price")) - 1})
-    return df.drop("_hi", "_lo")
+def forward_paths(df: DataFrame, horizons: Sequence[int], entry: str | None = "open", delay: int = 0, date: str = "datetime", by: Sequence[str] = (), only: Column | None = None) -> DataFrame:
+    """A row per row of df (where `only`) and horizon: entry at the bar after `delay` more, exit at the close `horizon` bars after the delay, best and worst price between. Paths beyond the data are left out.
+
+    entry None: entered at the row's own close. All horizons share one window over the series; the rows are stacked after it.
+    """
+    w, names = _series(by, date), df.columns
+    if entry is None:
+        at = {"entry_date": F.col(date), "entry_price": F.col("close")}
+    else:
+        at = {"entry_date": F.lead(date, delay + 1).over(w), "entry_price": F.lead(entry, delay + 1).over(w)}
+    ends = {}
+    for h in horizons:
+        ahead = w.rowsBetween(delay + 1, delay + h)
+        ends |= {f"_d{h}": F.lead(date, delay + h).over(w), f"_c{h}": F.lead("close", delay + h).over(w), f"_h{h}": F.max("high").over(ahead), f"_l{h}": F.min("low").over(ahead)}
+    df = df.withColumns(at | ends)
+    df = df.where(only) if only is not None else df
+    paths = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_d{h}").alias("exit_date"), F.col(f"_c{h}").alias("exit_price"), F.col(f"_h{h}").alias("_hi"), F.col(f"_l{h}").alias("_lo")) for h in horizons])
+    rows = df.select(*[F.col(f"`{c}`") for c in names if c not in at], *at, F.inline(F.filter(paths, lambda p: p["exit_date"].isNotNull())))
+    rows = rows.withColumns({"return": div(F.col("exit_price"), F.col("entry_price")) - 1, "mfe": div(F.col("_hi"), F.col("entry_price")) - 1, "mae": div(F.col("_lo"), F.col("entry_price")) - 1})
+    return rows.drop("_hi", "_lo")
 
 
-def independent_trades(df: DataFrame, horizons: Sequence[int], threshold: float = 0.5, date: str = "datetime") -> DataFrame:
+def independent_trades(df: DataFrame, horizons: Sequence[int], threshold: float = 0.5, date: str = "datetime", by: Sequence[str] = ()) -> DataFrame:
     """Every row with a signal over the threshold is a trade; trades may overlap. Rows whose exit lies beyond the data are none."""
-    parts = [forward_path(df, h, date=date).where((F.col("rank_signal") > threshold) & F.col("exit_date").isNotNull()) for h in horizons]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return forward_paths(df, horizons, date=date, by=by, only=F.col("rank_signal") > threshold)
 
 
 def greedy(df: DataFrame, keys: Sequence[str], bar: str = "bar", until: str = "exit_bar") -> DataFrame:
     """Rows kept by a scan of each group in the order of `bar`: a row is kept if it starts after the last kept one's end.
 
-    A group's candidates are the bars of one instrument; the fold over the
-    sorted pairs (bar, end) stays in the JVM.
+    Rows are placed and sorted by group, and stream through; a task holds one end, whatever the length of a group.
     """
-    pairs = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(bar).cast("long").alias("s"), F.col(until).cast("long").alias("e")))).alias("c"))
-    start = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<bigint>").alias("kept"))
-    fold = F.aggregate("c", start, lambda acc, x: F.when(x["s"] > acc["end"], F.struct(x["e"].alias("end"), F.concat(acc["kept"], F.array(x["s"])).alias("kept"))).otherwise(acc))
-    kept = pairs.select(*keys, F.explode(fold["kept"]).alias(bar))
-    return df.join(kept.withColumn(bar, F.col(bar).cast(df.schema[bar].dataType)), [*keys, bar], "left_semi")
+    where = [df.columns.index(c) for c in (*keys, bar, until)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, end = None, -1
+        for batch in batches:
+            keep = []
+            for *key, begin, last in zip(*(batch.column(i).to_pylist() for i in where), strict=True):
+                if key != group:
+                    group, end = key, -1
+                kept = begin > end
+                end = last if kept else end
+                keep.append(kept)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-def bucket_trades(df: DataFrame, horizons: Sequence[int], pairs: Sequence[tuple[float, float]] = BUCKETS, date: str = "datetime") -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, bar, until).mapInArrow(run, df.schema)
+
+
+def with_buckets(df: DataFrame, pairs: Sequence[tuple[float, float]]) -> DataFrame:
+    """A row for each bucket that the row's score_pct is in, with the bucket's name."""
+    known = F.array(*[F.when(in_bucket(F.col("score_pct"), a, b), bucket_label(a, b)) for a, b in pairs])
+    return df.withColumn("bucket", F.explode(F.array_compact(known)))
+
+
+def bucket_trades(df: DataFrame, horizons: Sequence[int], pairs: Sequence[tuple[float, float]] = BUCKETS, date: str = "datetime", by: Sequence[str] = ()) -> DataFrame:
     """Per horizon, bucket and instrument: non-overlapping trades of the rows in the bucket; expects score_share columns."""
-    parts = None
-    for h in horizons:
-        p = forward_path(df, h, date=date).where("exit_date is not null").withColumn("exit_bar", F.col("bar") + h)
-        parts = p if parts is None else parts.unionByName(p)
-    b = buckets(df.sparkSession, pairs)  # a handful of rows
-    hit = (F.col("score_pct") >= F.col("low_")) & ((F.col("score_pct") < F.col("high_")) | (F.col("closed") & (F.col("score_pct") <= F.col("high_"))))
-    rows = parts.join(F.broadcast(b.withColumnsRenamed({"low": "low_", "high": "high_"})), hit).drop("low_", "high_", "closed")
-    return greedy(rows, ["horizon", "bucket", "instrument"])
+    any_ = F.lit(False)
+    for a, b in pairs:
+        any_ = any_ | in_bucket(F.col("score_pct"), a, b)
+    rows = forward_paths(df, horizons, date=date, by=by, only=any_).withColumn("exit_bar", F.col("bar") + F.col("horizon"))
+    return greedy(with_buckets(rows, pairs), [*by, "horizon", "bucket", "instrument"])
 
 
 def two_stage_trades(df: DataFrame, setup: tuple[float, float], horizons: Sequence[int], delay: int = 3, min_share: float | None = None, min_score: float | None = None, date: str = "datetime") -> DataFrame:
     """A bucket hit of `score_pct` that `confirm` (share confirm_pct) backs `delay` bars later; entry the bar after; exit delay + h bars after the setup."""
     w = series(at=date)
-    df = df.withColumns({"_cp": F.lead("confirm_pct", delay).over(w), "_cs": F.lead("confirm", delay).over(w), "entry_date": F.lead(date, delay + 1).over(w), "entry_price": F.lead("open", delay + 1).over(w)})
+    df = df.withColumns({"_cp": F.lead("confirm_pct", delay).over(w), "_cs": F.lead("confirm", delay).over(w)})
     ok = in_bucket(F.col("score_pct"), *setup)
     if min_share is not None:
         ok = ok & (F.col("_cp") >= min_share)
     if min_score is not None:
         ok = ok & (F.col("_cs") >= min_score)
-    parts = None
-    for h in horizons:
-        ahead = w.rowsBetween(delay + 1, delay + h)
-        p = df.withColumns({"horizon": F.lit(h), "exit_bar": F.col("bar") + delay + h, "exit_date": F.lead(date, delay + h).over(w), "exit_price": F.lead("close", delay + h).over(w), "_hi": F.max("high").over(ahead), "_lo": F.min("low").over(ahead)})
-        p = p.withColumns({"return": div(F.col("exit_price"), F.col("entry_price")) - 1, "mfe": div(F.col("_hi"), F.col("entry_price")) - 1, "mae": div(F.col("_lo"), F.col("entry_price")) - 1}).where(ok & F.col("exit_date").isNotNull())
-        parts = p if parts is None else parts.unionByName(p)
-    return greedy(parts.withColumn("bucket", F.lit(bucket_label(*setup))), ["horizon", "bucket", "instrument"]).drop("_hi", "_lo", "_cp", "_cs")
+    rows = forward_paths(df, horizons, delay=delay, date=date, only=ok).drop("_cp", "_cs").withColumns({"exit_bar": F.col("bar") + delay + F.col("horizon"), "bucket": F.lit(bucket_label(*setup))})
+    return greedy(rows, ["horizon", "bucket", "instrument"])
+
+
+def stacked(df: DataFrame, factors: Mapping[str, tuple[int, str] | int], columns: Sequence[str] = ("open", "high", "low", "close", "volume"), date: str = "datetime") -> DataFrame:
+    """A row per bar and factor that has a value: factor, trade_side, score and rank_signal (the score by the factor's direction). The bars are read once for all factors."""
+    specs = {n: (s if isinstance(s, tuple) else (s, "independent")) for n, s in factors.items()}
+    rows = F.array(*[F.struct(F.lit(n).alias("factor"), F.lit(side).alias("trade_side"), F.col(n).cast("double").alias("score"), (F.col(n) * way).cast("double").alias("rank_signal")) for n, (way, side) in specs.items()])
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    return df.where(whole).select(date, "instrument", *columns, F.inline(F.filter(rows, lambda r: r["score"].isNotNull())))
+
+
+def event_lane(df: DataFrame, factors: Mapping[str, tuple[int, str] | int], horizons: Sequence[int] = (5, 20), pairs: Sequence[tuple[float, float]] = ((0.85, 0.95), (0.95, 1.0)), date: str = "datetime") -> DataFrame:
+    """Bucket trades of every factor by its own percentiles and over its own bars, in one pass."""
+    rows = score_share(stacked(df, factors, date=date), "rank_signal", 1, date, ["factor"])
+    return bucket_trades(rows, horizons, pairs, date, ["factor"])
+
+
+def lane_report(summary: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """One row: the lane's status and its metrics at the focus horizon (20, or the longest): means over the factors' highest buckets if any has trades, else over all buckets; the count is cut to a whole number."""
+    focus = 20 if 20 in horizons else max(horizons)
+    at = summary.where(F.col("horizon") == focus)
+    high = F.col("bucket") == "p95_p100"
+    mean = lambda c: F.coalesce(F.avg(F.when(high, F.col(c))), F.avg(F.when(F.col("_none"), F.col(c))))
+    at = at.crossJoin(at.agg((F.count_if(high) == 0).alias("_none")))  # one row
+    one = at.agg(mean("mean_return").alias("primary_metric"), F.coalesce(F.floor(mean("trades")), F.lit(0)).cast("long").alias("trade_count"))
+    return one.select(F.lit(focus).alias("horizon"), F.when(F.col("trade_count") > 0, "review").otherwise("discard_candidate").alias("status"), F.when(F.col("trade_count") > 0, "").otherwise("no event trades").alias("decision_reason"), "primary_metric", "trade_count")
+
+
+def independent_by_universe(df: DataFrame, factors: Mapping[str, tuple[int, str] | int], members: DataFrame, horizons: Sequence[int], threshold: float = 0.5, start: Column | None = None, end: Column | None = None, date: str = "datetime") -> DataFrame:
+    """Independent trades of every factor in every universe, in one pass over the members' bars: a trade is found once and stacked for the universes that its instrument is in.
+
+    members has universe and instrument. Signals before `start` or after `end` are left out; paths may run beyond.
+    """
+    sets = members.groupBy("instrument").agg(F.sort_array(F.collect_set("universe")).alias("_universes"))
+    rows = stacked(df, factors, date=date).join(sets, "instrument")
+    ok = F.col("rank_signal") > threshold
+    ok = ok if start is None else ok & (F.col(date) >= start)
+    ok = ok if end is None else ok & (F.col(date) <= end)
+    found = forward_paths(rows, horizons, date=date, by=["factor"], only=ok)
+    return found.select(F.explode("_universes").alias("universe"), "factor", "trade_side", "horizon", "instrument", F.col(date).alias("signal_date"), "entry_date", "exit_date", "score", "rank_signal", F.col("entry_price").alias("entry_open"), F.col("exit_price").alias("exit_close"), "return", "mfe", "mae")
 
 
 def summarize(trades: DataFrame, by: Sequence[str], no_loss_infinite: bool = False) -> DataFrame:
@@ -114,17 +171,8 @@ def summarize(trades: DataFrame, by: Sequence[str], no_loss_infinite: bool = Fal
 
 def bucket_evaluation(df: DataFrame, signal: str, horizons: Sequence[int], pairs: Sequence[tuple[float, float]] = BUCKETS, date: str = "datetime") -> DataFrame:
     """Undirected buckets without cooldown, returns from the signal's close; a row for every horizon and bucket."""
-    df = score_share(df, signal, 1, date)
-    parts = None
-    w = series(at=date)
-    for h in horizons:
-        ahead = w.rowsBetween(1, h)
-        p = df.withColumns({"horizon": F.lit(h), "return": div(F.lead("close", h).over(w), F.col("close")) - 1, "mfe": div(F.max("high").over(ahead), F.col("close")) - 1, "mae": div(F.min("low").over(ahead), F.col("close")) - 1}).where("return is not null")
-        parts = p if parts is None else parts.unionByName(p)
-    b = buckets(df.sparkSession, pairs)
-    hit = (F.col("score_pct") >= F.col("low")) & ((F.col("score_pct") < F.col("high")) | (F.col("closed") & (F.col("score_pct") <= F.col("high"))))
-    low_high = parts.withColumnsRenamed({"low": "_low", "high": "_high"})
-    found = summarize(low_high.join(F.broadcast(b), hit), ["horizon", "bucket"], no_loss_infinite=True)
+    rows = forward_paths(score_share(df, signal, 1, date), horizons, entry=None, date=date).where("return is not null")
+    found = summarize(with_buckets(rows, pairs), ["horizon", "bucket"], no_loss_infinite=True)
     grid = df.sparkSession.createDataFrame([(h, bucket_label(*p)) for h in horizons for p in pairs], "horizon int, bucket string")
     return grid.join(found, ["horizon", "bucket"], "left").withColumn("trades", F.coalesce("trades", F.lit(0)))
 

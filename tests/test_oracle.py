@@ -4,11 +4,11 @@ import math
 
 import pytest
 
-from crossloom.plans import books, desk, facts, factors, fundamentals, histories, masters, notices, patterns, research, stores
+from crossloom.plans import books, desk, facts, factors, fundamentals, histories, lanes, masters, notices, patterns, research, stores
 
 from .conftest import SF
 
-MODULES = (factors, facts, books, research, patterns, fundamentals, desk, masters, notices, histories, stores)
+MODULES = (factors, facts, books, research, patterns, fundamentals, desk, masters, notices, histories, stores, lanes)
 QUERIES = {n: (q, m.oracle_sql()[n]) for m in MODULES for n, q in m.queries().items() if n in m.oracle_sql()}
 
 
