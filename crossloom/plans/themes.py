@@ -22,7 +22,7 @@ def provider(spark, sf_dir, without: str):
     """A provider of signals over the brand bars that lacks the names of an ending."""
 
     def make(names: DataFrame) -> DataFrame:
-        bars = brand_bars(spark, sf_dir).join(names, "instrument", "left_semi").where(~F.endswith("instrument", F.lit(without)))
+        bars = brand_bars(spark, sf_dir, names).where(~F.endswith("instrument", F.lit(without)))
         df = with_factors(bars, FORMULAS)
         df = df.withColumn("amount_20d", F.avg("amount").over(Window.partitionBy("instrument").orderBy("datetime").rowsBetween(-19, 0))).withColumn("tradable", (F.month("datetime") + F.length("instrument")) % 5 != 0)
         df = df.where("mom is not null").withColumnRenamed("datetime", "date").join(brand_groups(spark, sf_dir).select("instrument", "industry"), "instrument")

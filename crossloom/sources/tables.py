@@ -30,10 +30,12 @@ def _bars(lines: DataFrame, instrument) -> DataFrame:
     )
 
 
-def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly bars of each brand. `part` is a dimension table: Spark broadcasts it when it is small."""
+def brand_bars(spark: SparkSession, sf_dir: str, names: DataFrame | None = None) -> DataFrame:
+    """Monthly bars of each brand, or of those in `names` (instrument) only: other parts then never meet the lines. `part` is a dimension table: Spark broadcasts it when it is small."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_extendedprice")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    if names is not None:
+        parts = parts.join(names.select(F.col("instrument").alias("p_brand")), "p_brand", "left_semi")
     return _bars(lines.join(parts, "l_partkey"), F.col("p_brand"))
 
 
