@@ -13,7 +13,7 @@ from .joins import latest_per_key
 #: Units of money in announcements, and words that tell a source's tier.
 MONEY = r"([0-9]+(?:\.[0-9]+)?)\s*(亿元|亿|万元|万)"
 UNITS = {"亿元": 1e8, "亿": 1e8, "万元": 1e4, "万": 1e4}
-OFFICIAL, AGGREGATOR = ("cninfo", "sse.com", "szse.cn", "exchange"), ("eastmoney", "sina", "akshare", "aggregator")
+OFFICIAL, AGGREGATOR = ("cninfo.com.cn", "sse.com.cn", "szse.cn", "bse.cn", "official_exchange"), ("akshare", "eastmoney", "10jqka", "ifind", "choice", "wind")
 
 
 def listed_symbol(code: Column) -> Column:

@@ -113,7 +113,7 @@ def announcements(spark, sf_dir) -> DataFrame:
     """Chunks of documents as announcements."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     made = domains.chunks(docs).withColumns({"instrument": (F.col("doc_id") % 50).cast("string"), "event_id": F.col("doc_id").cast("string"), "event_date": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))})
-    return made.withColumn("source_url", F.concat(F.lit("http://"), F.when(F.col("doc_id") % 3 == 0, "www.cninfo.com/").when(F.col("doc_id") % 3 == 1, "finance.sina.cn/").otherwise("x.org/"), "event_id"))
+    return made.withColumn("source_url", F.concat(F.lit("http://"), F.when(F.col("doc_id") % 3 == 0, "www.cninfo.com.cn/").when(F.col("doc_id") % 3 == 1, "finance.eastmoney.com/").otherwise("x.org/"), "event_id"))
 
 
 def text_evidence(spark, sf_dir):
