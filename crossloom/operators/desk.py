@@ -193,27 +193,31 @@ def group_results(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(kind.alias("kind"), value.alias("value"), "positions", "target_weight", "pct_today", "weighted_return_pct")
 
 
-def paper_batch(targets: DataFrame, states: DataFrame, equity: float = 1e7, lot: int = 100, ratio: float = 1.0, slippage_bps: float = 5.0, commission_bps: float = 2.0, stamp_bps: float = 10.0, tolerance: float = 1e-6) -> DataFrame:
-    """Trading towards each day's targets from no positions: what was ordered and filled, and the weight after it, for every instrument and day.
+def paper_batch(targets: DataFrame, states: DataFrame, initial: DataFrame | None = None, equity: float = 1e7, lot: int = 100, ratio: float = 1.0, slippage_bps: float = 5.0, commission_bps: float = 2.0, stamp_bps: float = 10.0, tolerance: float = 1e-6, least_value: float = 1000.0) -> DataFrame:
+    """Trading towards each day's targets from the initial positions: what was ordered and filled, and the weight after it, for every instrument and day.
 
-    targets: date, instrument, target_weight. states: date, instrument, price and blocked (a reject reason or ''). A
-    day without a target for a name asks for none of it. The days of one instrument are one fold, in which
+    targets: date, instrument, target_weight. states: date, instrument, price and blocked (a reject reason or ''). initial: instrument,
+    current_weight. A day without a target for a name asks for none of it. An order worth less than least_value after rounding to
+    lots is no order. The days of one instrument are one fold, in which
     only its own weight is carried: no loop over days, and instruments run apart.
     """
     days = targets.agg(F.sort_array(F.collect_set("date")).alias("days"))  # one row
     own = targets.groupBy("instrument").agg(F.map_from_entries(F.collect_list(F.struct("date", "target_weight"))).alias("wanted"))
-    grid = own.crossJoin(days).select("instrument", F.explode("days").alias("date"), "wanted").withColumn("target", F.coalesce(F.try_element_at("wanted", F.col("date")), F.lit(0.0))).drop("wanted")
+    held = initial.groupBy("instrument").agg(F.sum("current_weight").alias("held")) if initial is not None else own.select("instrument", F.lit(0.0).alias("held")).where("false")
+    own = own.join(held, "instrument", "full").withColumn("held", F.coalesce("held", F.lit(0.0)))
+    grid = own.crossJoin(days).select("instrument", "held", F.explode("days").alias("date"), "wanted").withColumn("target", F.coalesce(F.try_element_at("wanted", F.col("date")), F.lit(0.0))).drop("wanted")
     rows = grid.join(states, ["date", "instrument"], "left")
     item = F.struct("date", "target", "price", F.coalesce("blocked", F.lit("")).alias("blocked"))
-    series = rows.groupBy("instrument").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    series = rows.groupBy("instrument").agg(F.sort_array(F.collect_list(item)).alias("items"), F.first("held").alias("held"))
     out = "array<struct<date:date,target_weight:double,before:double,side:string,delta_weight:double,fill_delta_weight:double,transaction_cost:double,status:string,reject_reason:string,after:double>>"
 
     def step(acc, x):
         asked = x["target"] - acc["w"]
-        buy, any_ = asked > 0, F.abs(asked) > tolerance
+        buy = asked > 0
         priced = F.coalesce(x["price"] > 0, F.lit(False))
         shares = F.floor(F.round(F.abs(asked) * equity / x["price"] / lot, 6)) * lot  # rounded, so that sums that differ in the last digit give equal lots
         value = F.when(priced, shares * x["price"]).otherwise(F.abs(asked) * equity)
+        any_ = (F.abs(asked) > tolerance) & (value >= least_value)
         sign = F.when(buy, 1.0).otherwise(-1.0)
         ok = any_ & (x["blocked"] == "")
         filled = F.when(ok, value * ratio * F.when(priced, 1 + sign * slippage_bps / 10_000).otherwise(1.0)).otherwise(0.0)
@@ -224,23 +228,34 @@ def paper_batch(targets: DataFrame, states: DataFrame, equity: float = 1e7, lot:
         row = F.struct(x["date"].alias("date"), x["target"].alias("target_weight"), acc["w"].alias("before"), F.when(any_, F.when(buy, "BUY").otherwise("SELL")).alias("side"), F.when(any_, sign * value / equity).otherwise(0.0).alias("delta_weight"), (sign * filled / equity).alias("fill_delta_weight"), cost.alias("transaction_cost"), status.alias("status"), F.when(any_, x["blocked"]).otherwise("").alias("reject_reason"), after.alias("after"))
         return F.struct(after.alias("w"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
-    start = F.struct(F.lit(0.0).alias("w"), F.array().cast(out).alias("rows"))
+    start = F.struct(F.col("held").alias("w"), F.array().cast(out).alias("rows"))
     return series.select("instrument", F.inline(F.aggregate("items", start, step)["rows"]))
 
 
-def batch_metrics(batch: DataFrame) -> DataFrame:
-    """Per day: orders, fills, rejects, turnover asked for and filled, costs, positions, exposure and the distance from the targets."""
+def batch_metrics(batch: DataFrame, reported: DataFrame | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """Per day: orders, fills, rejects with their most common reason, turnover asked for and filled, costs, positions, exposure, the distance from the targets, and whether the positions are those reported.
+
+    reported: date, instrument, current_weight, as another account has them; without it the positions are taken as they are.
+    """
     s = F.col("status")
-    return batch.groupBy("date").agg(
+    days = batch.groupBy("date").agg(
         F.count_if(s != "none").alias("order_count"), F.count_if(s.isin("filled", "partial")).alias("fill_count"), F.count_if(s == "rejected").alias("rejected_count"), F.sum(F.abs("delta_weight")).alias("turnover"), F.sum(F.abs("fill_delta_weight")).alias("filled_turnover"),
         F.sum("transaction_cost").alias("transaction_cost"), F.count_if(F.col("after") != 0).alias("position_count"), F.sum("after").alias("gross_exposure"), F.sum(F.abs(F.col("target_weight") - F.col("after"))).alias("target_drift"),
     )
-
-
-def batch_summary(batch: DataFrame) -> DataFrame:
-    """One row: days, turnover, largest drift, costs, rejected orders with their most common reason (ties: the first in order), final positions."""
-    daily = batch_metrics(batch)
-    whole = daily.agg(F.count(F.lit(1)).alias("days"), F.sum("turnover").alias("total_turnover"), F.avg("turnover").alias("average_turnover"), F.max("target_drift").alias("max_target_drift"), F.sum("transaction_cost").alias("total_transaction_cost"), F.sum("rejected_count").alias("execution_failure_count"), F.max_by("position_count", "date").alias("final_positions"))
+    reasons = batch.where("status = 'rejected'").groupBy("date", "reject_reason").agg(F.count(F.lit(1)).alias("n"))
+    most = reasons.groupBy("date").agg(F.min_by("reject_reason", F.struct(-F.col("n"), F.col("reject_reason"))).alias("top_reject_reason"))
+    days = days.join(most, "date", "left").withColumn("top_reject_reason", F.coalesce("top_reject_reason", F.lit("")))
+    if reported is None:
+        return days.withColumn("reconciliation_passed", F.lit(True))
+    both = batch.where("after <> 0").select("date", "instrument", "after").join(reported.where("current_weight <> 0").select("date", "instrument", "current_weight"), ["date", "instrument"], "full")
+    off = both.where(F.col("after").isNull() | F.col("current_weight").isNull() | (F.abs(F.col("after") - F.col("current_weight")) > tolerance)).select("date", F.lit(True).alias("_off")).distinct()
+    return days.join(off, "date", "left").withColumn("reconciliation_passed", F.col("_off").isNull()).drop("_off")
+
+
+def batch_summary(batch: DataFrame, reported: DataFrame | None = None) -> DataFrame:
+    """One row: days, turnover, largest drift, days that don't reconcile, costs, rejected orders with their most common reason (ties: the first in order), final positions."""
+    daily = batch_metrics(batch, reported)
+    whole = daily.agg(F.count(F.lit(1)).alias("days"), F.sum("turnover").alias("total_turnover"), F.avg("turnover").alias("average_turnover"), F.max("target_drift").alias("max_target_drift"), F.count_if(~F.col("reconciliation_passed")).alias("reconciliation_failures"), F.sum("transaction_cost").alias("total_transaction_cost"), F.sum("rejected_count").alias("execution_failure_count"), F.max_by("position_count", "date").alias("final_positions"))
     reasons = batch.where("status = 'rejected'").groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
     most = reasons.agg(F.coalesce(F.min_by("reject_reason", F.struct(-F.col("n"), F.col("reject_reason"))), F.lit("")).alias("top_execution_failure_reason"))
     return whole.crossJoin(most)  # one row each

@@ -136,31 +136,44 @@ i AS (SELECT mk.*, coalesce(pct, (c / nullif(open, 0) - 1) * 100, 0) AS pct_toda
 
 
 def batch(spark, sf_dir) -> DataFrame:
-    """All months of the portfolio traded one after another."""
+    """All months of the portfolio traded one after another, from holdings in some names."""
     targets = portfolio(spark, sf_dir).select("date", "instrument", "target_weight")
     blocked = F.when(F.endswith("instrument", F.lit("5")), "suspended").when(F.month("date") % 4 == 0, "not_tradable").otherwise("")
     states = brand_bars(spark, sf_dir).select(F.col("datetime").alias("date"), "instrument", F.col("close").alias("price")).withColumn("blocked", blocked)
-    return dk.paper_batch(targets, states)
+    return dk.paper_batch(targets, states, initial(spark, sf_dir), least_value=LEAST_ORDER)
+
+
+LEAST_ORDER = 300_000.0
+
+
+def initial(spark, sf_dir) -> DataFrame:
+    return brand_groups(spark, sf_dir).where("instrument like '%3' or instrument like '%5'").select("instrument", F.lit(0.04).alias("current_weight"))
+
+
+def reported(spark, sf_dir) -> DataFrame:
+    """Positions as another account has them: one name is missing in the first months of a year."""
+    df = batch(spark, sf_dir).select("date", "instrument", F.col("after").alias("current_weight"))
+    return df.where("not (instrument = 'Brand#13' and month(date) = 1)")
 
 
 def batch_days(spark, sf_dir):
-    return rounded(dk.batch_metrics(batch(spark, sf_dir)), ["date"], 5)
+    return rounded(dk.batch_metrics(batch(spark, sf_dir), reported(spark, sf_dir)), ["date"], 5)
 
 
 def batch_summary(spark, sf_dir):
-    return rounded(dk.batch_summary(batch(spark, sf_dir)), [], 5)
+    return rounded(dk.batch_summary(batch(spark, sf_dir), reported(spark, sf_dir)), [], 5)
 
 
 BATCH = f"""WITH RECURSIVE {PORTFOLIO}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM pf)),
-gr AS (SELECT n.instrument, dd.date, dd.i, coalesce(pf.target_weight, 0) AS t, b.close AS p, CASE WHEN n.instrument LIKE '%5' THEN 'suspended' WHEN month(dd.date) % 4 = 0 THEN 'not_tradable' ELSE '' END AS bl FROM (SELECT DISTINCT instrument FROM pf) n CROSS JOIN dd LEFT JOIN pf ON pf.date = dd.date AND pf.instrument = n.instrument LEFT JOIN bars b ON b.datetime = dd.date AND b.instrument = n.instrument),
+gr AS (SELECT n.instrument, dd.date, dd.i, coalesce(pf.target_weight, 0) AS t, b.close AS p, CASE WHEN n.instrument LIKE '%5' THEN 'suspended' WHEN month(dd.date) % 4 = 0 THEN 'not_tradable' ELSE '' END AS bl FROM (SELECT instrument FROM pf UNION SELECT instrument FROM g WHERE instrument LIKE '%3' OR instrument LIKE '%5') n CROSS JOIN dd LEFT JOIN pf ON pf.date = dd.date AND pf.instrument = n.instrument LEFT JOIN bars b ON b.datetime = dd.date AND b.instrument = n.instrument),
 rc(instrument, i, date, t, w, ov, fv, bl, after) AS (
- SELECT instrument, CAST(0 AS BIGINT), CAST(NULL AS DATE), 0e0, 0e0, 0e0, 0e0, '', 0e0 FROM (SELECT DISTINCT instrument FROM pf)
+ SELECT instrument, CAST(0 AS BIGINT), CAST(NULL AS DATE), 0e0, 0e0, 0e0, 0e0, '', CASE WHEN instrument LIKE '%3' OR instrument LIKE '%5' THEN 0.04e0 ELSE 0e0 END FROM (SELECT DISTINCT instrument FROM gr)
  UNION ALL
  SELECT instrument, i, date, t, w, ov, fv, bl, CASE WHEN abs(w + sign(t - w) * fv / 1e7) > 1e-8 THEN w + sign(t - w) * fv / 1e7 ELSE 0 END FROM (
-  SELECT *, CASE WHEN ov > 0 AND bl = '' THEN ov * CASE WHEN pr THEN 1 + sign(t - w) * 5 / 10000 ELSE 1 END ELSE 0 END AS fv FROM (
+  SELECT * REPLACE (CASE WHEN ov >= {LEAST_ORDER} THEN ov ELSE 0 END AS ov), CASE WHEN ov >= {LEAST_ORDER} AND bl = '' THEN ov * CASE WHEN pr THEN 1 + sign(t - w) * 5 / 10000 ELSE 1 END ELSE 0 END AS fv FROM (
    SELECT g.instrument, g.i, g.date, g.t, rc.after AS w, g.bl, CASE WHEN abs(g.t - rc.after) > 1e-6 THEN CASE WHEN g.p > 0 THEN floor(round(abs(g.t - rc.after) * 1e7 / g.p / 100, 6)) * 100 * g.p ELSE abs(g.t - rc.after) * 1e7 END ELSE 0 END AS ov, coalesce(g.p > 0, false) AS pr FROM rc JOIN gr g ON g.instrument = rc.instrument AND g.i = rc.i + 1))),
-bt AS (SELECT *, abs(t - w) > 1e-6 AS has, fv * (2 + CASE WHEN t > w THEN 0 ELSE 10 END) / 10000 AS cost FROM rc WHERE i > 0),
-bm AS (SELECT date, count(*) FILTER (has) AS order_count, count(*) FILTER (has AND bl = '') AS fill_count, count(*) FILTER (has AND bl <> '') AS rejected_count, sum(ov) / 1e7 AS turnover, sum(fv) / 1e7 AS filled_turnover, sum(cost) AS transaction_cost, count(*) FILTER (after <> 0) AS position_count, sum(after) AS gross_exposure, sum(abs(t - after)) AS target_drift FROM bt GROUP BY 1)"""
+bt AS (SELECT *, ov > 0 AS has, fv * (2 + CASE WHEN t > w THEN 0 ELSE 10 END) / 10000 AS cost FROM rc WHERE i > 0),
+bm AS (SELECT date, count(*) FILTER (has) AS order_count, count(*) FILTER (has AND bl = '') AS fill_count, count(*) FILTER (has AND bl <> '') AS rejected_count, sum(ov) / 1e7 AS turnover, sum(fv) / 1e7 AS filled_turnover, sum(cost) AS transaction_cost, count(*) FILTER (after <> 0) AS position_count, sum(after) AS gross_exposure, sum(abs(t - after)) AS target_drift, count(*) FILTER (instrument = 'Brand#13' AND month(date) = 1 AND after <> 0) = 0 AS reconciliation_passed FROM bt GROUP BY 1)"""
 
 
 def theme_set(spark, sf_dir) -> DataFrame:
@@ -203,8 +216,8 @@ def oracle_sql() -> dict[str, str]:
         "desk_risk": f"{REPORT} SELECT * FROM report", "desk_gate": GATE, "desk_trend": TREND, "desk_review": REVIEW, "desk_tickets": TICKETS, "desk_expert": EXPERT, "desk_symbols": SYMBOLS,
         "desk_intraday": f"{INTRADAY} SELECT instrument, round(pct_today, 6) AS pct_today, round(target_weight * pct_today, 6) AS weighted_return_pct, CASE WHEN pct_today > 0 THEN 'up' WHEN pct_today < 0 THEN 'down' ELSE 'flat' END AS direction, event_bucket FROM i",
         "desk_attribution": f"{INTRADAY} {group('industry')} UNION ALL {group('event_bucket')}",
-        "batch_days": f"{BATCH} SELECT date, order_count, fill_count, rejected_count, position_count, {', '.join(f'round({c}, 5) AS {c}' for c in columns)} FROM bm",
-        "batch_summary": f"{BATCH} SELECT count(*) AS days, round(sum(turnover), 5) AS total_turnover, round(avg(turnover), 5) AS average_turnover, round(max(target_drift), 5) AS max_target_drift, round(sum(transaction_cost), 5) AS total_transaction_cost, CAST(sum(rejected_count) AS BIGINT) AS execution_failure_count, arg_max(position_count, date) AS final_positions, (SELECT bl FROM bt WHERE has AND bl <> '' GROUP BY bl ORDER BY count(*) DESC, bl LIMIT 1) AS top_execution_failure_reason FROM bm",
+        "batch_days": f"{BATCH} SELECT date, order_count, fill_count, rejected_count, position_count, reconciliation_passed, coalesce((SELECT bl FROM bt WHERE bt.date = bm.date AND has AND bl <> '' GROUP BY bl ORDER BY count(*) DESC, bl LIMIT 1), '') AS top_reject_reason, {', '.join(f'round({c}, 5) AS {c}' for c in columns)} FROM bm",
+        "batch_summary": f"{BATCH} SELECT count(*) AS days, round(sum(turnover), 5) AS total_turnover, round(avg(turnover), 5) AS average_turnover, round(max(target_drift), 5) AS max_target_drift, count(*) FILTER (NOT reconciliation_passed) AS reconciliation_failures, round(sum(transaction_cost), 5) AS total_transaction_cost, CAST(sum(rejected_count) AS BIGINT) AS execution_failure_count, arg_max(position_count, date) AS final_positions, (SELECT bl FROM bt WHERE has AND bl <> '' GROUP BY bl ORDER BY count(*) DESC, bl LIMIT 1) AS top_execution_failure_reason FROM bm",
         "theme_checks": f"""{THEME} SELECT 'theme' AS scope, 'min_research_candidates' AS "check", CASE WHEN r >= 30 THEN 'pass' ELSE 'caution' END AS status, CAST(r AS DOUBLE) AS value, 30e0 AS threshold FROM a UNION ALL SELECT 'theme', 'min_signal_coverage', CASE WHEN c >= 0.9 THEN 'pass' ELSE 'caution' END, round(c, 6), 0.9 FROM a UNION ALL SELECT 'theme', 'watch_only_positions', CASE WHEN w = 0 THEN 'pass' ELSE 'caution' END, w, 0 FROM a
  UNION ALL SELECT 'theme', 'event_blocked_positions', 'pass', 0, 0 FROM a UNION ALL SELECT 'theme', 'tradability_blocked_positions', CASE WHEN l = 0 THEN 'pass' ELSE 'fail' END, l, 0 FROM a UNION ALL SELECT 'theme', 'min_amount_20d', CASE WHEN low = 0 THEN 'pass' ELSE 'caution' END, low, 2e6 FROM a UNION ALL SELECT 'empty', 'min_research_candidates', 'fail', 0, 3""",
         "theme_gap": f"{THEME} SELECT instrument FROM th WHERE NOT ins",
