@@ -147,9 +147,40 @@ def select_top(df: DataFrame, score: str, k: int, dropout_rank: int | None = Non
     return chosen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_keep", "_kept", "_new", "_may", "_place")
 
 
-def target_portfolio(df: DataFrame, score: str = "ensemble_score", k: int = 20, cash: float = 0.05, most: float = 0.08, least_scores: dict[str, float] | None = None, confirm: Sequence[str] = (), confirm_least: float = 0.05, date: str = "date", **selection) -> DataFrame:
-    """Eligible rows past the gates, the best k, equal weights up to `most`. A gate on a missing column lets nothing pass."""
+#: Families that count as defensive, and the columns that a signal hands through if it has them.
+DEFENSIVE = ("fundamental_quality", "dividend", "low_vol", "low_volatility")
+PASSED = ("amount_20d", "last_price", "amount", "volume_20d", "volume", "suspended", "limit_up", "limit_down", "buy_blocked", "sell_blocked")
+
+
+def passthrough(df: DataFrame) -> list[str]:
+    """Which of the columns that are handed through df has, in their order."""
+    return [c for c in PASSED if c in df.columns]
+
+
+def offensive(df: DataFrame, confirm: Sequence[str], most_defensive: float | None = None) -> DataFrame:
+    """Rows that one of the columns `confirm` backs with a positive score, and whose positive family scores are not more than `most_defensive` defensive ones. Without any of the columns nothing passes."""
+    present = [c for c in confirm if c in df.columns]
+    if not present:
+        return df.where("false")
+    positive = lambda c: F.coalesce(F.greatest(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    df = df.where(total([positive(c) for c in present]) > 0)
+    families = [c for c in df.columns if c.startswith("family_") and c.endswith("_score")]
+    guarded = [c for c in families if c.removeprefix("family_").removesuffix("_score") in DEFENSIVE]
+    if most_defensive is None or not guarded:
+        return df
+    whole = total([positive(c) for c in families])
+    return df.where((whole <= 0) | (div(total([positive(c) for c in guarded]), whole) <= most_defensive))
+
+
+def target_portfolio(df: DataFrame, score: str = "ensemble_score", k: int = 20, cash: float = 0.05, most: float = 0.08, least_scores: dict[str, float] | None = None, confirm: Sequence[str] = (), confirm_least: float = 0.05, profile: str = "balanced", profile_confirm: Sequence[str] = (), constraints: dict[str, dict[str, float]] | None = None, date: str = "date", **selection) -> DataFrame:
+    """Eligible rows past the gates, the best k, equal weights up to `most`. A gate on a missing column lets nothing pass.
+
+    The profile `offensive` filters by offensive(); constraints give, by profile, max_defensive_family_weight and max_single_weight.
+    """
+    own = (constraints or {}).get(profile, {})
+    most = min(most, float(own["max_single_weight"])) if own.get("max_single_weight") is not None else most
     df = df.where("eligible")
+    df = offensive(df, profile_confirm, own.get("max_defensive_family_weight")) if profile == "offensive" else df
     for c, least in (least_scores or {}).items():
         df = df.where(F.col(c) >= least) if c in df.columns else df.where(F.lit(False))
     if confirm:

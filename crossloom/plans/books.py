@@ -99,6 +99,20 @@ PORTFOLIO = f"""{TRADABLE}, pk AS (SELECT *, row_number() OVER (PARTITION BY dat
 pf AS (SELECT *, least(0.95 / count(*) OVER (PARTITION BY date), 0.12) AS target_weight FROM pk WHERE rank <= 8)"""
 
 
+def portfolio_offensive(spark, sf_dir):
+    """The offensive profile: a positive momentum family, at most a third of the positive scores from low volatility, smaller weights; with the columns that are handed through."""
+    df = checked(spark, sf_dir).drop("volume").withColumnsRenamed({"family_volatility_score": "family_low_vol_score"}).withColumn("ensemble_score", F.round("ensemble_score", 9))
+    limits = {"offensive": {"max_defensive_family_weight": 0.33, "max_single_weight": 0.07}}
+    chosen = sg.target_portfolio(df, k=6, most=0.12, profile="offensive", profile_confirm=["family_momentum_score", "family_gone_score"], constraints=limits)
+    none = sg.target_portfolio(df, profile="offensive", profile_confirm=["family_gone_score"])
+    return rounded(chosen.unionByName(none).select("date", "instrument", "rank", "target_weight", *sg.passthrough(chosen)), ["date"], 4)
+
+
+OFFENSIVE = f"""{TRADABLE}, o AS (SELECT *, greatest(family_momentum_score, 0) AS a, greatest(family_volatility_score, 0) AS b FROM e WHERE reject_reasons = ''),
+k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(ensemble_score, 9) DESC, instrument) AS rank FROM o WHERE a > 0 AND b / (a + b) <= 0.33)
+SELECT date, instrument, rank, round(least(0.95 / count(*) OVER (PARTITION BY date), 0.07), 4) AS target_weight, round(amount_20d, 4) AS amount_20d, round(amount, 4) AS amount FROM k WHERE rank <= 6"""
+
+
 def held(spark, sf_dir) -> DataFrame:
     """A ranking with holdings: the names that were among the best five a month before."""
     df = checked(spark, sf_dir).withColumn("ensemble_score", F.round("ensemble_score", 9)).where("eligible")
@@ -278,10 +292,12 @@ SELECT domain, rows, instruments, latest, CAST(DATE '2001-12-31' - latest AS BIG
 def read_models(spark, sf_dir):
     """Nested cards: a conversation's turns as an array of structs, its roles as a map, flattened to one line."""
     t = table(spark, sf_dir, "conversations")
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.length("text").alias("size"))))
-    cards = t.groupBy("conv_id").agg(turns.alias("turns"), F.count(F.lit(1)).alias("n"), F.sum((F.col("role") == "user").cast("long")).alias("from_user"))
-    first = F.array_join(F.transform(F.slice("turns", 1, 3), lambda x: F.concat_ws(":", x["role"], x["size"].cast("string"))), ";")
-    return cards.select("conv_id", "n", "from_user", first.alias("opening"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.length("text"))
+    first = t.withColumn("k", F.row_number().over(order)).where("k <= 3")  # a task keeps three rows of a conversation before anything is shuffled
+    opening = first.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "role", F.length("text").alias("size")))).alias("turns"))
+    counts = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("role") == "user").cast("long")).alias("from_user"))
+    line = F.array_join(F.transform("turns", lambda x: F.concat_ws(":", x["role"], x["size"].cast("string"))), ";")
+    return counts.join(opening, "conv_id").select("conv_id", "n", "from_user", line.alias("opening"))
 
 
 READ_MODELS = """WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) AS k FROM conversations)
@@ -290,7 +306,7 @@ SELECT conv_id, count(*) AS n, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 EN
 
 def queries() -> dict:
     return {
-        "signal_daily": signal_daily, "signal_explain": signal_explain, "signal_calendar": signal_calendar, "signal_tradability": signal_tradability, "portfolio_target": portfolio_target, "portfolio_dropout": portfolio_dropout,
+        "signal_daily": signal_daily, "signal_explain": signal_explain, "signal_calendar": signal_calendar, "signal_tradability": signal_tradability, "portfolio_target": portfolio_target, "portfolio_dropout": portfolio_dropout, "portfolio_offensive": portfolio_offensive,
         "portfolio_changes": portfolio_changes, "portfolio_turnover": portfolio_turnover, "portfolio_risk": portfolio_risk, "orders_suggested": orders_suggested, "fills_simulated": fills_simulated, "positions_after": positions_after,
         "positions_reconcile": positions_reconcile, "replay_daily": replay_daily, "replay_summary": replay_summary, "replay_monthly": replay_monthly, "attribution_exposure": attribution_exposure, "attribution_style": attribution_style,
         "theme_candidates": theme_candidates, "quality_signal": quality_signal, "quality_coverage": quality_coverage, "governance": governance, "read_models": read_models,
@@ -305,7 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "signal_calendar": f"WITH {EXPOSURES} SELECT date, instrument, CASE WHEN month(date) % 2 = 0 THEN amount > 900000 ELSE tradable END AS tradable FROM x",
         "signal_tradability": f"WITH {TRADABLE} SELECT date, instrument, reject_reasons = '' AS eligible, reject_reasons FROM e",
         "portfolio_target": f"WITH {PORTFOLIO} SELECT date, instrument, rank, round(target_weight, 6) AS target_weight FROM pf",
-        "portfolio_dropout": DROPOUT,
+        "portfolio_dropout": DROPOUT, "portfolio_offensive": f"WITH {OFFENSIVE}",
         "portfolio_changes": f"WITH {CHANGES} SELECT instrument, {r('target_weight', 'current_weight', 'delta_weight')}, CASE WHEN current_weight = 0 AND target_weight <> 0 THEN 'added' WHEN target_weight = 0 AND current_weight <> 0 THEN 'removed' WHEN abs(delta_weight) > 1e-9 THEN 'scaled' ELSE 'unchanged' END AS change FROM ch",
         "portfolio_turnover": f"WITH {CHANGES} SELECT round(sum(abs(delta_weight)), 6) AS turnover FROM ch",
         "portfolio_risk": RISK,
