@@ -31,13 +31,17 @@ def daily_ic(df: DataFrame, signal: str, by: Sequence[str] = ("horizon",), date:
     return df.groupBy(*by, date).agg(corr(F.col(signal), F.col("future")).alias("ic"), corr(F.col("_rs"), F.col("_rf")).alias("rank_ic"), F.count(F.lit(1)).alias("n"))
 
 
-def ic_summary(daily: DataFrame, by: Sequence[str] = ("horizon",)) -> DataFrame:
-    """Mean, deviation over days (divisor n - 1) and their ratio, for both ICs."""
+def _ic_columns() -> list[Column]:
     made = []
     for c in ("ic", "rank_ic"):
         sd = F.stddev_samp(c)
         made += [F.avg(c).alias(f"{c}_mean"), sd.alias(f"{c}_std"), F.when(sd > 0, div(F.avg(c), sd)).alias(f"{c}ir")]
-    return daily.groupBy(*by).agg(*made, F.sum("n").alias("observations"))
+    return made
+
+
+def ic_summary(daily: DataFrame, by: Sequence[str] = ("horizon",)) -> DataFrame:
+    """Mean, deviation over days (divisor n - 1) and their ratio, for both ICs."""
+    return daily.groupBy(*by).agg(*_ic_columns(), F.sum("n").alias("observations"))
 
 
 def top_members(df: DataFrame, signal: str, quantiles: int, by: Sequence[str] = (), date: str = "datetime") -> DataFrame:
@@ -48,17 +52,17 @@ def top_members(df: DataFrame, signal: str, quantiles: int, by: Sequence[str] =
 
 
 def top_turnover(df: DataFrame, signal: str, quantiles: int, by: Sequence[str] = (), date: str = "datetime") -> DataFrame:
-    """Mean over consecutive dates of the share of top members that leave; one date only: null."""
+    """Mean over consecutive dates of the share of top members that leave; one date only: null.
+
+    A member's next date at the top is a window over its own rows; how many go from which date to which is a small table, in which dates find the one after.
+    """
     keys = [*by]
-    top = top_members(df, signal, quantiles, by, date).select(*keys, date, "instrument")
-    dates = top.select(*keys, date).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*keys, F.lit(1)).orderBy(date)))
-    top = top.join(dates, [*keys, date])
-    following = top.select(*keys, (F.col("_i") - 1).alias("_i"), "instrument", F.lit(1).alias("_stays"))
-    last = dates.groupBy(*keys, F.lit(1).alias("_one")).agg(F.max("_i").alias("_last")).drop("_one")
-    kept = top.join(following, [*keys, "_i", "instrument"], "left")
-    kept = kept.join(last, keys) if keys else kept.crossJoin(last)  # one row
-    per_date = kept.where("_i < _last").groupBy(*keys, "_i").agg((1 - div(F.sum(F.coalesce("_stays", F.lit(0))), F.count(F.lit(1)))).alias("_t"))
-    return per_date.groupBy(*keys).agg(F.avg("_t").alias("turnover"))
+    ahead = F.lead(date).over(Window.partitionBy(*keys, "instrument").orderBy(date))
+    moves = top_members(df, signal, quantiles, by, date).withColumn("_next", ahead).groupBy(*keys, date, "_next").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.unix_seconds(F.col(date).cast("timestamp")))
+    moves = moves.withColumn("_after", F.min(date).over(order.rangeBetween(1, Window.unboundedFollowing)))
+    days = moves.where("_after is not null").groupBy(*keys, date, "_after").agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col("_next") == F.col("_after"), F.col("_n")).otherwise(0)).alias("_stay"))
+    return days.groupBy(*keys).agg(F.avg(1 - div(F.col("_stay"), F.col("_all"))).alias("turnover"))
 
 
 def quantile_bucket(signal: str, quantiles: int, by: Sequence[str] = (), date: str = "datetime") -> Column:
@@ -82,7 +86,12 @@ def evaluate(df: DataFrame, signal: str, horizons: Sequence[int], quantiles: int
     """
     panel = df.where(F.col(signal).isNotNull() & F.col("close").isNotNull()).withColumn("_s", F.col(signal) * direction)
     rows = long_horizons(panel.select("instrument", "datetime", "close", "_s"), horizons)
-    stats = ic_summary(daily_ic(rows, "_s")).join(quantile_returns(rows, "_s", quantiles), "horizon", "left")
+    rows = rows.withColumns({"_rs": average_rank(F.col("_s"), "horizon", "datetime"), "_rf": average_rank(F.col("future"), "horizon", "datetime"), "_q": quantile_bucket("_s", quantiles, ["horizon"])})
+    each = range(1, quantiles + 1)
+    sums = [F.sum(F.when(F.col("_q") == k, F.col("future"))).alias(f"_s{k}") for k in each] + [F.count(F.when(F.col("_q") == k, 1)).alias(f"_n{k}") for k in each]
+    daily = rows.groupBy("horizon", "datetime").agg(corr(F.col("_s"), F.col("future")).alias("ic"), corr(F.col("_rs"), F.col("_rf")).alias("rank_ic"), F.count(F.lit(1)).alias("n"), *sums)
+    stats = daily.groupBy("horizon").agg(*_ic_columns(), F.sum("n").alias("observations"), *[div(F.sum(f"_s{k}"), F.sum(f"_n{k}")).alias(f"q{k}") for k in each])
+    stats = stats.withColumn("long_short", F.col(f"q{quantiles}") - F.col("q1"))
     wanted = df.sparkSession.createDataFrame([(h,) for h in horizons], "horizon int")
     out = wanted.join(stats, "horizon", "left").withColumn("observations", F.coalesce("observations", F.lit(0)))
     return out.crossJoin(top_turnover(panel, "_s", quantiles))  # turnover is one row
