@@ -59,13 +59,15 @@ def event_snapshot(rows: DataFrame, events: DataFrame, date: str = "date") -> Da
 
 def disclosure_scores(rows: DataFrame, events: DataFrame, positive: Sequence[str], negative: Sequence[str], days: int = 90, date: str = "date") -> DataFrame:
     """Per row: positive, negative and net event scores of the last `days`: severity weight x linear recency; days since the last event."""
-    e = events.select(F.col("instrument").alias("_i"), "event_date", "event_type", "severity")
+    weight = lookup(F.col("severity"), SEVERITY_WEIGHT, 0.5)
+    part = lambda kinds: F.sum(F.when(F.col("event_type").isin(*kinds), weight).otherwise(0.0))
+    # added up by day first: a name with very many events meets each of its dates with `days` rows at most
+    e = events.groupBy(F.col("instrument").alias("_i"), "event_date").agg(part(positive).alias("_p"), part(negative).alias("_n"))
     hit = (F.col("instrument") == F.col("_i")) & (F.col("event_date") <= F.col(date)) & (F.col("event_date") >= F.date_sub(F.col(date), days))
     age = F.datediff(F.col(date), F.col("event_date"))
-    score = lookup(F.col("severity"), SEVERITY_WEIGHT, 0.5) * (1 - age / float(days))
-    matched = rows.select("instrument", date).join(e, hit).withColumns({"_age": age, "_s": score})
-    side = lambda kinds: F.coalesce(F.sum(F.when(F.col("event_type").isin(*kinds), F.col("_s"))), F.lit(0.0))
-    found = matched.groupBy("instrument", date).agg(side(positive).alias("positive_score"), side(negative).alias("negative_score"), F.min("_age").alias("days_since"))
+    matched = rows.select("instrument", date).distinct().join(e, hit).withColumn("_age", age)
+    side = lambda c: F.coalesce(F.sum(F.col(c) * (1 - F.col("_age") / float(days))), F.lit(0.0))
+    found = matched.groupBy("instrument", date).agg(side("_p").alias("positive_score"), side("_n").alias("negative_score"), F.min("_age").alias("days_since"))
     out = rows.join(found, ["instrument", date], "left")
     out = out.withColumns({"positive_score": F.coalesce("positive_score", F.lit(0.0)), "negative_score": F.coalesce("negative_score", F.lit(0.0))})
     return out.withColumn("net_score", F.col("positive_score") - F.col("negative_score"))
@@ -152,8 +154,9 @@ def quarters(spark, start: str, end: str) -> DataFrame:
 
 
 def pad_calendar(df: DataFrame, calendar: DataFrame, date: str = "datetime") -> DataFrame:
-    """A row for each calendar date between an instrument's first and last; gaps are null."""
+    """A row for each calendar date between an instrument's first and last; gaps are null. The calendar is one row of its dates, of which each instrument takes its slice."""
     span = df.groupBy("instrument").agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
-    c = calendar.select(F.col(date).alias("_d"))
-    grid = span.join(c, (F.col("_d") >= F.col("_a")) & (F.col("_d") <= F.col("_b"))).select("instrument", F.col("_d").alias(date))
+    days = calendar.agg(F.array_sort(F.collect_set(date)).alias("_days"))
+    own = F.filter("_days", lambda d: (d >= F.col("_a")) & (d <= F.col("_b")))
+    grid = span.crossJoin(F.broadcast(days)).select("instrument", F.explode(own).alias(date))  # one row, a day each
     return grid.join(df, ["instrument", date], "left")

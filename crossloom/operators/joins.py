@@ -47,6 +47,11 @@ def in_force(rows: DataFrame, versions: DataFrame, keys: list[str], by: str, at:
 
 
 def active_events(rows: DataFrame, events: DataFrame, by: str, at: str, start: str, until: str) -> DataFrame:
-    """rows x events of the same key with start <= date <= until."""
-    e = events.withColumnRenamed(by, "_by")
-    return rows.join(e, (F.col(by) == F.col("_by")) & (F.col(start) <= F.col(at)) & (F.col(until) >= F.col(at))).drop("_by")
+    """rows x events of the same key with start <= date <= until.
+
+    They meet by key and month: an event stands in each month that it touches, so a key with very many events spreads over its months.
+    """
+    months = F.sequence(F.trunc(start, "month"), F.trunc(until, "month"), F.expr("interval 1 month"))
+    e = events.withColumnRenamed(by, "_by").where(F.col(start) <= F.col(until)).withColumn("_month", F.explode(months))
+    hit = (F.col(by) == F.col("_by")) & (F.trunc(at, "month") == F.col("_month")) & (F.col(start) <= F.col(at)) & (F.col(until) >= F.col(at))
+    return rows.join(e, hit).drop("_by", "_month")

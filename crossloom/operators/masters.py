@@ -197,11 +197,19 @@ def card_items(made: DataFrame) -> DataFrame:
 
 
 def queue(ledger: DataFrame) -> DataFrame:
-    """A ledger of text columns, metrics as numbers, newest first (blank times last), with the size of each status."""
+    """A ledger of text columns, metrics as numbers, newest first (blank times last), with the size of each status.
+
+    Runs are numbered inside their day, after those of later days: a task holds a day, not the ledger.
+    """
     number = lambda c: F.col(c).try_cast("double").alias(c)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last(F.try_to_timestamp("time")), "run")
-    df = ledger.select("run", "lane", "status", "reason", "time", number("primary_metric")).withColumn("place", F.row_number().over(order))
-    return df.withColumn("status_size", F.count(F.lit(1)).over(Window.partitionBy("status")))
+    df = ledger.select("run", "lane", "status", "reason", "time", number("primary_metric")).withColumn("_t", F.try_to_timestamp("time"))
+    df = df.withColumn("_day", F.coalesce(F.to_date("_t"), F.lit("0001-01-01").cast("date")))
+    later = Window.partitionBy(F.lit(1)).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = df.groupBy("_day").agg(F.count(F.lit(1)).alias("_n")).select("_day", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))  # a row a day
+    inside = Window.partitionBy("_day").orderBy(F.desc_nulls_last("_t"), "run")
+    df = df.join(days, "_day").withColumn("place", F.col("_before") + F.row_number().over(inside))
+    sizes = df.groupBy("status").agg(F.count(F.lit(1)).alias("status_size"))
+    return df.join(sizes.withColumnRenamed("status", "_status"), F.expr("status <=> _status")).drop("_t", "_day", "_before", "_status")
 
 
 def lanes(ledger: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clip, div, min_max, true_if, true_unless, z_sample
+from ..functions import clip, div, true_if, true_unless, z_sample
 
 
 @dataclass(frozen=True)
@@ -330,9 +330,16 @@ def style_exposure(portfolio: DataFrame, columns: Sequence[str], weight: str = "
 def theme_candidates(members: DataFrame, signal: DataFrame, components: Sequence[str], k: int = 10, penalty: float = 0.2) -> DataFrame:
     """Theme members with the signal's scores: min-max of each component, their mean, a penalty for risk flags, the best k."""
     df = members.join(signal, "instrument", "left")
-    everything = F.lit(1)
-    df = df.withColumns({f"{c}_scaled": min_max(F.col(c), everything) for c in components})
+    ends = df.agg(*[f(F.col(c)).alias(f"_{n}_{c}") for c in components for n, f in (("a", F.min), ("z", F.max))])
+    df = df.crossJoin(F.broadcast(ends))  # one row
+
+    def scaled(c: str) -> Column:
+        v, a, z = F.col(c), F.col(f"_a_{c}"), F.col(f"_z_{c}")
+        return F.when(v.isNull(), 0.0).when(z == a, 1.0).otherwise(div(v - a, z - a))
+
+    df = df.withColumns({f"{c}_scaled": scaled(c) for c in components}).drop(*[f"_{n}_{c}" for c in components for n in "az"])
     df = df.withColumn("component_score", total([F.col(f"{c}_scaled") for c in components]) / len(components))
     risk = F.least(F.lit(1.0), penalty * F.size(F.filter(F.split(F.coalesce("risk_flags", F.lit("")), ";"), lambda x: x != "")))
     df = df.withColumn("risk_penalty", risk).withColumn("total_score", F.col("component_score") - F.col("risk_penalty")).withColumn("in_signal", F.col(components[0]).isNotNull())
-    return df.withColumn("theme_rank", F.row_number().over(Window.partitionBy(everything).orderBy(F.desc("total_score"), "instrument"))).where(F.col("theme_rank") <= k)
+    best = df.orderBy(F.desc("total_score"), "instrument").limit(k)
+    return best.withColumn("theme_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("total_score"), "instrument")))  # k rows
