@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,3 +137,41 @@ def rank_factors(results: DataFrame, metric: str = "rank_ic_mean", least: int =
         raise ValueError(f"no column {metric}")
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last(F.round(F.abs(F.col(metric)), 9)), "factor")
     return results.where(F.col("observations") >= least).withColumn("position", F.row_number().over(order))
+
+
+def evaluate_many(df: DataFrame, factors: Mapping[str, tuple[str, int]], horizons: Sequence[int], quantiles: int = 5, turnover: bool = True, long_short: bool = False) -> DataFrame:
+    """A row per factor (name: column, direction) and horizon: IC and rank IC means, observations, and if asked for turnover of the top quantile and the long-short return.
+
+    Returns look ahead over all rows with a close; then factors and horizons are stacked, so that the panel is read once. A factor whose column df
+    doesn't have, and a horizon beyond the data, have 0 observations and no metrics.
+    """
+    have = {n: c for n, (c, _) in factors.items() if c in df.columns}
+    grid = df.sparkSession.createDataFrame([(n, way, h) for n, (_, way) in factors.items() for h in horizons], "factor string, direction int, horizon int")
+    metrics = ["ic_mean", "rank_ic_mean", *(["long_short"] if long_short else []), *(["turnover"] if turnover else [])]
+    if not have:
+        return grid.select("*", *[F.lit(None).cast("double").alias(m) for m in metrics], F.lit(0).cast("long").alias("observations"))
+    base = df.where(F.col("close").isNotNull()).withColumns({f"_f{h}": div(F.lead("close", h).over(series()), F.col("close")) - 1 for h in horizons})
+    cells = [F.struct(F.lit(n).alias("factor"), F.lit(h).alias("horizon"), (F.col(c).cast("double") * factors[n][1]).alias("signal"), F.col(f"_f{h}").alias("future")) for n, c in have.items() for h in horizons]
+    rows = base.select("instrument", "datetime", F.inline(F.filter(F.array(*cells), lambda x: x["signal"].isNotNull() & x["future"].isNotNull())))
+    by = ["factor", "horizon"]
+    rows = rows.withColumns({"_rs": average_rank(F.col("signal"), *by, "datetime"), "_rf": average_rank(F.col("future"), *by, "datetime")} | ({"_q": quantile_bucket("signal", quantiles, by)} if long_short else {}))
+    ends = [F.sum(F.when(F.col("_q") == k, F.col("future"))).alias(f"_s{k}") for k in (1, quantiles)] + [F.count(F.when(F.col("_q") == k, 1)).alias(f"_n{k}") for k in (1, quantiles)] if long_short else []
+    daily = rows.groupBy(*by, "datetime").agg(corr(F.col("signal"), F.col("future")).alias("ic"), corr(F.col("_rs"), F.col("_rf")).alias("rank_ic"), F.count(F.lit(1)).alias("n"), *ends)
+    mean = lambda k: div(F.sum(f"_s{k}"), F.sum(f"_n{k}"))
+    stats = daily.groupBy(*by).agg(F.avg("ic").alias("ic_mean"), F.avg("rank_ic").alias("rank_ic_mean"), F.sum("n").alias("observations"), *([(mean(quantiles) - mean(1)).alias("long_short")] if long_short else []))
+    out = grid.join(stats, by, "left")
+    out = out.join(top_turnover(rows, "signal", quantiles, by), by, "left") if turnover else out
+    return out.select("factor", "direction", "horizon", *metrics, F.coalesce("observations", F.lit(0)).alias("observations"))
+
+
+def member_diagnostics(df: DataFrame, members: Sequence[Mapping[str, object]], horizons: Sequence[int] = (20,), quantiles: int = 5) -> DataFrame:
+    """A row per active member of a combination that df has: rank IC, long-short return and observations at each horizon, beside its family, role and concerns.
+
+    members: name, and if not as usual family (its name), source, direction (1), weight (1) and active (True).
+    """
+    used = [m for m in members if m.get("active", True) and m["name"] in df.columns]
+    names = [(str(m["name"]), str(m.get("family") or m["name"]), "combo_recent_formal", f"recent_formal_raw_ic_ls; source={m.get('source', 'market')}; direction={m.get('direction', 1)}; weight={float(m.get('weight', 1)):g}") for m in used]
+    shown = df.sparkSession.createDataFrame(names, "factor string, family string, suggested_role string, concerns string")
+    stats = evaluate_many(df, {str(m["name"]): (str(m["name"]), int(m.get("direction", 1))) for m in used}, horizons, quantiles, turnover=False, long_short=True)
+    wide = [F.max(F.when(F.col("horizon") == h, F.col(c))).alias(f"{to}_h{h}") for h in horizons for c, to in (("rank_ic_mean", "neutral_rank_ic"), ("long_short", "neutral_long_short"), ("observations", "observations"))]
+    return shown.join(stats.groupBy("factor").agg(*wide), "factor")
