@@ -19,6 +19,7 @@ from .sharding import op1_sharding
 from .simhash import op2_simhash
 from .toxicity import op5_toxicity
 from .turns import op11_conversation_repair
+from .turns_sql import SQL as REPAIR_SQL
 from .urls import op7_url_filters
 
 
@@ -41,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_source_divergence": DIVERGENCE_SQL}
+    return {"op11_conversation_repair": REPAIR_SQL, "op13_source_divergence": DIVERGENCE_SQL}

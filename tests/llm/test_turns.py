@@ -6,9 +6,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from crossloom.llm import turns
+from crossloom.llm.turns_sql import SQL
+
+from ..conftest import SF
 
 NEXT = {"": "u", "s": "u", "u": "a", "a": "u"}
 SPACE = re.compile("[^\x20\x09-\x0d]")
@@ -127,3 +131,13 @@ def test_turns_are_legal_and_steps_cover_the_rows(spark):
         if s.edit != "D":
             kept[s.conv_id] = kept.get(s.conv_id, "") + s.role[:1]
     assert all(re.fullmatch("(s?(ua)+)?", x) for x in kept.values())
+
+
+def test_equals_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS FROM '{SF}/conversations.parquet'")
+    assert found(turns.op11_conversation_repair(spark, SF)) == sorted(con.sql(SQL).fetchall(), key=repr)
+    rows = made(5, 60, 8)
+    con.sql("CREATE TABLE awkward (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO awkward VALUES (?, ?, ?, ?)", rows)
+    assert sorted(con.sql(SQL.replace("FROM conversations", "FROM awkward")).fetchall(), key=repr) == expected(rows)
