@@ -88,8 +88,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS, v
     """doc_id, size, text_crc32, shard and slot of every row of docs.
 
     size: UTF-8 bytes of the text plus ROW_BYTES (null text: those alone, crc of
-    no bytes). Shards' sizes are at most 1 + slack times their mean, as far as
-    single rows allow. Slots run from 0 without gaps in every shard. A null id
+    no bytes). The plan fills shards up to 1 + slack times their mean by the mean sizes of its
+    parts, as far as single rows allow; true sizes differ from it by how a part's own rows differ from
+    their class (README has figures), and what all shards may hold above the mean the emptiest lacks. Slots run from 0 without gaps in every shard. A null id
     is a key like others; rows with equal ids are rows of their own and may part.
     Only doc_id and text are read; an empty table gives no rows.
     """
