@@ -31,7 +31,7 @@ def pattern_evidence(spark, sf_dir):
 
 
 def pattern_events(spark, sf_dir):
-    """Bars from the end of the warm-up on."""
+    """Every supplier's bars with the signal and why there is none; bars of the warm-up say so."""
     return rounded(pt.breakout_events(supplier_bars(spark, sf_dir), RULES).select(*KEYS, "signal", "watch", "failure_reason"), KEYS)
 
 

@@ -4,11 +4,11 @@ import math
 
 import pytest
 
-from crossloom.plans import books, desk, evidence, facts, factors, fundamentals, governance, histories, lanes, masters, notices, patterns, research, stores, themes
+from crossloom.plans import books, desk, evidence, facts, factors, fundamentals, governance, histories, lanes, masters, notices, patterns, readmodels, research, stores, themes
 
 from .conftest import SF
 
-MODULES = (factors, facts, books, research, patterns, fundamentals, desk, masters, notices, histories, stores, lanes, themes, evidence, governance)
+MODULES = (factors, facts, books, research, patterns, fundamentals, desk, masters, notices, histories, stores, lanes, themes, evidence, governance, readmodels)
 QUERIES = {n: (q, m.oracle_sql()[n]) for m in MODULES for n, q in m.queries().items() if n in m.oracle_sql()}
 
 
