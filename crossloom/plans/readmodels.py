@@ -42,12 +42,16 @@ def market_common(spark, sf_dir):
     return rounded(pair.unionByName(rm.common_return(now, later.where("false")).withColumn("kind", F.lit("none"))), [])
 
 
+#: Already rounded, as the bars are.
+PRICES = ("close", "prev_close", "open", "high", "low")
+
+
 def liquidity_panel(spark, sf_dir):
     bars = brand_bars(spark, sf_dir).withColumn("turnover", F.col("volume") / 7)
-    return rounded(rm.liquidity_scan(bars, F.lit("1996-01-01").cast("date"), F.lit("1998-12-31").cast("date")), ["datetime"], 2)
+    return rounded(rm.liquidity_scan(bars, F.lit("1996-01-01").cast("date"), F.lit("1998-12-31").cast("date")), ["datetime", *PRICES])
 
 
-PANEL = f"WITH {BARS}, t AS (SELECT *, volume / 7 AS turnover, lag(close) OVER {W} AS prev_close, avg(amount) OVER {roll(20)} AS amount_20d, avg(volume / 7) OVER {roll(20)} AS turnover_20d FROM bars) SELECT datetime, instrument, {', '.join(f'round({c}, 2) AS {c}' for c in rm.LIQUIDITY)} FROM t WHERE datetime BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"
+PANEL = f"WITH {BARS}, t AS (SELECT *, volume / 7 AS turnover, lag(close) OVER {W} AS prev_close, avg(amount) OVER {roll(20)} AS amount_20d, avg(volume / 7) OVER {roll(20)} AS turnover_20d FROM bars) SELECT datetime, instrument, {', '.join(c if c in PRICES else f'round({c}, 6) AS {c}' for c in rm.LIQUIDITY)} FROM t WHERE datetime BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"
 
 
 def strategy_list(spark, sf_dir):
