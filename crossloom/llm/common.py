@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Spark's setting by which a finished query's shuffle files are deleted at once.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a staged table is written: shuffle files go at once, batches that go to Python hold a few MB, and a writer's row group takes little of the heap.
+WRITING, ROW_GROUP = {CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +36,14 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,6 +83,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def give_back() -> None:
+    """Return a task's freed memory to the system, so that workers that wait for another task hold little."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # another C library: its own business
+
+
 #: Text bytes that a Python step handles at once; a longer text is handled alone, and whole.
 SLICE = 2 << 20
 
@@ -114,5 +129,6 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
             for part in slices(batch):
                 cols = step({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True)})
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], types[n]) for n, _ in fields], names=[n for n, _ in fields])
+        give_back()
 
     return df.mapInArrow(run, out)

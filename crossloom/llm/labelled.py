@@ -62,5 +62,6 @@ def score_all(docs: DataFrame, features: Callable[[str], list[float]], predict:
             for part in common.slices(batch):
                 x = np.array([features(t or "") for t in part.column(where).to_pylist()], np.float64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(predict(x), 0, 1))], names=[*part.schema.names, out])
+        common.give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ one link a row, which makes most of a family one component however large it is.
 still hold several components, the index of simhash.py gives the near pairs, and of these a minimum spanning forest is compared.
 Then every other pair of different components that can be similar enough, by their sizes and
 the shared shingle's places, is compared too: fingerprints find most links early and cheaply, and lose none.
+Without the index the groups would be the same; it only saves comparisons.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ WORDS, SIMILARITY = 5, 0.8
 #: Differing bits up to which the index looks: about three deviations above the mean of a pair at the limit.
 NEAR = 18
 #: Rows whose shingles are counted, the least count of a frequent shingle, and the most of these (an array in every task). They set the order only.
-SAMPLE, OFTEN, MOST = 20_000, 3, 1 << 18
+SAMPLE, OFTEN, MOST = 8_000, 3, 1 << 18
 #: Rows of a group that meet at once; larger groups are dealt into parts of about so many, and compared block by block.
 GROUP = 4_000
+#: Rows of groups with a common first node that one task compares, about.
+TOGETHER = 200_000
 
 #: Shingles per bucket of a set's histogram, at most and about; buckets are a power of two, BUCKETS at least.
 PER_BUCKET, BUCKETS = 16, 64
@@ -103,6 +106,7 @@ def with_sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray, float], word
             digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T.copy()
             columns = [pa.array(gray_rank(np.array(codes, np.uint64)).view(np.int64)), *map(pa.array, digest), pa.array(sizes, pa.int32()), prefix, dealt, pa.array(buckets, pa.binary())]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added])
+        common.give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -201,6 +205,7 @@ def near_links(met: DataFrame, similarity: float) -> DataFrame:
                     a, b, differ = a[keep], b[keep], differ[keep]
             keep = spanning_forest(own[a], own[b], differ, len(roots))
             yield pairs_batch(node, a[keep], b[keep])
+        common.give_back()
 
     rows = met.select("key", "part", "node", GRAY, "size", "place", "root").repartition("key", "part").sortWithinPartitions("key", "part", GRAY)
     return rows.mapInArrow(join, "a long, b long").distinct()
@@ -211,26 +216,32 @@ def remaining_links(met: DataFrame, similarity: float) -> DataFrame:
 
     Groups of one root are done. The rows of a group's most common root and its other rows are dealt
     into blocks of GROUP rows; the former meet the blocks of the latter, and these each other, in a task for two blocks.
-    So a large family with a few strangers costs its rows, not its pairs.
+    So a large family with a few strangers costs its rows, not its pairs. Groups that begin with the same node go to the same
+    task, TOGETHER rows of them, and give each pair once: relatives share many keys.
     """
-    counts = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    size = counts.groupBy("key").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "root")).alias("most")).where("rows > most.n")
+    counts = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"))
+    size = counts.groupBy("key").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "root")).alias("most"), F.min("lead").alias("lead")).where("rows > most.n")
     blocks = lambda n: F.ceil(n / GROUP).cast("int")
-    parts = size.select("key", F.col("most.root").alias("common"), blocks(F.col("most.n")).alias("first"), blocks(F.col("rows") - F.col("most.n")).alias("others"))
-    rows = met.join(parts, "key").withColumn("usual", F.col("root") == F.col("common"))
+    parts = size.select("key", "lead", "rows", F.col("most.root").alias("common"), blocks(F.col("most.n")).alias("first"), blocks(F.col("rows") - F.col("most.n")).alias("others"))
+    leads = parts.groupBy("lead").agg(F.ceil(F.sum("rows") / TOGETHER).cast("int").alias("tasks"))
+    rows = met.join(parts.drop("rows").join(leads, "lead"), "key").withColumn("usual", F.col("root") == F.col("common"))
     deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     rows = rows.withColumn("own", F.when(F.col("usual"), deal(F.col("first"))).otherwise(F.col("first") + deal(F.col("others"))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("usual"), F.col("first")).otherwise(0), F.col("first") + F.col("others") - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "root", "size", "place", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"))
+    place = F.xxhash64("lead", F.pmod(F.xxhash64("key"), F.col("tasks")), F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(place.alias("key"), F.col("key").alias("shingle"), "node", "root", "size", "place", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key"]):
-            order = np.lexsort((table.column("root").to_numpy(), table.column("key").to_numpy()))
-            key, node, root, size, place, side = (table.column(c).to_numpy()[order] for c in ("key", "node", "root", "size", "place", "side"))
-            number = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (root[1:] != root[:-1])])
-            start, end = group_ends(number), group_ends(key)  # of the other roots' rows
+            order = np.lexsort((table.column("root").to_numpy(), table.column("shingle").to_numpy(), table.column("key").to_numpy()))
+            key, shingle, node, root, size, place, side = (table.column(c).to_numpy()[order] for c in ("key", "shingle", "node", "root", "size", "place", "side"))
+            new = np.r_[0, (key[1:] != key[:-1]) | (shingle[1:] != shingle[:-1])]
+            group, number = np.cumsum(new), np.cumsum(new | np.r_[0, root[1:] != root[:-1]])
+            start, end = group_ends(number), group_ends(group)  # of the other roots' rows
             following = end - start
             total = np.cumsum(following)
+            nodes, at_node = np.unique(node, return_inverse=True)
+            seen: list[np.ndarray] = []
             at = 0
             while at < len(key):
                 before = total[at - 1] if at else 0
@@ -238,8 +249,15 @@ def remaining_links(met: DataFrame, similarity: float) -> DataFrame:
                 i = np.repeat(np.arange(at, to), following[at:to])
                 j = np.repeat(start[at:to], following[at:to]) + np.arange(len(i)) - np.repeat(total[at:to] - following[at:to] - before, following[at:to])
                 can = ((side[i] < 0) | (side[i] != side[j])) & enough(size, place, i, j, similarity)
-                yield pairs_batch(node, i[can], j[can])
+                x, y = at_node[i[can]], at_node[j[can]]
+                seen.append(np.unique(np.minimum(x, y) * len(nodes) + np.maximum(x, y)))
                 at = to
+                if at == len(key) or sum(map(len, seen)) > PAIRS:
+                    seen = [np.unique(np.concatenate(seen))]
+                    if at == len(key) or len(seen[0]) > PAIRS // 2:
+                        yield pairs_batch(nodes, seen[0] // len(nodes), seen[0] % len(nodes))
+                        seen = []
+        common.give_back()
 
     return by_key(rows).mapInArrow(join, "a long, b long").distinct()
 
@@ -288,24 +306,39 @@ def confirmed(links: DataFrame, rows: DataFrame, words: int, similarity: float)
     return found
 
 
+def joined(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, root) after more links: components of the old roots by the new links, which are few and near, instead of those of all links anew."""
+    if roots is None:
+        return common.staged(components(found), "roots")
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = found.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = common.staged(components(ends), "moved")
+    old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    following = common.staged(old.union(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
+    for df in (moved, roots):
+        common.unstage(df)
+    return following
+
+
 def linked(nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root): the component of each linked row. nodes has row (a unique long), text and what with_sets() adds; no two sets are equal."""
     met = common.staged(meetings(nodes.withColumnRenamed("row", "node"), similarity), "meetings")
-    true = None
+    roots = None
     tried: list[DataFrame] = []
     for search in (nearest_links, lambda m: near_links(m, similarity), lambda m: remaining_links(m, similarity)):
-        if true is None:
+        if roots is None:
             links = search(met.withColumn("root", F.col("node")))
         else:
-            links = search(met.join(components(true), "node", "left").withColumn("root", F.coalesce("root", "node")))
+            links = search(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         for done in tried:
             links = links.join(done, ["a", "b"], "left_anti")
         tried.append(common.staged(links, "candidates"))
         found = confirmed(tried[-1], nodes, words, similarity)
-        true = found if true is None else true.union(found)
+        roots = joined(roots, found)
+        common.unstage(found)
     for df in (met, *tried):
         common.unstage(df)
-    return components(true)
+    return roots
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

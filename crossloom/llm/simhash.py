@@ -28,7 +28,7 @@ SEED = 42
 #: Fingerprints of a group that one task joins; larger groups are split by further blocks.
 GROUP = 20_000
 #: Rows of whole groups that a task joins at once, and node pairs it looks at together.
-BATCH, PAIRS = 50_000, 2_000_000
+BATCH, PAIRS = 50_000, 500_000
 #: Neighbours in Gray order that a node of the index takes together.
 FANOUT = 8
 
