@@ -24,7 +24,8 @@ from .simhash import whole_groups
 NEIGHBOURS, REVERSE = 20, 20
 #: Pivots (a sample of this many vectors at most, by hash), the cells that a vector enters, the rows of a cell that meet.
 PIVOTS, ENTERED, CELL = 4096, 4, 1000
-ROUNDS = 2
+#: Rounds of NN-descent go on until one changes at most this share of the edges; ROUNDS is the limit (each halves the distance in the graph, about).
+SETTLED, ROUNDS = 0.02, 10
 #: Nodes a query keeps, and expands in a round. Rounds go on until no beam has a node that is not expanded.
 BEAM, EXPAND = 400, 96
 
@@ -108,7 +109,7 @@ def both_ways(graph: DataFrame, reverse: int) -> DataFrame:
 
 
 def descend(graph: DataFrame, vectors: DataFrame, k: int, reverse: int) -> DataFrame:
-    """One round: all neighbours of a node meet, and each takes those nearer than its farthest."""
+    """One round: all neighbours of a node meet, and each takes those nearer than its farthest. `new` marks edges that graph didn't have."""
     worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(-2.0).cast("float").alias("worst"))
     known = vectors.join(worst, "node", "left").select(F.col("node").alias("nbr"), "vector", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
     meeting = both_ways(graph, reverse).join(known, "nbr")
@@ -121,17 +122,21 @@ def descend(graph: DataFrame, vectors: DataFrame, k: int, reverse: int) -> DataF
         yield ids[a], ids[b], near[a, b].astype(np.float32)
 
     offers = grouped(meeting, "node", EDGES, offer)
-    return best(graph.union(offers).groupBy("node", "nbr").agg(F.max("score").alias("score")), k)
+    both = graph.select("node", "nbr", "score", F.lit(False).alias("new")).union(offers.select("node", "nbr", "score", F.lit(True).alias("new")))
+    return best(both.groupBy("node", "nbr").agg(F.max("score").alias("score"), F.min("new").alias("new")), k)
 
 
 def build_graph(vectors: DataFrame, k: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
-    """node, nbr, score: about the k nearest neighbours of every node. `vectors` has distinct nodes: node long, vector."""
+    """node, nbr, score: about the k nearest neighbours of every node. `vectors` has distinct nodes: node long, vector. Descends until few edges change, `rounds` times at most."""
     graph = common.staged(start_graph(vectors, vectors.count(), k), "graph")
     for _ in range(rounds):
         following = common.staged(descend(graph, vectors, k, reverse), "graph")
         common.unstage(graph)
         graph = following
-    return graph
+        changed = graph.agg(F.avg(F.col("new").cast("double"))).first()[0]
+        if changed is None or changed <= SETTLED:
+            break
+    return graph.select("node", "nbr", "score")
 
 
 BEAMS = "q long, id long, score double, state int"
