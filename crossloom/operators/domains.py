@@ -73,12 +73,18 @@ def disclosure_scores(rows: DataFrame, events: DataFrame, positive: Sequence[str
     return out.withColumn("net_score", F.col("positive_score") - F.col("negative_score"))
 
 
+def pieces(text: Column, size: int) -> Column:
+    """The text cut into slices of `size` characters, in one pass; null and empty texts give none."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def chunks(df: DataFrame, text: str = "text", size: int = 500) -> DataFrame:
-    """White space collapsed, then fixed-width slices: chunk_id (from 0), chunk_text; an empty text gives none."""
+    """White space collapsed, then fixed-width slices: chunk_id (from 0), chunk_text; an empty text gives none.
+
+    The slices are cut before they become rows, so no row carries its whole text.
+    """
     plain = F.trim(F.regexp_replace(F.col(text), r"[ \t\n\r\f\x0B]+", " "))
-    df = df.withColumn("_t", plain).where(F.length("_t") > 0)
-    at = F.explode(F.sequence(F.lit(0), ((F.length("_t") - 1) / size).cast("int")))
-    return df.withColumn("chunk_id", at).withColumn("chunk_text", F.substring(F.col("_t"), F.col("chunk_id") * size + 1, F.lit(size))).drop("_t")
+    return df.drop("chunk_id", "chunk_text").select("*", F.posexplode(pieces(plain, size)).alias("chunk_id", "chunk_text"))
 
 
 def search(df: DataFrame, words: Sequence[str], text: str = "chunk_text", limit: int = 200, order: Sequence[Column] = ()) -> DataFrame:

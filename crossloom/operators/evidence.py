@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.typed import KINDS
 from .disclosures import NOTICE, classify_notices
-from .domains import chunks, event_id
+from .domains import event_id, pieces
 from .masters import blank, source_tier
 
 # Words that mark a chunk's subject, in their order.
@@ -50,13 +50,14 @@ def evidence(events: DataFrame, as_of: Column, size: int = 220, lookback: int |
     whole = F.array_join(F.filter(F.array(title, *[clean(text(c)) for c in ("summary", "evidence")]), lambda t: t != ""), " ")
     own = F.coalesce(blank(text("event_id")), F.concat(F.lit("event_"), event_id(text("instrument"), text("event_date"), whole)))
     df = df.withColumns({"_text": whole, "_id": own, "_title": title, "_tier": source_tier(F.trim(text("source")), F.trim(text("source_url")))})
-    df = chunks(df, "_text", size)
+    # words are looked for and slices cut once a text; the rows of its slices don't carry it
     words = F.array_join(F.array_compact(F.array(*[F.when(F.contains("_text", F.lit(w)), w) for w in KEYWORDS])), ",")
+    df = df.withColumn("_words", words).drop("chunk_id", "chunk_text").select("*", F.posexplode(pieces(F.col("_text"), size)).alias("chunk_id", "chunk_text"))
     event_date = F.col("event_date").cast("string").try_cast("date") if "event_date" in events.columns else F.lit(None).cast("date")
     made = {
         "event_id": F.col("_id"), "instrument": text("instrument"), "event_type": F.coalesce("event_type", F.lit("")), "event_date": event_date, "available_at": F.col("_at"), "severity": F.coalesce("severity", F.lit("")), "title": F.col("_title"),
         "document_title": F.col("_title"), "source": F.trim(text("source")), "source_tier": F.col("_tier"), "official_source": F.col("_tier") == "official", "source_url": F.trim(text("source_url")), "evidence_url": F.trim(text("source_url")),
-        "chunk_id": F.concat("_id", F.lit("_"), F.when(F.col("chunk_id") < 1000, F.lpad(F.col("chunk_id").cast("string"), 3, "0")).otherwise(F.col("chunk_id").cast("string"))), "chunk_text": F.col("chunk_text"), "keywords": words,
+        "chunk_id": F.concat("_id", F.lit("_"), F.when(F.col("chunk_id") < 1000, F.lpad(F.col("chunk_id").cast("string"), 3, "0")).otherwise(F.col("chunk_id").cast("string"))), "chunk_text": F.col("chunk_text"), "keywords": F.col("_words"),
     }
     return df.select(*[made[c.split()[0]].alias(c.split()[0]) for c in KINDS["announcement_evidence"]])
 

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from crossloom.operators import domains
 from crossloom.operators import evidence as ev
 
 
@@ -47,3 +48,26 @@ def test_a_search_reads_the_parts_of_its_letters(spark, rows, tmp_path):
     size = lambda keep: sum(f.stat().st_size for f in (tmp_path / "grams").rglob("*.parquet") if keep(f))
     read = size(lambda f: f.parent.name in used and f.parent.parent.name in ("month=202404", "month=202405"))
     assert 0 < read < size(lambda f: True) / 10
+
+
+def carried(df):
+    """What the rows that a text's slices become hold besides the slice."""
+    lines = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert len(lines) == 1
+    return lines[0], df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_do_not_carry_their_text(spark):
+    """With the whole text in each row of a slice, the work grows with the square of a text's length."""
+    events = spark.createDataFrame([("e", "a", "2024-01-05", "回购", "x" * 700)], "event_id string, instrument string, event_date string, title string, summary string")
+    for df in (ev.evidence(events, F.lit("2024-01-31").cast("date")).select("chunk_text", "keywords"), domains.chunks(events, "summary").select("chunk_id", "chunk_text")):
+        generate, whole = carried(df)
+        assert "regexp_extract_all" in generate and "substring" not in whole
+        assert "contains(" not in whole.partition("Generate")[0]
+    assert [(len(r[0]), r[1]) for r in ev.evidence(events, F.lit("2024-01-31").cast("date")).select("chunk_text", "keywords").collect()] == [(220, "回购")] * 3 + [(43, "回购")]
+
+
+def test_slices_of_unusual_characters(spark):
+    text = "🙂é\u2028\u0085 日" * 50
+    got = domains.chunks(spark.createDataFrame([(text, 1)], "text string, chunk_id int"), size=7).orderBy("chunk_id").collect()
+    assert [r["chunk_text"] for r in got] == [text[i : i + 7] for i in range(0, len(text), 7)]
