@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .masters import blank, source_tier
 KEYWORDS = ("减持", "增持", "回购", "质押", "解禁", "业绩", "问询", "监管", "处罚", "担保", "诉讼", "现金流", "订单", "减值")
 #: Parts of an index by the hash of its letter pairs.
 BUCKETS = 64
+#: Chunks that an index tells apart by no pair.
+BLOCK = 256
 
 
 def clean(c: Column) -> Column:
@@ -82,38 +86,58 @@ def newest(df: DataFrame, limit: int = 200) -> DataFrame:
     return df.orderBy(F.desc("available_at"), F.desc("event_date"), "instrument", "chunk_id").limit(limit)
 
 
+def pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """(month, block, gram): the pairs of neighbouring letters of the lower-case `text` of each block. A pair comes once for each batch with rows of its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            month, block = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            begin = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (month[1:] != month[:-1])])
+            texts = batch.column(2).to_pylist()
+            for a, b in zip(begin, [*begin[1:], len(block)], strict=True):
+                codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in texts[a:b]]
+                found = np.unique(np.concatenate([(c[:-1] << 21) | c[1:] for c in codes]))
+                grams = [chr(x >> 21) + chr(x & 0x1FFFFF) for x in found.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([month[a]] * len(grams), pa.string()), pa.array(np.full(len(grams), block[a])), pa.array(grams, pa.string())], names=["month", "block", "gram"])
+
+    return rows.select("month", "block", "text").mapInArrow(run, "month string, block long, gram string")
+
+
 class EvidenceIndex:
-    """Evidence kept by month, and beside it the pairs of neighbouring letters of each chunk, by month and hash of the pair.
+    """Evidence kept by month in blocks of BLOCK chunks, and beside it the pairs of neighbouring letters of each block, by month and hash of the pair.
 
-    A search for a keyword of two letters or more reads the folders of its pairs and months only: a chunk that holds the keyword has
-    all its pairs. The chunks so found are read by key and searched, so the result is that of a scan. A keyword of one letter is a scan.
+    A search for a keyword of two letters or more reads the folders of its pairs and months only: a block with a chunk that holds the keyword has
+    all its pairs. The blocks so found are read and searched, so the result is that of a scan. A keyword of one letter is a scan.
+    A block has each pair once, so the index has a few rows per chunk instead of one for each of its letters.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def build(self, rows: DataFrame) -> EvidenceIndex:
-        rows = rows.withColumns({"month": F.coalesce(F.date_format("available_at", "yyyyMM"), F.lit("none")), "key": F.xxhash64("chunk_id", "instrument", "chunk_text")})
-        rows.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/chunks")
-        text = haystack()
-        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2))))
-        grams = rows.select("month", "key", F.explode(pairs).alias("gram")).withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int"))
-        # a pair in a third of all chunks makes one large part, which is split; the order lets a reader skip row groups
+        rows = rows.withColumn("month", F.coalesce(F.date_format("available_at", "yyyyMM"), F.lit("none"))).hint("rebalance", "month")
+        # numbers of a task's rows in the order of months: a block of BLOCK rows is of few months
+        rows = rows.sortWithinPartitions("month").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
+        rows.write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/chunks")
+        grams = pairs_of_blocks(self.chunks().withColumn("text", haystack())).withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int"))
+        # a pair in a third of all blocks makes one large part, which is split; the order lets a reader skip row groups
         grams.hint("rebalance", "month", "bucket").sortWithinPartitions("month", "bucket", "gram").write.mode("overwrite").partitionBy("month", "bucket").parquet(f"{self.path}/grams")
         return self
 
     def chunks(self) -> DataFrame:
         kinds = ", ".join(c if " " in c else f"{c} string" for c in KINDS["announcement_evidence"])
-        return self.spark.read.schema(f"{kinds}, key long, month string").parquet(f"{self.path}/chunks")
+        return self.spark.read.schema(f"{kinds}, block long, month string").parquet(f"{self.path}/chunks")
 
     def postings(self, keyword: str) -> DataFrame:
-        """(key, month) of chunks that have every pair of the keyword."""
+        """(month, block) of blocks that have every pair of the keyword."""
         word = keyword.strip().lower()
         grams = sorted({word[i : i + 2] for i in range(len(word) - 1)})
         places = sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
-        df = self.spark.read.schema("key long, gram string, month string, bucket int").parquet(f"{self.path}/grams")
+        df = self.spark.read.schema("block long, gram string, month string, bucket int").parquet(f"{self.path}/grams")
         hits = df.where(F.col("bucket").isin(*places) & F.col("gram").isin(*grams))
-        return hits.groupBy("month", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= len(grams)).select("month", "key")
+        return hits.groupBy("month", "block").agg(F.count_distinct("gram").alias("n")).where(F.col("n") >= len(grams)).select("month", "block")
 
     def search(self, keyword: str | None = None, as_of: str | None = None, lookback: int | None = None, limit: int = 200, **filters: Sequence[str]) -> DataFrame:
         """The newest `limit` chunks that pass all filters; as_of is a date as text, so that months are known before anything is read."""
@@ -128,5 +152,5 @@ class EvidenceIndex:
                 months = months & (F.col("month") >= f"{dt.date.fromisoformat(as_of) - dt.timedelta(lookback):%Y%m}")
         df = df.where(months)
         if len(word) > 1:
-            df = df.join(self.postings(word).where(months), ["month", "key"], "left_semi")
-        return newest(found_in(df, word, as_of=until, lookback=lookback, **filters).drop("key", "month"), limit)
+            df = df.join(self.postings(word).where(months), ["month", "block"], "left_semi")
+        return newest(found_in(df, word, as_of=until, lookback=lookback, **filters).drop("block", "month"), limit)

@@ -71,3 +71,14 @@ def test_slices_of_unusual_characters(spark):
     text = "🙂é\u2028\u0085 日" * 50
     got = domains.chunks(spark.createDataFrame([(text, 1)], "text string, chunk_id int"), size=7).orderBy("chunk_id").collect()
     assert [r["chunk_text"] for r in got] == [text[i : i + 7] for i in range(0, len(text), 7)]
+
+
+def test_the_index_has_few_rows_a_chunk(spark, tmp_path, monkeypatch):
+    """A block has each of its pairs once: as many rows as letters would make the index many times the texts."""
+    events = spark.range(600).select(F.col("id").cast("string").alias("event_id"), F.lit("a").alias("instrument"), F.concat(F.lit("2024-0"), (F.col("id") % 2 + 1).cast("string"), F.lit("-05")).alias("event_date"), F.lit("t").alias("title"), F.concat(F.lit("abcdefghijklmnopqrstuvwxyz" * 6), "id").alias("summary"))
+    made = ev.evidence(events, F.lit("2024-03-01").cast("date")).coalesce(1)
+    monkeypatch.setattr(ev, "BLOCK", 100)
+    index = ev.EvidenceIndex(spark, str(tmp_path)).build(made)
+    assert spark.read.parquet(f"{tmp_path}/grams").count() < 600 * 5
+    assert [r["event_id"] for r in index.search("z417").collect()] == ["417"]
+    assert index.postings("z417").count() < 7
