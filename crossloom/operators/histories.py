@@ -6,7 +6,7 @@ state, never its rows. Groups run apart; inside a group every step needs the one
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -122,9 +122,13 @@ def growing_clusters(rows: DataFrame, family: str, name: str, tokens: str, score
     enough, and its tokens are added to the cluster's; else it begins a cluster. Rows without tokens are alike. Ties of the score go by name; nulls come last.
     Returns family, name, score, cluster (from 1, in the order of their best members), similarity when it joined (null for the first) and place in the cluster.
 
-    Clusters are found by an index from tokens to clusters, so a row is compared with those that share a token only.
+    Clusters are found by an index from their number of tokens and each token. A row of n tokens and a cluster of m with a similarity of at least s
+    share s / (1 + s) (n + m) of them, so the cluster holds one of any n less so many plus one of the row's tokens: for each m the rarest so many are looked up.
+    Numbers near n come first, and s is the best similarity found so far. A cluster with more tokens than the longest row of
+    the family has over the threshold can't be joined any more and leaves the index.
     """
     placed = rows.select(F.col(family).alias("family"), F.col(name).alias("name"), F.col(score).cast("double").alias("score"), F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("tokens"))
+    placed = placed.withColumn("most", F.max(F.size("tokens")).over(Window.partitionBy("family")))
     placed = placed.repartition("family").sortWithinPartitions("family", F.desc_nulls_last("score"), "name")
     schema = T.StructType([placed.schema[c] for c in ("family", "name", "score")]).add("cluster", T.LongType()).add("similarity", T.DoubleType()).add("place", T.LongType())
 
@@ -133,36 +137,54 @@ def growing_clusters(rows: DataFrame, family: str, name: str, tokens: str, score
 
         out_schema = to_arrow_schema(schema)
         started, now = False, None
-        holders: dict[str, list[int]] = {}
-        sizes: list[int] = []
+        holders: dict[int, dict[str, set[int]]] = {}  # by number of tokens and token
+        held: dict[int, set[str]] = {}  # the tokens of each cluster that can still be joined
         members: list[int] = []
         bare = -1
         for batch in batches:
             out = []
-            for f, n, s, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for f, label, s, own, most in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not started or f != now:
-                    started, now, holders, sizes, members, bare = True, f, {}, [], [], -1
-                shared = Counter(c for t in own for c in holders.get(t, ()))
+                    started, now, holders, held, members, bare = True, f, {}, {}, [], -1
+                n, tokens = len(own), set(own)
                 best, like = -1, 0.0
-                for c, both in sorted(shared.items()):
-                    similarity = both / (sizes[c] + len(own) - both)
-                    if similarity > like:
-                        best, like = c, similarity
+                for size in sorted((m for m in holders if threshold * n <= m + 1e-9 and threshold * m <= n + 1e-9), key=lambda m: abs(m - n)):
+                    wanted = max(threshold, like)
+                    least = max(1, math.ceil(wanted / (1 + wanted) * (n + size) - 1e-9))
+                    if least > min(n, size):
+                        continue
+                    by_token = holders[size]
+                    places = sorted((by_token.get(t, ()) for t in own), key=len)[: n - least + 1]
+                    for c in set().union(*places):
+                        both = len(tokens & held[c])
+                        similarity = both / (size + n - both)
+                        if similarity > like or (similarity == like and c < best):
+                            best, like = c, similarity
                 if not own and bare >= 0:
                     best, like = bare, 1.0
                 if best < 0 or like < threshold:
-                    best, like = len(sizes), None
-                    sizes.append(0)
+                    best, like = len(members), None
                     members.append(0)
+                    held[best] = set()
                     if not own:
                         bare = best
-                for t in own:
-                    held = holders.setdefault(t, [])
-                    if best not in held:
-                        held.append(best)
-                        sizes[best] += 1
+                before = held[best]
+                now_held = before | tokens
+                if len(now_held) > len(before):
+                    for t in before:
+                        at = holders[len(before)]
+                        at[t].discard(best)
+                        if not at[t]:
+                            del at[t]
+                    if len(now_held) * threshold > most + 1e-9:
+                        del held[best]
+                    else:
+                        held[best] = now_held
+                        by_token = holders.setdefault(len(now_held), {})
+                        for t in now_held:
+                            by_token.setdefault(t, set()).add(best)
                 members[best] += 1
-                out.append((f, n, s, best + 1, like, members[best]))
+                out.append((f, label, s, best + 1, like, members[best]))
             if out:
                 yield _emit(out, out_schema)
 

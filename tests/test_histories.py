@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import numpy as np
 import pytest
@@ -79,6 +80,25 @@ def test_growing_clusters(spark):
         assert sorted((r["name"], r["cluster"]) for r in got if r["family"] == f) == sorted(clusters_by_hand(items, 0.4))
 
 
+def test_clusters_of_long_rows(spark):
+    """Many sizes, near ties and clusters that grow past what any row can join."""
+    pick = random.Random(5)
+    rows = [("x", f"c{i:03}", float(pick.randint(0, 9)), [f"t{int(x)}" for x in {min(pick.expovariate(0.08), 60) // 1 for _ in range(pick.randint(1, 16))}]) for i in range(400)]
+    for threshold in (0.25, 0.48, 0.5):
+        got = hs.growing_clusters(spark.createDataFrame(rows, "family string, name string, score double, tokens array<string>"), "family", "name", "tokens", "score", threshold).collect()
+        items = [(r[1], set(r[3])) for r in sorted(rows, key=lambda r: (-r[2], r[1]))]
+        assert sorted((r["name"], r["cluster"]) for r in got) == sorted(clusters_by_hand(items, threshold))
+
+
+def test_a_token_in_every_cluster_costs_no_comparison(spark):
+    """20,000 clusters that share one token: compared with one another they take minutes."""
+    tokens = F.concat(F.array(F.lit("all")), F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat_ws("_", F.col("id"), i)))
+    began = time.time()
+    got = hs.growing_clusters(spark.range(20_000).select(F.lit("x").alias("family"), F.col("id").cast("string").alias("name"), F.lit(1.0).alias("score"), tokens.alias("tokens")), "family", "name", "tokens", "score")
+    assert got.agg(F.max("cluster")).first()[0] == 20_000
+    assert time.time() - began < 25
+
+
 def test_expression_tokens(spark):
     df = spark.createDataFrame([("mom_v2", "trend", "Corr(Mean($close, 10), $vwap2, 20) / Ref($close, 5)"), (None, None, None)], "n string, f string, x string")
     got = [set(r[0]) for r in df.select(hs.expression_tokens(F.col("n"), F.col("f"), F.col("x"))).collect()]
