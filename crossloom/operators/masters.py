@@ -133,7 +133,7 @@ def classify(events: DataFrame, taxonomy: Mapping[str, tuple[str, str, str]], de
 
 
 def evidence_search(df: DataFrame, keyword: str | None = None, instruments: Sequence[str] = (), types: Sequence[str] = (), as_of: Column | None = None, lookback: int | None = None, limit: int = 200) -> DataFrame:
-    """The first `limit` chunks that pass every filter given: newest event first, then by instrument (descending) and chunk."""
+    """The first `limit` chunks that pass every filter given: newest event first, then by instrument (descending) and chunk; ties by the event's id, shorter ones first, so that numbers stand in their order."""
     for c, values in (("instrument", instruments), ("event_type", types)):
         df = df.where(F.col(c).isin(*values)) if values else df
     if as_of is not None:
@@ -141,7 +141,7 @@ def evidence_search(df: DataFrame, keyword: str | None = None, instruments: Sequ
         df = df.where(F.col("event_date") >= F.date_sub(as_of, lookback)) if lookback is not None else df
     if keyword:
         df = df.where(F.contains(F.lower("chunk_text"), F.lit(keyword.lower())))
-    return df.orderBy(F.desc("event_date"), F.desc("instrument"), "chunk_id").limit(limit)
+    return df.orderBy(F.desc("event_date"), F.desc("instrument"), "chunk_id", F.length("event_id"), "event_id").limit(limit)
 
 
 def evidence_summary(df: DataFrame) -> DataFrame:

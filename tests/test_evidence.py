@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crossloom.operators import domains
 from crossloom.operators import evidence as ev
+from crossloom.operators import masters
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +83,9 @@ def test_the_index_has_few_rows_a_chunk(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{tmp_path}/grams").count() < 600 * 5
     assert [r["event_id"] for r in index.search("z417").collect()] == ["417"]
     assert index.postings("z417").count() < 7
+
+
+def test_ties_of_a_search_have_an_order(spark):
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("event_id"), F.lit("9").alias("instrument"), F.lit("2024-01-20").cast("date").alias("event_date"), F.lit(0).alias("chunk_id"), F.lit("The x").alias("chunk_text"))
+    got = masters.evidence_search(rows.orderBy(F.xxhash64("event_id")), "the", limit=200)
+    assert [int(r["event_id"]) for r in got.collect()] == list(range(200))
