@@ -8,7 +8,7 @@ of their fingerprints. First each row is compared with its nearest neighbour bef
 one link a row, which makes most of a family one component however large it is. Then, in groups that
 still hold several components, the index of simhash.py gives the near pairs, and of these a minimum spanning forest is compared.
 Then every other pair of different components that can be similar enough, by their sizes and
-the shared shingle's places, is compared too: fingerprints find most links early and cheaply, and lose none.
+the shared shingle's places, is compared too, inside the task where it meets: only links become rows. Fingerprints find most links early and cheaply, and lose none.
 Without the index the groups would be the same; it only saves comparisons.
 """
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ SAMPLE, OFTEN, MOST = 8_000, 3, 1 << 18
 GROUP = 4_000
 #: Rows of groups with a common first node that one task compares, about.
 TOGETHER = 200_000
+#: Shingles of a block of rows whose pairs are compared in a task, about; one row may have more.
+SHINGLES = 2_000_000
 
 #: Shingles per bucket of a set's histogram, at most and about; buckets are a power of two, BUCKETS at least.
 PER_BUCKET, BUCKETS = 16, 64
@@ -211,28 +214,72 @@ def near_links(met: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(join, "a long, b long").distinct()
 
 
-def remaining_links(met: DataFrame, similarity: float) -> DataFrame:
+def shingle_sets(nodes: DataFrame, words: int) -> DataFrame:
+    """(node, own): the ascending hashes of each text's set of shingles."""
+
+    def make():
+        return lambda c: {"node": c["row"], "own": [np.unique(shingle_hashes(t or "", words)).astype("<u8").tobytes() for t in c["text"]]}
+
+    return common.map_batches(nodes.select("row", "text"), "node long, own binary", make)
+
+
+def alike_pairs(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the pairs (x, y) of numbers of sets have this Jaccard similarity; x is ascending."""
+    start = np.cumsum([0, *map(len, sets)])
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    size, mark, out = np.diff(start), np.zeros(len(words), bool), np.zeros(len(x), bool)
+    begin = np.flatnonzero(np.r_[len(x) > 0, x[1:] != x[:-1]])
+    for a, b in zip(begin, [*begin[1:], len(x)], strict=False):
+        mine = ids[start[x[a]] : start[x[a] + 1]]
+        mark[mine] = True
+        for c in range(a, b, 256):
+            to = y[c : min(b, c + 256)]
+            length = size[to]
+            at = np.repeat(start[to] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
+            both = np.bincount(np.repeat(np.arange(len(to)), length), mark[ids[at]], len(to))
+            out[c : c + len(to)] = both >= similarity * (size[x[a]] + length - both)
+        mark[mine] = False
+    return out
+
+
+def remaining_links(met: DataFrame, similarity: float, sets: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of a group that differ in `root` and can have this similarity. met has key, node, size, place and root.
 
+    With sets (node, own), the pairs are compared where they meet, and of those that have the similarity a spanning forest of each task is given:
+    a large family without a link has many pairs, and no row for any of them.
+
     Groups of one root are done. The rows of a group's most common root and its other rows are dealt
-    into blocks of GROUP rows; the former meet the blocks of the latter, and these each other, in a task for two blocks.
+    into blocks of GROUP rows and SHINGLES shingles; the former meet the blocks of the latter, and these each other, in a task for two blocks.
     So a large family with a few strangers costs its rows, not its pairs. Groups that begin with the same node go to the same
     task, TOGETHER rows of them, and give each pair once: relatives share many keys.
     """
-    counts = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"))
-    size = counts.groupBy("key").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "root")).alias("most"), F.min("lead").alias("lead")).where("rows > most.n")
-    blocks = lambda n: F.ceil(n / GROUP).cast("int")
-    parts = size.select("key", "lead", "rows", F.col("most.root").alias("common"), blocks(F.col("most.n")).alias("first"), blocks(F.col("rows") - F.col("most.n")).alias("others"))
-    leads = parts.groupBy("lead").agg(F.ceil(F.sum("rows") / TOGETHER).cast("int").alias("tasks"))
-    rows = met.join(parts.drop("rows").join(leads, "lead"), "key").withColumn("usual", F.col("root") == F.col("common"))
+    counts = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held"), F.min("node").alias("lead"))
+    size = counts.groupBy("key").agg(F.sum("n").alias("rows"), F.sum("held").alias("shingles"), F.max(F.struct("n", "root", "held")).alias("most"), F.min("lead").alias("lead")).where("rows > most.n")
+    blocks = lambda n, held: F.ceil(F.greatest(n / GROUP, held / SHINGLES)).cast("int")
+    parts = size.select("key", "lead", "rows", "shingles", F.col("most.root").alias("common"), blocks(F.col("most.n"), F.col("most.held")).alias("first"), blocks(F.col("rows") - F.col("most.n"), F.col("shingles") - F.col("most.held")).alias("others"))
+    # a family's shingles count once for each key it shares: many times more than a task holds
+    leads = parts.groupBy("lead").agg(F.ceil(F.greatest(F.sum("rows") / TOGETHER, F.sum("shingles") / (16 * SHINGLES))).cast("int").alias("tasks"))
+    rows = met.join(parts.drop("rows", "shingles").join(leads, "lead"), "key").withColumn("usual", F.col("root") == F.col("common"))
     deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     rows = rows.withColumn("own", F.when(F.col("usual"), deal(F.col("first"))).otherwise(F.col("first") + deal(F.col("others"))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("usual"), F.col("first")).otherwise(0), F.col("first") + F.col("others") - 1)))
     place = F.xxhash64("lead", F.pmod(F.xxhash64("key"), F.col("tasks")), F.least("own", "other"), F.greatest("own", "other"))
     rows = rows.select(place.alias("key"), F.col("key").alias("shingle"), "node", "root", "size", "place", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"))
+    compare = sets is not None
+    if compare:
+        rows = common.staged(rows, "places")
+        own = rows.select("key", "node").distinct().join(sets, "node")
+        rows = rows.withColumn("own", F.lit(None).cast("binary")).unionByName(own, allowMissingColumns=True)
+
+    def compared(table: pa.Table) -> tuple[pa.Table, dict[int, np.ndarray]]:
+        """The table without its rows of sets, and these by node."""
+        have = table.column("own").is_valid()
+        held = table.filter(have)
+        return table.filter(pc.invert(have)), {n: np.frombuffer(o, "<u8") for n, o in zip(held.column("node").to_pylist(), held.column("own").to_pylist(), strict=True)}
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key"]):
+        for table in whole_groups(batches, ["key"], **({"rows": 4096} if compare else {})):
+            table, own = compared(table) if compare else (table, {})
             order = np.lexsort((table.column("root").to_numpy(), table.column("shingle").to_numpy(), table.column("key").to_numpy()))
             key, shingle, node, root, size, place, side = (table.column(c).to_numpy()[order] for c in ("key", "shingle", "node", "root", "size", "place", "side"))
             new = np.r_[0, (key[1:] != key[:-1]) | (shingle[1:] != shingle[:-1])]
@@ -255,7 +302,11 @@ def remaining_links(met: DataFrame, similarity: float) -> DataFrame:
                 if at == len(key) or sum(map(len, seen)) > PAIRS:
                     seen = [np.unique(np.concatenate(seen))]
                     if at == len(key) or len(seen[0]) > PAIRS // 2:
-                        yield pairs_batch(nodes, seen[0] // len(nodes), seen[0] % len(nodes))
+                        x, y = seen[0] // len(nodes), seen[0] % len(nodes)
+                        if compare:
+                            links = alike_pairs(x, y, [own[n] for n in nodes.tolist()], similarity)
+                            x, y = local_stars(x[links], y[links], len(nodes))
+                        yield pairs_batch(nodes, x, y)
                         seen = []
         common.give_back()
 
@@ -325,18 +376,22 @@ def linked(nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     met = common.staged(meetings(nodes.withColumnRenamed("row", "node"), similarity), "meetings")
     roots = None
     tried: list[DataFrame] = []
-    for search in (nearest_links, lambda m: near_links(m, similarity), lambda m: remaining_links(m, similarity)):
-        if roots is None:
-            links = search(met.withColumn("root", F.col("node")))
-        else:
-            links = search(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rooted = lambda: met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for search in (nearest_links, lambda m: near_links(m, similarity)):
+        links = search(rooted())
         for done in tried:
             links = links.join(done, ["a", "b"], "left_anti")
         tried.append(common.staged(links, "candidates"))
         found = confirmed(tried[-1], nodes, words, similarity)
         roots = joined(roots, found)
         common.unstage(found)
-    for df in (met, *tried):
+    now = common.staged(rooted(), "rooted")
+    open_ = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    ends = now.join(open_, "key", "left_semi").select(F.col("node").alias("row")).distinct()
+    sets = common.staged(shingle_sets(nodes.select("row", "text").join(ends, "row", "left_semi"), words), "sets")
+    found = common.staged(remaining_links(now, similarity, sets), "confirmed")
+    roots = joined(roots, found)
+    for df in (met, now, sets, found, *tried):
         common.unstage(df)
     return roots
 

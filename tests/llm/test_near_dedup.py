@@ -1,5 +1,6 @@
 """Near-duplicates of the pipeline: cases that a search by fingerprints alone gets wrong."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from crossloom.llm import near_dedup
@@ -68,3 +69,17 @@ def test_every_pair_of_a_large_group_meets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PAIRS", 50)
     got = sorted((r["a"], r["b"]) for r in near_dedup.remaining_links(met, 0.8).collect())
     assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 20 != b % 20]
+
+
+def test_pairs_are_compared_where_they_meet(spark, monkeypatch):
+    """A family whose members are unlike gives no row for its pairs; those alike give a forest."""
+    monkeypatch.setattr(near_dedup, "GROUP", 7)
+    rows = [(1, n, 10, 0, n) for n in range(40)] + [(2, n, 10, 0, n) for n in range(30, 32)]
+    met = spark.createDataFrame(rows, "key long, node long, size int, place int, root long")
+    # nodes 0 to 3 share 9 of 10 shingles, all others 5
+    sets = [(n, np.array([*range(9 if n < 4 else 5), *range(100 * n + 100, 100 * n + (101 if n < 4 else 105))], "<u8").tobytes()) for n in range(40)]
+    got = {(r["a"], r["b"]) for r in near_dedup.remaining_links(met, 0.8, spark.createDataFrame(sets, "node long, own binary")).collect()}
+    assert got <= {(a, b) for a in range(4) for b in range(a + 1, 4)} and len(got) <= 3 * 6
+    nodes, roots = near_dedup.local_stars(*np.array(sorted(got)).T, 4)
+    assert nodes.tolist() == [1, 2, 3] and set(roots.tolist()) == {0}
+    assert near_dedup.alike_pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.uint64)], 0.8).tolist() == []
