@@ -8,14 +8,14 @@ of their fingerprints. First each row is compared with its nearest neighbour bef
 one link a row, which makes most of a family one component however large it is. Then, in groups that
 still hold several components, the index of simhash.py gives the near pairs, and of these a minimum spanning forest is compared.
 Then every other pair of different components that can be similar enough, by their sizes and
-the shared shingle's places, is compared too, inside the task where it meets: only links become rows. Fingerprints find most links early and cheaply, and lose none.
+the shared shingle's places, is compared too, inside the task where it meets: histograms first, then the sets of those rows that have a pair left; only links become rows. Fingerprints find most links early and cheaply, and lose none.
 Without the index the groups would be the same; it only saves comparisons.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -242,13 +242,10 @@ def alike_pairs(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], similarity
     return out
 
 
-def remaining_links(met: DataFrame, similarity: float, sets: DataFrame | None = None) -> DataFrame:
-    """(a, b), a < b: all pairs of a group that differ in `root` and can have this similarity. met has key, node, size, place and root.
-
-    With sets (node, own), the pairs are compared where they meet, and of those that have the similarity a spanning forest of each task is given:
-    a large family without a link has many pairs, and no row for any of them.
+def places(met: DataFrame) -> DataFrame:
+    """Where the rows of groups that still hold several roots meet: key (a task's share), shingle, node, root, size, place and side. met has key, node, size, place and root.
 
-    Groups of one root are done. The rows of a group's most common root and its other rows are dealt
+    The rows of a group's most common root and its other rows are dealt
     into blocks of GROUP rows and SHINGLES shingles; the former meet the blocks of the latter, and these each other, in a task for two blocks.
     So a large family with a few strangers costs its rows, not its pairs. Groups that begin with the same node go to the same
     task, TOGETHER rows of them, and give each pair once: relatives share many keys.
@@ -264,53 +261,154 @@ def remaining_links(met: DataFrame, similarity: float, sets: DataFrame | None =
     rows = rows.withColumn("own", F.when(F.col("usual"), deal(F.col("first"))).otherwise(F.col("first") + deal(F.col("others"))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("usual"), F.col("first")).otherwise(0), F.col("first") + F.col("others") - 1)))
     place = F.xxhash64("lead", F.pmod(F.xxhash64("key"), F.col("tasks")), F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(place.alias("key"), F.col("key").alias("shingle"), "node", "root", "size", "place", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"))
-    compare = sets is not None
-    if compare:
-        rows = common.staged(rows, "places")
-        own = rows.select("key", "node").distinct().join(sets, "node")
-        rows = rows.withColumn("own", F.lit(None).cast("binary")).unionByName(own, allowMissingColumns=True)
-
-    def compared(table: pa.Table) -> tuple[pa.Table, dict[int, np.ndarray]]:
-        """The table without its rows of sets, and these by node."""
+    return rows.select(place.alias("key"), F.col("key").alias("shingle"), "node", "root", "size", "place", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"))
+
+
+class Seats:
+    """The rows of whole places in a task: a seat for each place and node, and the pairs of seats that can be similar by sizes and places."""
+
+    def __init__(self, table: pa.Table) -> None:
+        order = np.lexsort((table.column("root").to_numpy(), table.column("shingle").to_numpy(), table.column("key").to_numpy()))
+        key, self.shingle, node, self.root, self.size, self.place, self.side = (table.column(c).to_numpy()[order] for c in ("key", "shingle", "node", "root", "size", "place", "side"))
+        self.other_key = np.r_[0, key[1:] != key[:-1]]
+        nodes, at = np.unique(node, return_inverse=True)
+        _, first, self.seat = np.unique(np.cumsum(self.other_key) * len(nodes) + at, return_index=True, return_inverse=True)
+        #: Of each seat.
+        self.keys, self.nodes, self.sizes = key[first], node[first], self.size[first]
+
+    def pairs(self, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(x, y), x < y and ascending: about PAIRS pairs at a time, each once in a part."""
+        new = self.other_key | np.r_[0, self.shingle[1:] != self.shingle[:-1]]
+        group, number = np.cumsum(new), np.cumsum(new | np.r_[0, self.root[1:] != self.root[:-1]])
+        start, end = group_ends(number), group_ends(group)  # of the other roots' rows
+        following = end - start
+        total = np.cumsum(following)
+        n, rows = len(self.nodes), len(self.seat)
+        seen: list[np.ndarray] = []
+        at = 0
+        while at < rows:
+            before = total[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(total, before + PAIRS, side="right")))
+            i = np.repeat(np.arange(at, to), following[at:to])
+            j = np.repeat(start[at:to], following[at:to]) + np.arange(len(i)) - np.repeat(total[at:to] - following[at:to] - before, following[at:to])
+            can = ((self.side[i] < 0) | (self.side[i] != self.side[j])) & enough(self.size, self.place, i, j, similarity)
+            x, y = self.seat[i[can]], self.seat[j[can]]
+            seen.append(np.unique(np.minimum(x, y) * n + np.maximum(x, y)))
+            at = to
+            if at == rows or sum(map(len, seen)) > PAIRS:
+                seen = [np.unique(np.concatenate(seen))]
+                if at == rows or len(seen[0]) > PAIRS // 2:
+                    yield seen[0] // n, seen[0] % n
+                    seen = []
+
+
+class Bounds:
+    """Histograms of numbered sets, and which pairs they allow: the sum of the buckets' lesser counts bounds what two sets share."""
+
+    def __init__(self, buckets: list[bytes], size: np.ndarray) -> None:
+        self.buckets, self.size = [np.frombuffer(b, np.uint8) for b in buckets], size.astype(np.int64)
+        self.width = np.array([len(b) for b in self.buckets])
+        self.full = np.array([b.max() == 255 for b in self.buckets])
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each set's row in the second array, where sets of so many buckets or more have that many."""
+        if width not in self.folded:
+            wide = self.width >= width
+            self.folded[width] = np.cumsum(wide) - 1, np.array([b.reshape(-1, width).sum(0, dtype=np.int32) for b, w in zip(self.buckets, wide, strict=True) if w])
+        return self.folded[width]
+
+    def allow(self, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+        out = self.full[x] | self.full[y]
+        least = np.minimum(self.width[x], self.width[y])
+        for width in np.unique(least[~out]).tolist():
+            row, counts = self.of(width)
+            pairs, step = np.flatnonzero(~out & (least == width)), max(1, (1 << 21) // width)
+            for c in (pairs[k : k + step] for k in range(0, len(pairs), step)):
+                both = np.minimum(counts[row[x[c]]], counts[row[y[c]]]).sum(1)
+                out[c] = both >= similarity / (1 + similarity) * (self.size[x[c]] + self.size[y[c]]) - 1e-6
+        return out
+
+
+def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Seats, list[bytes]]]:
+    """The seats of whole places, and what each seat's node has in `own`: rows of a place either sit there or hold a node's own."""
+    for table in whole_groups(batches, ["key"], rows=4096):
         have = table.column("own").is_valid()
-        held = table.filter(have)
-        return table.filter(pc.invert(have)), {n: np.frombuffer(o, "<u8") for n, o in zip(held.column("node").to_pylist(), held.column("own").to_pylist(), strict=True)}
+        held, seats = table.filter(have), Seats(table.filter(pc.invert(have)))
+        own = dict(zip(held.column("node").to_pylist(), held.column("own").to_pylist(), strict=True))
+        yield seats, [own[n] for n in seats.nodes.tolist()]
+
+
+def with_own(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows of places, and one more for each node in a place with its `own` (key, node, own)."""
+    return by_key(rows.withColumn("own", F.lit(None).cast("binary")).unionByName(own.select("key", "node", "own"), allowMissingColumns=True))
+
+
+def close_seats(rows: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node) of the rows of places that have a pair there which sizes, places and histograms allow; buckets has node and buckets. The others have no link there."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seats, own in seated(batches):
+            bounds, close = Bounds(own, seats.sizes), np.zeros(len(own), bool)
+            for x, y in seats.pairs(similarity):
+                unsettled = ~(close[x] & close[y])
+                x, y = x[unsettled], y[unsettled]
+                allowed = bounds.allow(x, y, similarity)
+                close[x[allowed]] = close[y[allowed]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(seats.keys[close]), pa.array(seats.nodes[close])], names=["key", "node"])
+        common.give_back()
+
+    own = rows.select("key", "node").distinct().join(buckets.select("node", F.col("buckets").alias("own")), "node")
+    return with_own(rows, own).mapInArrow(join, "key long, node long")
+
+
+def remaining_links(met: DataFrame, similarity: float, sets: DataFrame | Callable[[DataFrame], DataFrame] | None = None, buckets: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: all pairs of a group that differ in `root` and can have this similarity. met has key, node, size, place and root.
+
+    With sets (node, own), the pairs are compared where they meet, and of those that have the similarity a spanning forest of each task is given, staged:
+    a large family without a link has many pairs, and no row for any of them.
+    A set goes to every place where its node sits, many times its size. So with buckets (node, buckets: histograms, a hundredth of the sets) only nodes that have a pair at a place
+    which histograms allow sit there; sets may then be a function that makes them for the nodes it is given.
+
+    Groups of one root are done; for the others see places().
+    """
+    rows = places(met)
+    if sets is None:
+
+        def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_groups(batches, ["key"]):
+                seats = Seats(table)
+                yield from (pairs_batch(seats.nodes, x, y) for x, y in seats.pairs(similarity))
+            common.give_back()
+
+        return by_key(rows).mapInArrow(give, "a long, b long").distinct()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key"], **({"rows": 4096} if compare else {})):
-            table, own = compared(table) if compare else (table, {})
-            order = np.lexsort((table.column("root").to_numpy(), table.column("shingle").to_numpy(), table.column("key").to_numpy()))
-            key, shingle, node, root, size, place, side = (table.column(c).to_numpy()[order] for c in ("key", "shingle", "node", "root", "size", "place", "side"))
-            new = np.r_[0, (key[1:] != key[:-1]) | (shingle[1:] != shingle[:-1])]
-            group, number = np.cumsum(new), np.cumsum(new | np.r_[0, root[1:] != root[:-1]])
-            start, end = group_ends(number), group_ends(group)  # of the other roots' rows
-            following = end - start
-            total = np.cumsum(following)
-            nodes, at_node = np.unique(node, return_inverse=True)
-            seen: list[np.ndarray] = []
-            at = 0
-            while at < len(key):
-                before = total[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(total, before + PAIRS, side="right")))
-                i = np.repeat(np.arange(at, to), following[at:to])
-                j = np.repeat(start[at:to], following[at:to]) + np.arange(len(i)) - np.repeat(total[at:to] - following[at:to] - before, following[at:to])
-                can = ((side[i] < 0) | (side[i] != side[j])) & enough(size, place, i, j, similarity)
-                x, y = at_node[i[can]], at_node[j[can]]
-                seen.append(np.unique(np.minimum(x, y) * len(nodes) + np.maximum(x, y)))
-                at = to
-                if at == len(key) or sum(map(len, seen)) > PAIRS:
-                    seen = [np.unique(np.concatenate(seen))]
-                    if at == len(key) or len(seen[0]) > PAIRS // 2:
-                        x, y = seen[0] // len(nodes), seen[0] % len(nodes)
-                        if compare:
-                            links = alike_pairs(x, y, [own[n] for n in nodes.tolist()], similarity)
-                            x, y = local_stars(x[links], y[links], len(nodes))
-                        yield pairs_batch(nodes, x, y)
-                        seen = []
+        for seats, held in seated(batches):
+            own = [np.frombuffer(o, "<u8") for o in held]
+            bounds = Bounds([histogram(o) for o in own], seats.sizes)
+            for x, y in seats.pairs(similarity):
+                allowed = bounds.allow(x, y, similarity)
+                taken, at = np.unique(np.r_[x[allowed], y[allowed]], return_inverse=True)
+                if not len(taken):
+                    continue
+                x, y = at[: len(at) // 2], at[len(at) // 2 :]
+                alike = alike_pairs(x, y, [own[k] for k in taken.tolist()], similarity)
+                yield pairs_batch(seats.nodes[taken], *local_stars(x[alike], y[alike], len(taken)))
         common.give_back()
 
-    return by_key(rows).mapInArrow(join, "a long, b long").distinct()
+    made = [common.staged(rows, "places")]
+    rows = made[0]
+    here = rows.select("key", "node").distinct()
+    if buckets is not None:
+        made.append(here := common.staged(close_seats(rows, buckets, similarity), "seats"))
+        rows = rows.join(here, ["key", "node"], "left_semi")
+    if callable(sets):
+        made.append(sets := common.staged(sets(here.select("node").distinct()), "sets"))
+    found = common.staged(with_own(rows, here.join(sets, "node")).mapInArrow(join, "a long, b long").distinct(), "confirmed")
+    for df in made:
+        common.unstage(df)
+    return found
 
 
 def possible(links: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -386,12 +484,10 @@ def linked(nodes: DataFrame, words: int, similarity: float) -> DataFrame:
         roots = joined(roots, found)
         common.unstage(found)
     now = common.staged(rooted(), "rooted")
-    open_ = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    ends = now.join(open_, "key", "left_semi").select(F.col("node").alias("row")).distinct()
-    sets = common.staged(shingle_sets(nodes.select("row", "text").join(ends, "row", "left_semi"), words), "sets")
-    found = common.staged(remaining_links(now, similarity, sets), "confirmed")
+    sets = lambda ends: shingle_sets(nodes.select("row", "text").join(ends.withColumnRenamed("node", "row"), "row", "left_semi"), words)
+    found = remaining_links(now, similarity, sets, nodes.select(F.col("row").alias("node"), "buckets"))
     roots = joined(roots, found)
-    for df in (met, now, sets, found, *tried):
+    for df in (met, now, found, *tried):
         common.unstage(df)
     return roots
 

@@ -151,13 +151,13 @@ def index_pairs(group: np.ndarray, codes: np.ndarray, radius: int) -> Iterator[t
         stack.append((level - 1, x[near], y[near]))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = BATCH) -> Iterator[pa.Table]:
-    """Tables of about `rows` rows, or one group if that is larger, that end where a group of `keys` ends."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = BATCH, most: int = 32 << 20) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows or `most` bytes, or one group if that is larger, that end where a group of `keys` ends."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
+        if sum(b.num_rows for b in held) < rows and sum(b.nbytes for b in held) < most:
             continue
         table = pa.Table.from_batches(held)
         last = np.ones(table.num_rows, bool)

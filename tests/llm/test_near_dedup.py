@@ -83,3 +83,53 @@ def test_pairs_are_compared_where_they_meet(spark, monkeypatch):
     nodes, roots = near_dedup.local_stars(*np.array(sorted(got)).T, 4)
     assert nodes.tolist() == [1, 2, 3] and set(roots.tolist()) == {0}
     assert near_dedup.alike_pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.uint64)], 0.8).tolist() == []
+
+
+def test_sets_go_only_where_histograms_leave_a_pair(spark, monkeypatch):
+    """Each text shares a line with the next: they meet, but no set need be moved for them. The one pair of like texts needs two."""
+    monkeypatch.setattr(near_dedup, "NEAR", -1)
+    made, staged = {}, near_dedup.common.staged
+
+    def counted(df, what):
+        out = staged(df, what)
+        made[what] = made.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup.common, "staged", counted)
+    texts = [f"{words(1000 * i, 90)} {words(1000 * i + 500, 12)} {words(1000 * i + 1500, 12)}" for i in range(40)]
+    assert kept(spark, [*texts, f"{words(7000, 300)} a", f"{words(7000, 300)} b"]) == set(range(41))
+    assert made["places"] > 40 and made["sets"] == 2
+
+
+def test_histograms_leave_every_pair_that_is_alike():
+    rng = np.random.default_rng(1)
+    for small, large in [(8, 10), (100, 120), (900, 1100), (2000, 2400)]:
+        whole = [np.unique(rng.integers(0, 2**63, large, dtype=np.uint64)) for _ in range(6)]
+        sets = [*whole, *(np.sort(rng.choice(s, small, replace=False)) for s in whole), np.repeat(whole[0][:1], 300)]
+        bounds = near_dedup.Bounds([near_dedup.histogram(s) for s in sets], np.array([len(s) for s in sets]))
+        x = np.arange(6)
+        assert bounds.allow(x, x + 6, 0.8).all()
+        assert bounds.allow(x, np.full(6, 12), 0.8).all()  # a full bucket says nothing
+        if small >= 100:
+            assert not bounds.allow(x, (x + 1) % 6 + 6, 0.8).any()
+
+
+def test_narrowed_seats_lose_no_link(spark, monkeypatch):
+    """With and without histograms the same components come out, for sets of many sizes in blocks and several places."""
+    monkeypatch.setattr(near_dedup, "GROUP", 6)
+    rng = np.random.default_rng(2)
+    families = [np.unique(rng.integers(0, 2**62, n, dtype=np.uint64)) for n in (20, 60, 150)]
+    sets = [np.sort(rng.choice(f, int(len(f) * part), replace=False)) for f in families for part in rng.uniform(0.7, 1, 12)]
+    met = spark.createDataFrame([(k, n, len(s), 0, n) for n, s in enumerate(sets) for k in (1, 2 + n % 3)], "key long, node long, size int, place int, root long")
+    own = spark.createDataFrame([(n, s.tobytes(), near_dedup.histogram(s)) for n, s in enumerate(sets)], "node long, own binary, buckets binary")
+    brute = [(a, b) for a in range(36) for b in range(a + 1, 36) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+
+    def stars(links):
+        links = np.array(sorted(links)).T
+        return [x.tolist() for x in near_dedup.local_stars(*links, 36)]
+
+    given = own.select("node", "own")
+    for narrowed in ({}, {"buckets": own.select("node", "buckets")}):
+        for how in (given, lambda nodes: given.join(nodes, "node", "left_semi")):
+            got = {(r["a"], r["b"]) for r in near_dedup.remaining_links(met, 0.8, how, **narrowed).collect()}
+            assert got and stars(got) == stars(brute)
