@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import clip, div
 from .joins import latest_per_key
 
-#: Units of money in announcements, and words that tell a source's tier.
-MONEY = r"([0-9]+(?:\.[0-9]+)?)\s*(亿元|亿|万元|万)"
+#: Units of money in announcements (the reference's, and with English ones), and words that tell a source's tier.
 UNITS = {"亿元": 1e8, "亿": 1e8, "万元": 1e4, "万": 1e4}
+ALL_UNITS = UNITS | {"million": 1e6, "billion": 1e9}
 OFFICIAL, AGGREGATOR = ("cninfo.com.cn", "sse.com.cn", "szse.cn", "bse.cn", "official_exchange"), ("akshare", "eastmoney", "10jqka", "ifind", "choice", "wind")
 
 
@@ -116,10 +116,11 @@ def source_tier(source: Column, url: Column) -> Column:
     return F.when(has(OFFICIAL), "official").when(has(AGGREGATOR), "aggregator").otherwise("unknown")
 
 
-def money_intensity(text: Column) -> Column:
-    """1 + log10(largest amount / ten million), in [1, 3]; no amount: 1."""
-    pick = lambda group: F.regexp_extract_all(text, F.lit(MONEY), F.lit(group))
-    unit = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+def money_intensity(text: Column, units: Mapping[str, float] = UNITS) -> Column:
+    """1 + log10(largest amount / ten million), in [1, 3]; no amount in one of the units: 1."""
+    money = rf"([0-9]+(?:\.[0-9]+)?)\s*({'|'.join(sorted(units, key=len, reverse=True))})"
+    pick = lambda group: F.regexp_extract_all(text, F.lit(money), F.lit(group))
+    unit = F.create_map(*[F.lit(x) for kv in units.items() for x in kv])
     amounts = F.transform(F.arrays_zip(pick(1).alias("v"), pick(2).alias("u")), lambda x: x["v"].cast("double") * unit[x["u"]])
     most = F.array_max(amounts)
     return F.coalesce(F.when(most > 0, clip(1 + F.log10(most / 1e7), 1.0, 3.0)), F.lit(1.0))

@@ -133,10 +133,11 @@ def text_found(spark, sf_dir):
 
 
 def text_intensity(spark, sf_dir):
+    """The intensity of the money and percentages in every order's text, by the unit that the text has: Chinese, English or none."""
     k = F.col("o_orderkey")
     unit = F.element_at(F.array(*[F.lit(u) for u in ("万元", "亿", " million", "billion", "km")]), (k % 5 + 1).cast("int"))
     text = F.concat(F.lit("about "), (k % 977).cast("string"), unit, F.lit(" of 12.5万, "), (k % 13).cast("string"), F.lit(".5 %"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", ms.money_intensity(text).alias("money"), domains.percent_intensity(text).alias("percent"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", ms.money_intensity(text, ms.ALL_UNITS).alias("money"), domains.percent_intensity(text).alias("percent"))
     return rounded(rows.groupBy((k % 5).alias("unit")).agg(F.sum(F.round("money", 8)).alias("money"), F.sum(F.round("percent", 8)).alias("percent")), [], 3)
 
 
@@ -212,7 +213,7 @@ def oracle_sql() -> dict[str, str]:
         "event_library": f"WITH {EVENT} SELECT 'event_type' AS kind, event_type AS value, count(*) AS events, count(DISTINCT instrument) AS instruments, max(event_date) AS latest FROM ev GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*), count(DISTINCT instrument), max(event_date) FROM ev GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*), count(DISTINCT instrument), max(event_date) FROM ev",
         "text_evidence": f"{chunked} SELECT 'all' AS tier, {stats} FROM c UNION ALL SELECT {tier}, {stats} FROM c GROUP BY 1",
         "text_found": f"{chunked}, x AS (SELECT CAST(doc_id % 50 AS VARCHAR) AS instrument, DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS event_date, CAST(doc_id AS VARCHAR) AS event_id, chunk_id, lower(substring(t, chunk_id * 500 + 1, 500)) AS s FROM c WHERE doc_id % 50 % 3 = 0) SELECT instrument, event_date, event_id, chunk_id FROM x WHERE event_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND contains(s, 'the') ORDER BY event_date DESC, instrument DESC, chunk_id LIMIT 200",
-        "text_intensity": "WITH a AS (SELECT o_orderkey % 5 AS unit, o_orderkey % 977 * [1e4, 1e8, 0, 0, 0][o_orderkey % 5 + 1] AS v, o_orderkey % 13 + 0.5 AS p FROM orders), m AS (SELECT unit, greatest(v, 125000) AS v, p FROM a) SELECT unit, round(sum(round(greatest(1, least(3, 1 + log10(v / 1e7))), 8)), 3) AS money, round(sum(round(greatest(1e0, least(3e0, 1 + p / 3)), 8)), 3) AS percent FROM m GROUP BY 1",
+        "text_intensity": "WITH a AS (SELECT o_orderkey % 5 AS unit, o_orderkey % 977 * [1e4, 1e8, 1e6, 1e9, 0][o_orderkey % 5 + 1] AS v, o_orderkey % 13 + 0.5 AS p FROM orders), m AS (SELECT unit, greatest(v, 125000) AS v, p FROM a) SELECT unit, round(sum(round(greatest(1, least(3, 1 + log10(v / 1e7))), 8)), 3) AS money, round(sum(round(greatest(1e0, least(3e0, 1 + p / 3)), 8)), 3) AS percent FROM m GROUP BY 1",
         "read_evidence": EVIDENCE,
         "read_health": f"WITH {MASTER} SELECT count(*) AS securities, round(avg(CASE WHEN industry <> '' THEN 1e0 ELSE 0e0 END), 6) AS industry_coverage, 1e0 AS name_coverage, round(avg(CASE WHEN instrument IN (SELECT 'SH600' || lpad(CAST(user_id AS VARCHAR), 3, '0') FROM events) THEN 1e0 ELSE 0e0 END), 6) AS event_coverage FROM ma",
         "research_queue": f"WITH {LEDGER} SELECT run, status, m AS primary_metric, row_number() OVER (ORDER BY time DESC NULLS LAST, run) AS place, count(*) OVER (PARTITION BY status) AS status_size FROM lg",
