@@ -20,23 +20,27 @@ SCORE = "_stage_score"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below its threshold."""
+    common.ship(spark)
     model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, SCORE).where(F.col(SCORE) < toxicity.REJECT_FROM).drop(SCORE)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model scores at its threshold or above."""
+    common.ship(spark)
     model = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, SCORE).where(F.col(SCORE) >= quality.KEEP_FROM).drop(SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    common.ship(spark)
     return near_dedup.keep_one(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' pieces, with their sequence and offset."""
+    common.ship(spark)
     return packing_cg.pack(docs)
 
 

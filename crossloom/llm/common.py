@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"file://{LOCAL_CHECKPOINTS}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the session's executors this package, once: functions in tasks import it. To be called before such a function enters a plan.
+
+    A package that comes from an archive is on the executors' path already.
+    """
+    root, name = Path(__file__).parents[2], __package__.partition(".")[0]
+    if not root.is_dir() or any(f.endswith(f"/{name}.zip") for f in spark.sparkContext.listFiles):
+        return
+    path = f"{tempfile.mkdtemp()}/{name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for p in sorted((root / name).rglob("*.py")):
+            archive.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(path)
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
